@@ -24,7 +24,9 @@ def get_spark(app: str = "vecmeadow", master: str | None = None, partitions: int
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").config(
+            "spark.ui.showConsoleProgress", "false"
+        )
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
