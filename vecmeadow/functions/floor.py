@@ -1,10 +1,10 @@
 """Adaptive noise floor: the one fold that has no closed form, vectorised over clips."""
 
-from __future__ import annotations
-
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INIT_FRAMES = 40
 INIT_QUANTILE = 0.15
@@ -59,8 +59,19 @@ def track(clips: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return floors, flags
 
 
-@F.pandas_udf("struct<floor: array<double>, triggered: array<boolean>>")
-def noise_floor(levels: pd.Series) -> pd.DataFrame:
+TRACKED = T.StructType(
+    [
+        T.StructField("floor", T.ArrayType(T.DoubleType())),
+        T.StructField("triggered", T.ArrayType(T.BooleanType())),
+    ]
+)
+
+
+def noise_floor(levels: Column | str) -> Column:
     """Column function over one array of frame levels per clip (clips have a bounded length)."""
-    floors, flags = track([np.asarray(c, dtype=np.float64) for c in levels])
-    return pd.DataFrame({"floor": floors, "triggered": flags})
+
+    def run(clips: pd.Series) -> pd.DataFrame:
+        floors, flags = track([np.asarray(c, dtype=np.float64) for c in clips])
+        return pd.DataFrame({"floor": floors, "triggered": flags})
+
+    return F.pandas_udf(run, TRACKED)(levels)

@@ -9,7 +9,6 @@ tiled against the queries (``tiles.py``) and the per-tile winners are merged.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecmeadow.functions import vectors as V
 from vecmeadow.operators.bank import UNKNOWN
 from vecmeadow.operators.tiles import two_sided_tiles
 
@@ -25,33 +23,30 @@ MAX_BANK_BYTES = 256 * 1024 * 1024
 _SQL_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
-@dataclass(frozen=True)
-class Packed:
-    """Unit prototypes of one group, rows sorted by label; ``starts`` marks where each label begins."""
-
-    matrix: np.ndarray
-    labels: list
-    starts: np.ndarray
-    mean: np.ndarray | None = None
-
-    def scores(self, queries: np.ndarray) -> np.ndarray:
-        """Best cosine per (query, label)."""
-        q = unit_rows(queries)
-        if self.mean is not None:
-            q = unit_rows(q - self.mean)
-        raw = q @ self.matrix.T
-        if len(self.labels) == self.matrix.shape[0]:
-            return raw
-        return np.maximum.reduceat(raw, self.starts, axis=1)
+def cosines(part: tuple, queries: np.ndarray) -> np.ndarray:
+    """Best cosine per (query, label)."""
+    matrix, labels, starts, mean = part
+    q = unit_rows(queries)
+    if mean is not None:
+        q = unit_rows(q - mean)
+    raw = q @ matrix.T
+    if len(labels) == matrix.shape[0]:
+        return raw
+    return np.maximum.reduceat(raw, starts, axis=1)
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
     lengths = np.sqrt((m * m).sum(axis=1, keepdims=True))
     flat = 1.0 / np.sqrt(m.shape[1])
-    return np.where(lengths < V.TINY, flat, m / np.where(lengths < V.TINY, 1.0, lengths))
+    return np.where(lengths < 1e-12, flat, m / np.where(lengths < 1e-12, 1.0, lengths))
 
 
-def pack(labels: list, rows: list, centring: bool = False) -> Packed:
+def pack(labels: list, rows: list, centring: bool = False) -> tuple:
+    """``(matrix, labels, starts, mean)``: unit prototypes sorted by label; ``starts`` marks where each label begins.
+
+    A plain tuple, because broadcast values are unpickled where this package may
+    not be installed.
+    """
     order = sorted(range(len(labels)), key=lambda i: labels[i])
     names, starts = [], []
     for position, i in enumerate(order):
@@ -64,7 +59,7 @@ def pack(labels: list, rows: list, centring: bool = False) -> Packed:
         centroids = np.add.reduceat(matrix, starts, axis=0)
         mean = unit_rows(centroids).mean(axis=0) if len(names) != len(matrix) else matrix.mean(axis=0)
         matrix = unit_rows(matrix - mean)
-    return Packed(matrix, names, np.array(starts), mean)
+    return matrix, names, np.array(starts), mean
 
 
 def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -172,14 +167,15 @@ def score(
                 bank_part = shipped.value.get(key)
                 if bank_part is None or piece.num_rows == 0:
                     continue
-                found = bank_part.scores(matrix_of(piece.column(piece.schema.get_field_index(vector)), dim))
-                picked = top_columns(found, len(bank_part.labels) if all_scores else k)
+                found = cosines(bank_part, matrix_of(piece.column(piece.schema.get_field_index(vector)), dim))
+                bank_labels = bank_part[1]
+                picked = top_columns(found, len(bank_labels) if all_scores else k)
                 arrays = [piece.column(piece.schema.get_field_index(c)) for c in keep]
-                arrays.append(_candidate_list(bank_part.labels, found, picked, arrow_label))
+                arrays.append(_candidate_list(bank_labels, found, picked, arrow_label))
                 names = keep + ["candidates"]
                 if truth:
                     own, rival = _true_and_rival(
-                        bank_part.labels, found, piece.column(piece.schema.get_field_index(truth)).to_pylist()
+                        bank_labels, found, piece.column(piece.schema.get_field_index(truth)).to_pylist()
                     )
                     arrays += [own, rival]
                     names += ["true_score", "rival_score"]
@@ -212,10 +208,10 @@ def _score_tiled(queries, bank, k, vector, label, prototype, max_bytes, id_col):
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.column(prototype).to_pylist()
         part = pack(right.column(label).to_pylist(), rows)
-        found = part.scores(matrix_of(left.column(vector), len(rows[0])))
+        found = cosines(part, matrix_of(left.column(vector), len(rows[0])))
         picked = top_columns(found, k)
         return pa.table(
-            {id_col: left.column(id_col), "candidates": _candidate_list(part.labels, found, picked, arrow_label)}
+            {id_col: left.column(id_col), "candidates": _candidate_list(part[1], found, picked, arrow_label)}
         )
 
     # A label's sub-prototypes share a tile row by hashing on the label.

@@ -73,10 +73,10 @@ def _(t):
     return Q.start_levels(framed(t), ["user_id", "clip"], "value").withColumn("start_level", F.round("start_level", 6))
 
 
-@query("w6_noise_floor", f"WITH RECURSIVE {FLOOR} SELECT user_id, clip, frame, round(floor, 6) AS noise_floor, triggered FROM tracked")
+@query("w6_noise_floor", f"WITH RECURSIVE {FLOOR} SELECT user_id, clip, frame, round(floor + 1e-9, 6) AS noise_floor, triggered FROM tracked")
 def _(t):
     df = Q.track_floor(framed(t), ["user_id", "clip"], "value")
-    return df.select("user_id", "clip", "frame", F.round("noise_floor", 6).alias("noise_floor"), "triggered")
+    return df.select("user_id", "clip", "frame", F.round(F.col("noise_floor") + 1e-9, 6).alias("noise_floor"), "triggered")
 
 
 @query(
