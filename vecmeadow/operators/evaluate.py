@@ -202,18 +202,16 @@ def pair_statistics(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("s", "ss", "lo", "hi")]
     )
 
-    def measure(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
-        rows = []
-        if a.num_rows:
-            width = len(a.column(vector)[0])
-            left, right = (unit_rows(matrix_of(t.column(vector), width)) for t in (a, b))
-            for at in range(0, len(left), 1024):
-                found = left[at : at + 1024] @ right.T
-                if same:
-                    found = found[np.arange(at, at + len(found))[:, None] < np.arange(len(right))[None, :]]
-                if found.size:
-                    rows.append((found.size, found.sum(), (found * found).sum(), found.min(), found.max()))
-        return pa.table({f.name: [r[i] for r in rows] for i, f in enumerate(schema.fields)})
+    def measure(a, b, same):
+        width = len(a.column(vector)[0])
+        left, right = (unit_rows(matrix_of(t.column(vector), width)) for t in (a, b))
+        for at in range(0, len(left), 1024):
+            found = left[at : at + 1024] @ right.T
+            if same:
+                found = found[np.arange(at, at + len(found))[:, None] < np.arange(len(right))[None, :]]
+            if found.size:
+                row = (found.size, found.sum(), (found * found).sum(), found.min(), found.max())
+                yield pa.table({name: [value] for name, value in zip(("n", "s", "ss", "lo", "hi"), row)})
 
     parts = self_tiles(df.select(id_col, vector), id_col, measure, schema, rows_per_block)
     mean = F.sum("s") / F.sum("n")

@@ -1,16 +1,228 @@
-"""placeholder"""
+"""Novel groups among rejected vectors: similar pairs, exact leader clustering, promotion.
+
+Equal vectors are merged into one weighted node first, so a vector copied a
+million times costs as much as one. Similarity work runs in bounded tiles.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecmeadow.functions import vectors as V
-from vecmeadow.operators.bank import fit_bank
+from vecmeadow.operators import bank as B
+from vecmeadow.operators.ordered import first_rows, ranked_globally
+from vecmeadow.operators.scoring import matrix_of
+from vecmeadow.operators.tiles import ROWS_PER_BLOCK, self_tiles
+from vecmeadow.session import checkpointed
+
+# Above this many similar pairs the links are not stored; every round then
+# recomputes them tile by tile and keeps only one number per node.
+STORED_PAIRS = 2_000_000_000
 
 
 def cohesion(df: DataFrame, cluster: str, vector: str = "embedding") -> DataFrame:
-    """Mean cosine of the members to their centroid. It equals ``|sum of unit vectors| / n``, so one aggregate is enough."""
-    bank = fit_bank(df, cluster, vector)
+    """Mean cosine of the members to their centroid.
+
+    It equals ``|sum of unit vectors| / n``, so one aggregate is enough.
+    """
+    bank = B.fit_bank(df, cluster, vector)
     return bank.select(
         cluster,
         F.round(V.norm(F.col("sum_vector")) / F.col("n_support"), 4).alias("cohesion"),
         F.col("n_support").alias("n_samples"),
     )
+
+
+def distinct_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """One row per different vector: smallest id as ``node``, number of copies as ``weight``."""
+    return df.groupBy(vector).agg(F.min(id_col).alias("node"), F.count(F.lit(1)).alias("weight"))
+
+
+def unit_nodes(df: DataFrame, id_col: str, vector: str, centring: bool) -> DataFrame:
+    nodes = distinct_vectors(df, id_col, vector)
+    unit = V.l2(F.col(vector))
+    if centring:
+        mean = B.mean_as_column(df.select(unit.alias("__u")), "__u")
+        unit = V.centred(unit, mean, zero="keep")
+    return nodes.select("node", "weight", unit.alias("v"))
+
+
+def _slabs(a, b):
+    """Cosine slabs of one tile as ``(row offset, slab)``; inputs are unit vectors already."""
+    width = len(a.column("v")[0])
+    left, right = matrix_of(a.column("v"), width), matrix_of(b.column("v"), width)
+    rows = max(1, 16_000_000 // len(right))
+    for at in range(0, len(left), rows):
+        yield at, left[at : at + rows] @ right.T
+
+
+def similar_nodes(nodes: DataFrame, threshold: float, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """``a < b, cosine`` for all pairs of nodes that reach ``threshold``."""
+    schema = T.StructType(
+        [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("cosine", T.DoubleType())]
+    )
+
+    def pairs(one, two, same):
+        left, right = one.column("node").to_numpy(), two.column("node").to_numpy()
+        for at, found in _slabs(one, two):
+            rows, columns = np.nonzero(found >= threshold)
+            x, y = left[rows + at], right[columns]
+            keep = x < y if same else np.ones(len(x), dtype=bool)
+            x, y, c = x[keep], y[keep], found[rows, columns][keep]
+            if len(x):
+                yield pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": c})
+
+    return self_tiles(nodes.select("node", "v"), "node", pairs, schema, rows_per_block)
+
+
+def similar_pairs(
+    df: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", centring: bool = False,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """All pairs of different vectors with cosine at least ``threshold``.
+
+    Copies are counted, not enumerated: ``copies_a`` and ``copies_b`` say how
+    many rows each side stands for (``distinct_vectors`` maps rows to nodes).
+    """
+    nodes = checkpointed(unit_nodes(df, id_col, vector, centring))
+    pairs = similar_nodes(nodes, threshold, rows_per_block)
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("weight").alias(f"copies_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "cosine", "copies_a", "copies_b")
+
+
+def _tile_fold(values: DataFrame, threshold: float, how: str, rows_per_block: int) -> DataFrame:
+    """Per node, fold ``value`` (null = absent) over its closed neighbourhood without storing a link."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("folded", T.LongType())])
+    smallest = how == "min"
+
+    def side(near, nodes, other):
+        known = ~np.isnan(other)
+        near = near[:, known]
+        values = other[known].astype(np.int64)
+        if smallest:
+            best = np.where(near, values[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+            hit = best != np.iinfo(np.int64).max
+        else:
+            best = near.astype(np.int64) @ values
+            hit = near.any(axis=1)
+        return pa.table({"node": nodes[hit], "folded": best[hit]})
+
+    def fold(one, two, same):
+        left, right = one.column("node").to_numpy(), two.column("node").to_numpy()
+        x = one.column("value").to_numpy().astype(np.float64)
+        y = two.column("value").to_numpy().astype(np.float64)
+        for at, found in _slabs(one, two):
+            near = found >= threshold
+            upto = at + len(found)
+            yield side(near, left[at:upto], y)
+            if not same:
+                yield side(near.T, right, x[at:upto])
+
+    folded = self_tiles(values.select("node", "v", "value"), "node", fold, schema, rows_per_block)
+    agg = F.min("folded") if smallest else F.sum("folded")
+    return folded.groupBy("node").agg(agg.alias("folded"))
+
+
+def _link_fold(values: DataFrame, links: DataFrame, how: str) -> DataFrame:
+    """The same fold over stored links ``(node, other)``, both directions and self included."""
+    other = values.select(F.col("node").alias("other"), "value").filter(F.col("value").isNotNull())
+    agg = F.min("value") if how == "min" else F.sum("value")
+    return links.join(other, "other").groupBy("node").agg(agg.alias("folded"))
+
+
+def leader_clusters(
+    df: DataFrame, threshold: float = 0.5, min_size: int = 3, id_col: str = "vec_id", vector: str = "embedding",
+    centring: bool = True, rows_per_block: int = ROWS_PER_BLOCK, stored_pairs: int = STORED_PAIRS,
+) -> DataFrame:
+    """Exact leader clustering in id order: ``id, leader`` for every clustered row.
+
+    In id order, a free vector whose free neighbours (itself included) number at
+    least ``min_size`` takes them all; otherwise it stays free. A vector's turn
+    depends only on smaller undecided ones that share a neighbour with it, so in each
+    round every undecided vector that is the smallest undecided one around all
+    its free neighbours acts at once. Free neighbourhoods only shrink, so a vector below
+    ``min_size`` is decided early.
+    """
+    nodes = checkpointed(unit_nodes(df, id_col, vector, centring))
+    degree = _tile_fold(nodes.withColumn("value", F.lit(1).cast("long")), threshold, "sum", rows_per_block)
+    links = None
+    if (degree.agg(F.sum("folded")).first()[0] or 0) <= stored_pairs:
+        one_way = checkpointed(similar_nodes(nodes, threshold, rows_per_block).select("a", "b"))
+        zero = V.dot(F.col("v"), F.col("v")) >= threshold
+        links = checkpointed(
+            one_way.select(F.col("a").alias("node"), F.col("b").alias("other"))
+            .unionByName(one_way.select(F.col("b").alias("node"), F.col("a").alias("other")))
+            .unionByName(nodes.filter(zero).select("node", F.col("node").alias("other")))
+        )
+
+    def fold(values: DataFrame, how: str) -> DataFrame:
+        if links is not None:
+            return _link_fold(values, links, how)
+        return _tile_fold(values.join(nodes.select("node", "v"), "node"), threshold, how, rows_per_block)
+
+    # free: node, weight, undecided
+    free = nodes.select("node", "weight", F.lit(True).alias("undecided"))
+    taken = nodes.select("node", F.col("node").alias("leader")).limit(0)
+    while True:
+        size = fold(free.select("node", F.col("weight").alias("value")), "sum")
+        able = F.col("undecided") & (F.coalesce("folded", F.lit(0)) >= min_size)
+        free = checkpointed(free.join(size, "node", "left").select("node", "weight", able.alias("undecided")))
+        if free.filter("undecided").isEmpty():
+            break
+        first = fold(free.select("node", F.when(F.col("undecided"), F.col("node")).alias("value")), "min")
+        first = checkpointed(free.select("node").join(first, "node", "left").select("node", F.col("folded").alias("first")))
+        reach = fold(first.withColumnRenamed("first", "value"), "min")
+        ready = free.filter("undecided").join(reach, "node").filter("folded = node").select(F.col("node").alias("leader"))
+        won = checkpointed(
+            first.filter("first IS NOT NULL").join(ready, F.col("first") == F.col("leader")).select("node", "leader")
+        )
+        taken = checkpointed(taken.unionByName(won))
+        free = checkpointed(free.join(won, "node", "left_anti"))
+        if links is not None:
+            # Links to taken vectors, and links between vectors that can no longer lead, are done with.
+            state = free.select("node", "undecided")
+            links = checkpointed(
+                links.join(state, "node")
+                .withColumnRenamed("undecided", "__u")
+                .join(state.withColumnsRenamed({"node": "other", "undecided": "__w"}), "other")
+                .filter("__u OR __w")
+                .select("node", "other")
+            )
+    copies = distinct_vectors(df, id_col, vector).select(vector, "node").join(taken, "node").select(vector, "leader")
+    return df.select(id_col, vector).join(copies, vector).select(id_col, "leader")
+
+
+def describe_clusters(df: DataFrame, members: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """One row per cluster in leader order: number, id, size, cohesion and raw-space centroid."""
+    rows = df.select(id_col, vector).join(members, id_col)
+    stats = B.fit_bank(rows, "leader", vector)
+    ranked = ranked_globally(stats.select("leader"), [F.col("leader")], "number")
+    return stats.join(ranked, "leader").select(
+        "number", F.format_string("Novel_Cluster_%02d", "number").alias("cluster_id"), "leader",
+        F.col("n_support").alias("n_samples"),
+        F.round(V.norm(F.col("sum_vector")) / F.col("n_support"), 4).alias("cohesion"), "centroid", "sum_vector",
+    )
+
+
+def example_members(members: DataFrame, n: int = 5, id_col: str = "vec_id") -> DataFrame:
+    """The first ``n`` member ids of each cluster, for listings."""
+    return first_rows(members, ["leader"], [F.col(id_col)], n, "place")
+
+
+def promote(
+    bank: DataFrame, df: DataFrame, members: DataFrame, names: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
+    """Enrol clusters under new labels (``names``: leader, label); a label already in the bank is replaced."""
+    rows = df.select(id_col, vector).join(members, id_col).join(names, "leader")
+    fresh = B.fit_bank(rows, "label", vector)
+    return bank.join(fresh.select("label"), "label", "left_anti").unionByName(fresh)
+
+
+def assign_clusters(quarantine: DataFrame, members: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """Write the cluster into ``cluster_id`` of the quarantined rows that are members; others keep theirs."""
+    new = members.select(id_col, F.col("leader").alias("__new"))
+    return quarantine.join(new, id_col, "left").withColumn("cluster_id", F.coalesce("__new", "cluster_id")).drop("__new")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecmeadow.functions import vectors as V
+from vecmeadow.operators import bank as B
 from vecmeadow.operators.bank import UNKNOWN
 from vecmeadow.operators.tiles import two_sided_tiles
 
@@ -110,6 +112,7 @@ def score(
     all_scores: bool = False,
     max_bytes: int = MAX_BANK_BYTES,
     id_col: str = "vec_id",
+    keep_vector: bool = False,
 ) -> DataFrame:
     """Add ``candidates`` (top ``k`` of ``{label, score}``, best first) to every query.
 
@@ -117,7 +120,7 @@ def score(
     is their maximum. ``group`` names a column on both sides; a query meets only
     the prototypes of its group, and queries of a group without prototypes are
     left out. ``truth`` adds ``true_score`` and ``rival_score`` (best other label).
-    The vector column itself is dropped from the result.
+    The vector column itself is dropped from the result unless ``keep_vector``.
     """
     label_type = bank.schema[label].dataType.simpleString()
     if label_type not in _SQL_TYPES:
@@ -132,10 +135,10 @@ def score(
     if shape["rows"] and shape["dim"] != shape["narrowest"]:
         raise ValueError("prototypes differ in dimension")
     if shape["rows"] and shape["rows"] * shape["dim"] * 8 > max_bytes:
-        if group or truth or all_scores or centring:
-            raise ValueError("the tiled path scores plain top-k only; raise max_bytes or split the request")
-        return _score_tiled(queries, bank, k, vector, label, prototype, max_bytes, id_col)
-    keep = [c for c in queries.columns if c != vector]
+        return _score_large(
+            queries, bank, k, vector, label, prototype, group, truth, centring, all_scores, max_bytes, id_col, keep_vector
+        )
+    keep = [c for c in queries.columns if keep_vector or c != vector]
     columns = [label, prototype] + ([group] if group else [])
     packed: dict = {}
     for row in bank.select(*columns).collect():
@@ -198,14 +201,73 @@ def _true_and_rival(labels: list, scores: np.ndarray, truths: list) -> tuple[pa.
     return pa.array(own, mask=~known), pa.array(rival)
 
 
+def _score_large(
+    queries, bank, k, vector, label, prototype, group, truth, centring, all_scores, max_bytes, id_col, keep_vector
+):
+    """Exact scores against a bank that is too large to broadcast."""
+    if centring:
+        means = B.fit_bank(bank, [group, label] if group else label, prototype)
+        if group:
+            raise ValueError("centring is defined over one bank, not per group")
+        mean = B.mean_as_column(means, "centroid")
+        return _score_large(
+            queries.withColumn(vector, V.centred(V.l2(F.col(vector)), mean)),
+            bank.withColumn(prototype, V.centred(V.l2(F.col(prototype)), mean)),
+            k, vector, label, prototype, group, truth, False, all_scores, max_bytes, id_col, keep_vector,
+        )
+    wanted = bank.select(label).distinct().count() if all_scores else (max(k, 2) if truth else k)
+    if group:
+        found = _score_joined(queries, bank, wanted, vector, label, prototype, group, id_col)
+    else:
+        found = _score_tiled(queries, bank, wanted, vector, label, prototype, max_bytes, id_col)
+    kept = queries if keep_vector else queries.drop(vector)
+    on = [id_col, group] if group else [id_col]
+    scored = kept.join(found, on)
+    if truth:
+        # The best other label is one of the two best labels; the true label's
+        # own score is an equality join.
+        own = (
+            queries.select(*on, vector, F.col(truth).alias(label))
+            .join(bank.select(*([group] if group else []), label, F.col(prototype).alias("__p")), [label, *([group] if group else [])])
+            .groupBy(*on)
+            .agg(F.max(V.dot(V.l2(F.col(vector)), V.l2(F.col("__p")))).alias("true_score"))
+        )
+        others = F.filter("candidates", lambda c: c["label"] != F.col(truth))
+        scored = scored.join(own, on, "left").withColumn(
+            "rival_score", F.coalesce(F.get(others, F.lit(0))["score"], F.lit(0.0))
+        )
+    return scored if all_scores else scored.withColumn("candidates", F.slice("candidates", 1, k))
+
+
+def _best_first(candidates: Column, k: int) -> Column:
+    ranked = F.array_sort(
+        candidates,
+        lambda a, b: F.when(a["score"] > b["score"], -1)
+        .when(a["score"] < b["score"], 1)
+        .when(a["label"] < b["label"], -1)
+        .when(a["label"] > b["label"], 1)
+        .otherwise(0),
+    )
+    return F.slice(ranked, 1, k)
+
+
+def _score_joined(queries, bank, k, vector, label, prototype, group, id_col):
+    """Queries meet the prototypes of their own group through an equality join on the group."""
+    q = queries.select(id_col, group, V.l2(F.col(vector)).alias("__q"))
+    pairs = q.join(bank.select(group, F.col(label).alias("__l"), V.l2(F.col(prototype)).alias("__p")), group)
+    per_label = pairs.groupBy(id_col, group, "__l").agg(F.max(V.dot(F.col("__q"), F.col("__p"))).alias("__s"))
+    all_of = F.collect_list(F.struct(F.col("__l").alias("label"), F.col("__s").alias("score")))
+    return per_label.groupBy(id_col, group).agg(_best_first(all_of, k).alias("candidates"))
+
+
 def _score_tiled(queries, bank, k, vector, label, prototype, max_bytes, id_col):
-    """Exact top-k against a bank that is too large to broadcast."""
+    """Top-k per (query, bank tile), merged per query."""
     label_type = bank.schema[label].dataType
     candidate = T.StructType([T.StructField("label", label_type), T.StructField("score", T.DoubleType())])
     schema = T.StructType([queries.schema[id_col], T.StructField("candidates", T.ArrayType(candidate))])
     arrow_label = _SQL_TYPES[label_type.simpleString()]
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+    def best(left, right):
         rows = right.column(prototype).to_pylist()
         part = pack(right.column(label).to_pylist(), rows)
         found = cosines(part, matrix_of(left.column(vector), len(rows[0])))
@@ -220,16 +282,7 @@ def _score_tiled(queries, bank, k, vector, label, prototype, max_bytes, id_col):
     )
     # Every query has at most k rows per bank tile here; the merge keeps k.
     merged = tiles.groupBy(id_col).agg(F.flatten(F.collect_list("candidates")).alias("candidates"))
-    ranked = F.array_sort(
-        "candidates",
-        lambda a, b: F.when(a["score"] > b["score"], -1)
-        .when(a["score"] < b["score"], 1)
-        .when(a["label"] < b["label"], -1)
-        .when(a["label"] > b["label"], 1)
-        .otherwise(0),
-    )
-    merged = merged.withColumn("candidates", F.slice(ranked, 1, k))
-    return queries.drop(vector).join(merged, id_col)
+    return merged.withColumn("candidates", _best_first(F.col("candidates"), k))
 
 
 def margin_of(candidates: Column) -> Column:

@@ -8,9 +8,10 @@ threshold) - never the full product.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute in tasks
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,10 +55,14 @@ def two_sided_tiles(
 
 
 def self_tiles(
-    df: DataFrame, id_col: str, fn: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: T.StructType,
+    df: DataFrame, id_col: str, fn: Callable[[pa.Table, pa.Table, bool], Iterator[pa.Table]], schema: T.StructType,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Apply ``fn(block_a, block_b, same)`` once to every unordered pair of blocks."""
+    """Run ``fn(block_a, block_b, same)`` once for every unordered pair of blocks.
+
+    ``fn`` yields tables as it goes, so a tile with many results is streamed out
+    and never held as a whole.
+    """
     blocks = _blocks(df.count(), rows_per_block)
     own = F.col("__own")
     spread = (
@@ -67,17 +72,17 @@ def self_tiles(
         .withColumn("__b", F.greatest(own, F.col("__other")))
         .drop("__other")
     )
+    out = _arrow(schema)
 
-    def apply(key, table):
+    def apply(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = key[0].as_py(), key[1].as_py()
+        table = pa.Table.from_batches(batches)
         owner = table.column("__own")
         one = table.filter(pa.compute.equal(owner, a))
-        if a == b:
-            return fn(one, one, True).cast(_arrow(schema))
-        two = table.filter(pa.compute.equal(owner, b))
-        if one.num_rows == 0 or two.num_rows == 0:
-            return pa.table({f.name: [] for f in schema.fields}, schema=_arrow(schema))
-        return fn(one, two, False).cast(_arrow(schema))
+        two = one if a == b else table.filter(pa.compute.equal(owner, b))
+        if one.num_rows and two.num_rows:
+            for part in fn(one, two, a == b):
+                yield from part.cast(out).to_batches()
 
     return spread.groupBy("__a", "__b").applyInArrow(apply, schema)
 

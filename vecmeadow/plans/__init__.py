@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("vectors", "series")
+MODULES = ("vectors", "series", "discovery")
 
 
 def _load():
