@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vecmeadow.functions.vectors import let
+
 
 def peak(x: Column) -> Column:
     return F.array_max(F.transform(x, lambda s: F.abs(s.cast("double"))))
@@ -37,9 +39,13 @@ def clip_unit(s: Column) -> Column:
 
 def peak_normalise(x: Column, target: float = 0.95) -> Column:
     """Scale so that the peak is ``target``; near-silence is only clipped."""
-    top = peak(x)
-    scale = F.when(top < 1e-6, F.lit(1.0)).otherwise(F.lit(target) / (top + F.lit(1e-10)))
-    return F.transform(x.cast("array<double>"), lambda s: clip_unit(s * scale))
+
+    def scaled(samples: Column) -> Column:
+        top = peak(samples)
+        scale = F.when(top < 1e-6, F.lit(1.0)).otherwise(F.lit(target) / (top + F.lit(1e-10)))
+        return let(scale, lambda k: F.transform(samples, lambda s: clip_unit(s * k)))
+
+    return let(x.cast("array<double>"), scaled)
 
 
 def pad_right(x: Column, n: Column | int) -> Column:
@@ -76,17 +82,17 @@ def centred_window(x: Column, start: Column, end: Column, n: int, rate: int) ->
 
 def downmix(interleaved: Column, channels: int) -> Column:
     """Mean of ``channels`` interleaved channels."""
-    x = interleaved.cast("array<double>")
-    frames = F.floor(F.size(x) / channels).cast("int")
-    return F.when(frames < 1, F.array().cast("array<double>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(frames - 1, F.lit(0))),
-            lambda i: F.aggregate(
-                F.slice(x, i * channels + 1, channels), F.lit(0.0), lambda acc, s: acc + s
-            )
-            / channels,
+
+    def mixed(x: Column) -> Column:
+        frames = F.floor(F.size(x) / channels).cast("int")
+        mean = lambda i: F.aggregate(
+            F.slice(x, i * channels + 1, channels), F.lit(0.0), lambda acc, s: acc + s
+        ) / F.lit(float(channels))
+        return F.when(frames < 1, F.array().cast("array<double>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.greatest(frames - 1, F.lit(0))), mean)
         )
-    )
+
+    return let(interleaved.cast("array<double>"), mixed)
 
 
 def segment_starts(size: Column, n: int, hop: int, pad_tail: bool = False, tail_min: int = 0, least: int = 100) -> Column:
@@ -109,8 +115,10 @@ def segment_starts(size: Column, n: int, hop: int, pad_tail: bool = False, tail_
 
 def frame_rms(x: Column, frame: int, hop: int) -> Column:
     """RMS of overlapping frames; an input shorter than one frame is padded to one."""
-    padded = F.when(F.size(x) < frame, pad_right(x, frame)).otherwise(x.cast("array<double>"))
-    frames = F.greatest(F.lit(1), F.floor((F.size(padded) - frame) / hop).cast("int") + 1)
-    return F.when(F.size(x) == 0, F.array().cast("array<double>")).otherwise(
-        F.transform(F.sequence(F.lit(0), frames - 1), lambda i: rms(F.slice(padded, i * hop + 1, frame)))
-    )
+
+    def levels(padded: Column) -> Column:
+        frames = F.greatest(F.lit(1), F.floor((F.size(padded) - frame) / hop).cast("int") + 1)
+        return F.transform(F.sequence(F.lit(0), frames - 1), lambda i: rms(F.slice(padded, i * hop + 1, frame)))
+
+    samples = F.when(F.size(x) < frame, pad_right(x, frame)).otherwise(x.cast("array<double>"))
+    return F.when(F.size(x) == 0, F.array().cast("array<double>")).otherwise(let(samples, levels))

@@ -25,16 +25,24 @@ def norm(v: Column) -> Column:
     return F.sqrt(squares)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    An expression that is only mentioned inside a lambda would be evaluated again
+    for every element; as a lambda variable it is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def l2(v: Column, zero: str = "uniform") -> Column:
     """Unit vector. A norm below 1e-12 gives ``1/sqrt(D)`` everywhere, or with ``zero="keep"`` the vector as it is."""
-    size = F.size(v)
-    length = norm(v)
-    scaled = F.transform(v, lambda x: x.cast("double") / length)
-    if zero == "keep":
-        flat = doubles(v)
-    else:
-        flat = F.array_repeat(F.lit(1.0) / F.sqrt(size.cast("double")), size)
-    return F.when(length < TINY, flat).otherwise(scaled)
+
+    def scaled(u: Column, length: Column) -> Column:
+        size = F.size(u)
+        flat = u if zero == "keep" else F.array_repeat(F.lit(1.0) / F.sqrt(size.cast("double")), size)
+        return F.when(length < TINY, flat).otherwise(F.transform(u, lambda x: x / length))
+
+    return let(doubles(v), lambda u: let(norm(u), lambda length: scaled(u, length)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,26 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecmeadow.functions import vectors as V
+from vecmeadow.functions.arrow import group_codes, list_column, matrix_of, unit_rows
 from vecmeadow.operators.ordered import first_rows
 
 UNKNOWN = "Unknown"
 
 
+# A task hands over its partial sums when they fill this many bytes.
+PARTIAL_BYTES = 64 * 1024 * 1024
+
+
+def partial_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """``keys, sum_vector, n_support`` with about one row per key and task.
+
+    Unit vectors are added up batch by batch before anything is shuffled, which
+    is the map-side combine of a sum whose values are whole vectors.
+    """
+    schema = T.StructType(
+        [df.schema[k] for k in keys]
+        + [T.StructField("sum_vector", T.ArrayType(T.DoubleType())), T.StructField("n_support", T.LongType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def handed_over():
+            columns = list(zip(*held))
+            arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
+            sums = list_column(np.array([v[0] for v in held.values()]))
+            counts = pa.array([v[1] for v in held.values()], type=pa.int64())
+            return pa.RecordBatch.from_arrays([*arrays, sums, counts], names=[*keys, "sum_vector", "n_support"])
+
+        types: list = []
+        dim = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [batch.column(i) for i in range(len(keys))]
+            types = [c.type for c in columns]
+            units = unit_rows(matrix_of(batch.column(len(keys)), dim))
+            dim = units.shape[1]
+            first, number = group_codes(columns)
+            order = np.argsort(number, kind="stable")
+            counts = np.bincount(number)
+            sums = np.add.reduceat(units[order], np.r_[0, np.cumsum(counts)[:-1]], axis=0)
+            names = zip(*[c.take(pa.array(first)).to_pylist() for c in columns])
+            for name, total, n in zip(names, sums, counts.tolist()):
+                if name in held:
+                    before, m = held[name]
+                    held[name] = (before + total, m + n)
+                else:
+                    held[name] = (total, n)
+            if len(held) * dim * 8 > PARTIAL_BYTES:
+                yield handed_over()
+                held.clear()
+        if held:
+            yield handed_over()
+
+    return df.select(*keys, vector).mapInArrow(run, schema)
+
+
 def fit_bank(df: DataFrame, keys: list[str] | str = "label", vector: str = "embedding") -> DataFrame:
     """Labelled vectors to ``keys, centroid, n_support, sum_vector``.
 
-    One shuffle of partial sums (one row per key and task), so a label that
-    holds most of the rows costs no more than the others.
+    One shuffle of partial sums, so a label that holds most of the rows costs no
+    more than the others.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    state = df.groupBy(*keys).agg(
-        V.vector_sum(V.l2(F.col(vector))).alias("sum_vector"), F.count(F.lit(1)).alias("n_support")
+    return with_centroid(_merged(partial_sums(df, keys, vector), keys), keys)
+
+
+def _merged(sums: DataFrame, keys: list[str]) -> DataFrame:
+    return sums.groupBy(*keys).agg(
+        V.vector_sum(F.col("sum_vector")).alias("sum_vector"), F.sum("n_support").alias("n_support")
     )
-    return with_centroid(state, keys)
 
 
 def with_centroid(state: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,12 +101,7 @@ def merge_banks(a: DataFrame, b: DataFrame, keys: list[str] | str = "label") ->
     """Add the running sums of two banks. Associative, so shards can be merged in any order."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     columns = [*keys, "sum_vector", "n_support"]
-    merged = (
-        a.select(*columns)
-        .unionByName(b.select(*columns))
-        .groupBy(*keys)
-        .agg(V.vector_sum(F.col("sum_vector")).alias("sum_vector"), F.sum("n_support").alias("n_support"))
-    )
+    merged = _merged(a.select(*columns).unionByName(b.select(*columns)), keys)
     return with_centroid(merged, keys)
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecmeadow.functions import vectors as V
+from vecmeadow.functions.arrow import matrix_of, unit_rows
 from vecmeadow.operators.bank import fit_bank
 from vecmeadow.operators.ordered import ROWS_PER_TASK, arrange, numbered, ranked_globally
-from vecmeadow.operators.scoring import decide, matrix_of, score, unit_rows
+from vecmeadow.operators.scoring import decide, score
 from vecmeadow.operators.tiles import ROWS_PER_BLOCK, self_tiles
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecmeadow.functions import vectors as V
+from vecmeadow.functions.arrow import matrix_of
 from vecmeadow.operators import bank as B
 from vecmeadow.operators.ordered import first_rows, ranked_globally
-from vecmeadow.operators.scoring import matrix_of
 from vecmeadow.operators.tiles import ROWS_PER_BLOCK, self_tiles
 from vecmeadow.session import checkpointed
 
@@ -134,6 +134,15 @@ def _link_fold(values: DataFrame, links: DataFrame, how: str) -> DataFrame:
     return links.join(other, "other").groupBy("node").agg(agg.alias("folded"))
 
 
+def _pair_count(nodes: DataFrame, threshold: float, rows_per_block: int, enough: int) -> int:
+    """Number of similar ordered pairs; the tiles are only read if all pairs together could pass ``enough``."""
+    rows = nodes.count()
+    if rows * rows <= enough:
+        return rows * rows
+    degree = _tile_fold(nodes.withColumn("value", F.lit(1).cast("long")), threshold, "sum", rows_per_block)
+    return degree.agg(F.sum("folded")).first()[0] or 0
+
+
 def leader_clusters(
     df: DataFrame, threshold: float = 0.5, min_size: int = 3, id_col: str = "vec_id", vector: str = "embedding",
     centring: bool = True, rows_per_block: int = ROWS_PER_BLOCK, stored_pairs: int = STORED_PAIRS,
@@ -148,9 +157,8 @@ def leader_clusters(
     ``min_size`` is decided early.
     """
     nodes = checkpointed(unit_nodes(df, id_col, vector, centring))
-    degree = _tile_fold(nodes.withColumn("value", F.lit(1).cast("long")), threshold, "sum", rows_per_block)
     links = None
-    if (degree.agg(F.sum("folded")).first()[0] or 0) <= stored_pairs:
+    if _pair_count(nodes, threshold, rows_per_block, stored_pairs) <= stored_pairs:
         one_way = checkpointed(similar_nodes(nodes, threshold, rows_per_block).select("a", "b"))
         zero = V.dot(F.col("v"), F.col("v")) >= threshold
         links = checkpointed(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecmeadow.functions import vectors as V
+from vecmeadow.functions.arrow import matrix_of, unit_rows
 from vecmeadow.operators import bank as B
 from vecmeadow.operators.bank import UNKNOWN
 from vecmeadow.operators.tiles import two_sided_tiles
@@ -37,12 +38,6 @@ def cosines(part: tuple, queries: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(raw, starts, axis=1)
 
 
-def unit_rows(m: np.ndarray) -> np.ndarray:
-    lengths = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    flat = 1.0 / np.sqrt(m.shape[1])
-    return np.where(lengths < 1e-12, flat, m / np.where(lengths < 1e-12, 1.0, lengths))
-
-
 def pack(labels: list, rows: list, centring: bool = False) -> tuple:
     """``(matrix, labels, starts, mean)``: unit prototypes sorted by label; ``starts`` marks where each label begins.
 
@@ -64,19 +59,6 @@ def pack(labels: list, rows: list, centring: bool = False) -> tuple:
     return matrix, names, np.array(starts), mean
 
 
-def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
-    """A list column as a (rows, dim) matrix; any other row length is an error."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    if column.null_count or len(values) != len(column) * dim:
-        raise ValueError(f"every vector needs {dim} dimensions")
-    sizes = np.diff(column.offsets.to_numpy())
-    if len(sizes) and not (sizes == dim).all():
-        raise ValueError(f"every vector needs {dim} dimensions")
-    return values.astype(np.float64).reshape(len(column), dim)
-
-
 def top_columns(scores: np.ndarray, k: int) -> np.ndarray:
     """Column numbers of the ``k`` best per row; equal scores keep the smaller label first."""
     k = min(k, scores.shape[1])
