@@ -260,9 +260,10 @@ def _(t):
     )
 
 
-@query("j6_not_enrolled", "SELECT DISTINCT c_custkey AS label FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j6_not_enrolled", "SELECT DISTINCT c_custkey AS label FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def _(t):
-    return M.not_enrolled(t.customer.select(F.col("c_custkey").alias("label")), t.orders.select(F.col("o_custkey").alias("label")))
+    urgent = t.orders.filter("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("label"))
+    return M.not_enrolled(t.customer.select(F.col("c_custkey").alias("label")), urgent)
 
 
 @query(
