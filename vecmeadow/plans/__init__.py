@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("vectors", "series", "discovery", "records", "scalars", "streams")
+MODULES = ("vectors", "series", "discovery", "records", "scalars", "streams", "clips")
 
 
 def _load():
