@@ -29,10 +29,10 @@ listed AS (SELECT event_id, list(value) OVER (PARTITION BY user_id, session, eve
 ema AS (SELECT *, list_reduce(l, lambda a, x: 0.55::DOUBLE * x + (1 - 0.55::DOUBLE) * a) AS smoothed FROM listed)"""
 
 
-@query("w4_gap_reset_smoothing", f"WITH {SMOOTHED} SELECT event_id, session, round(smoothed, 6) AS smoothed FROM ema")
+@query("w4_gap_reset_smoothing", f"WITH {SMOOTHED} SELECT event_id, session, round(smoothed + 1e-9, 6) AS smoothed FROM ema")
 def _(t):
     df = Q.smooth(stream(t), "user_id", "event_type", "us", "event_id", "value", 0.55, GAP)
-    return df.select("event_id", "session", F.round("smoothed", 6).alias("smoothed"))
+    return df.select("event_id", "session", F.round(F.col("smoothed") + 1e-9, 6).alias("smoothed"))
 
 
 STREAK = STREAM + """,

@@ -51,7 +51,10 @@ def collected(t: Tables, out: DataFrame, mode: str = "append") -> DataFrame:
 
 
 CLOSED = "WHERE w_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-MEASURES = [F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 4).alias("peak")]
+
+
+def measures() -> list:
+    return [F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 4).alias("peak")]
 
 
 @query(
@@ -62,7 +65,7 @@ MEASURES = [F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 4).alias("peak
 def _(t):
     """One-day windows every 12 hours; windows still open at the watermark are not emitted."""
     s = W.event_time(whole(t, "events"), "ts", "1 hour")
-    out = W.sliding(s, "ts", "24 hours", "12 hours", ["user_id"], MEASURES)
+    out = W.sliding(s, "ts", "24 hours", "12 hours", ["user_id"], measures())
     return micros(collected(t, out))
 
 
@@ -77,7 +80,7 @@ def micros(df: DataFrame) -> DataFrame:
 )
 def _(t):
     s = W.event_time(whole(t, "events"), "ts", "1 hour")
-    return micros(collected(t, W.tumbling(s, "ts", "24 hours", ["user_id"], MEASURES)))
+    return micros(collected(t, W.tumbling(s, "ts", "24 hours", ["user_id"], measures())))
 
 
 @query(
@@ -90,7 +93,7 @@ def _(t):
 def _(t):
     """A session closes after six quiet hours."""
     s = W.event_time(whole(t, "events"), "ts", "1 hour")
-    return micros(collected(t, W.gap_sessions(s, "ts", "6 hours", ["user_id"], MEASURES)))
+    return micros(collected(t, W.gap_sessions(s, "ts", "6 hours", ["user_id"], measures())))
 
 
 def timed(t: Tables) -> DataFrame:
@@ -102,13 +105,13 @@ def timed(t: Tables) -> DataFrame:
 @query(
     "t4_smooth_stream",
     f"WITH {SMOOTHED}, {STREAK.removeprefix(STREAM + ',')} "
-    "SELECT e.event_id, e.user_id, round(e.smoothed, 6) AS smoothed, s.streak, s.gate AND s.streak >= 2 AS is_known FROM ema e JOIN streaks s USING (event_id)",
+    "SELECT e.event_id, e.user_id, round(e.smoothed + 1e-9, 6) AS smoothed, s.streak, s.gate AND s.streak >= 2 AS is_known FROM ema e JOIN streaks s USING (event_id)",
 )
 def _(t):
     """State carried over three micro-batches equals the batch operators over everything."""
     s = in_parts(t, timed(t), "us")
     out = state.smooth_stream(s, "user_id", "event_type", "us", "event_id", "value", 0.55, GAP, theta=10.0, sure=60.0)
-    return collected(t, out).withColumn("smoothed", F.round("smoothed", 6))
+    return collected(t, out).withColumn("smoothed", F.round(F.col("smoothed") + 1e-9, 6))
 
 
 WHOLE_FLOOR = STREAM + """,
