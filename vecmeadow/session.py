@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only when its row count is proven to be at most this.
 BROADCAST_ROWS = 200_000
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def get_spark(app: str = "vecmeadow", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -43,9 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="vecmeadow-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="vecmeadow-")
+    return _LOCAL_DIRS[app]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

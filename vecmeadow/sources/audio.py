@@ -15,7 +15,10 @@ from vecmeadow.functions.vectors import let
 
 
 def scan(spark: SparkSession, root: str, least: int = 5, glob: str = "*.wav") -> DataFrame:
-    """``<root>/<label>/<file>`` as ``label, path, length, content``, labels with at least ``least`` files."""
+    """``<root>/<label>/<file>`` as ``label, path, length, content``, labels with at least ``least`` files.
+
+    Spark's file scan leaves out files of zero bytes.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
         .select(F.element_at(F.split("path", "/"), -2).alias("label"), "path", "length", "content")
