@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from vecmeadow.functions import vectors as V
 from vecmeadow.functions.arrow import group_codes, list_column, matrix_of, unit_rows
 from vecmeadow.operators.ordered import first_rows
+from vecmeadow.session import checkpointed, small_side
 
 UNKNOWN = "Unknown"
 
@@ -130,8 +131,9 @@ def enrol_split(
     sorted: one small aggregate of ids and one join on the label.
     """
     ids = first_rows(df.select(label, id_col), [label], [F.col(id_col)], k)
-    last = ids.groupBy(label).agg(F.max(id_col).alias("__last"))
-    marked = df.join(last, label)
+    last = checkpointed(ids.groupBy(label).agg(F.max(id_col).alias("__last")))
+    # One row per label: broadcast if that is proven small, so the vectors are not shuffled.
+    marked = df.join(small_side(last), label)
     enrolled = marked.filter(F.col(id_col) <= F.col("__last")).drop("__last")
     held_out = marked.filter(F.col(id_col) > F.col("__last")).drop("__last")
     return enrolled, held_out
@@ -159,14 +161,13 @@ def centre(df: DataFrame, vector: str = "embedding", mean: Column | None = None,
 def label_spread(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """Population variance of the cosine to the label's own unit mean, per label.
 
-    With u the unit vectors and m the unit mean, ``sum(u.m) = |S|``; only the
-    squared cosines need a second pass, and that join is on the label alone.
+    Two passes over the vectors; the second meets one mean per label.
     """
     units = df.select(label, V.l2(F.col(vector), zero="keep").alias("__u"))
     means = units.groupBy(label).agg(V.vector_sum(F.col("__u")).alias("__s")).select(
         label, V.l2(F.col("__s"), zero="keep").alias("__m")
     )
-    scored = units.join(means, label).select(label, V.dot(F.col("__u"), F.col("__m")).alias("c"))
+    scored = units.join(small_side(checkpointed(means)), label).select(label, V.dot(F.col("__u"), F.col("__m")).alias("c"))
     return scored.groupBy(label).agg(
         F.var_pop("c").alias("cosine_variance"), F.count(F.lit(1)).alias("n")
     )

@@ -108,22 +108,27 @@ def score(
     if label_type not in _SQL_TYPES:
         raise TypeError(f"labels must be int, bigint or string, not {label_type}")
     # A bank of one prototype per (group, label, sub) is small next to the
-    # queries, but that is measured, not assumed.
-    shape = bank.agg(
+    # queries, but that is measured, not assumed. It is computed once for both
+    # the measurement and the rows.
+    held = bank.select(label, prototype, *([group] if group else [])).persist()
+    shape = held.agg(
         F.count(F.lit(1)).alias("rows"),
         F.max(F.size(prototype)).alias("dim"),
         F.min(F.size(prototype)).alias("narrowest"),
     ).first()
     if shape["rows"] and shape["dim"] != shape["narrowest"]:
+        held.unpersist()
         raise ValueError("prototypes differ in dimension")
-    if shape["rows"] and shape["rows"] * shape["dim"] * 8 > max_bytes:
+    fits = not shape["rows"] or shape["rows"] * shape["dim"] * 8 <= max_bytes
+    prototypes = held.collect() if fits else []
+    held.unpersist()
+    if not fits:
         return _score_large(
             queries, bank, k, vector, label, prototype, group, truth, centring, all_scores, max_bytes, id_col, keep_vector
         )
     keep = [c for c in queries.columns if keep_vector or c != vector]
-    columns = [label, prototype] + ([group] if group else [])
     packed: dict = {}
-    for row in bank.select(*columns).collect():
+    for row in prototypes:
         names, rows = packed.setdefault(row[group] if group else None, ([], []))
         names.append(row[label])
         rows.append(row[prototype])

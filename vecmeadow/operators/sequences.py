@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from vecmeadow.functions.floor import INIT_FRAMES, INIT_QUANTILE, noise_floor
 from vecmeadow.operators.ordered import CHUNK, ROWS_PER_TASK, arrange, first_rows, numbered
-from vecmeadow.session import checkpointed
+from vecmeadow.session import checkpointed, small_side
 
 
 def sessions(df: DataFrame, keys: list[str], time: str, tie: str, gap: int, limit: int = ROWS_PER_TASK) -> DataFrame:
@@ -224,7 +224,7 @@ def keep_share(df: DataFrame, keys: list[str], value: str, tie: str, share: floa
     ranked = numbered(df.withColumn("__down", -F.col(value)), keys, "__down", tie, "rank", limit).drop("__down")
     kept = F.greatest(F.floor(F.col("__n") * F.lit(float(share))), F.lit(1))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return ranked.join(sizes, keys).filter(F.col("rank") <= kept).drop("__n")
+    return ranked.join(small_side(checkpointed(sizes)), keys).filter(F.col("rank") <= kept).drop("__n")
 
 
 def capped(

@@ -21,32 +21,47 @@ def whole(t: Tables, table: str) -> DataFrame:
     return W.file_stream(t.spark, t.sf_dir, schema, glob=f"{table}.parquet")
 
 
-def in_parts(t: Tables, df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """``df`` as a stream of ``parts`` micro-batches in the order of a column."""
-    path = scratch_table(t.spark, "parts")
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0]
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = df
-        if low is not None:
-            part = part.filter(F.col(order) > low)
-        if high is not None:
-            part = part.filter(F.col(order) <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return W.file_stream(t.spark, path, df.schema, files_per_trigger=1)
-
-
-def collected(t: Tables, out: DataFrame, mode: str = "append") -> DataFrame:
+class Parts:
+    """``df`` arriving in ``parts`` steps in the order of a column: ``stream`` reads what ``arrivals`` has written."""
+
+    def __init__(self, t: Tables, df: DataFrame, order: str, parts: int = 3):
+        self.path = scratch_table(t.spark, "parts")
+        self.df, self.order = df, order
+        cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0]
+        self.bounds = [None, *cuts, None]
+        df.limit(0).write.parquet(self.path)
+        self.stream = W.file_stream(t.spark, self.path, df.schema)
+
+    def arrivals(self):
+        for low, high in zip(self.bounds, self.bounds[1:]):
+            part = self.df
+            if low is not None:
+                part = part.filter(F.col(self.order) > low)
+            if high is not None:
+                part = part.filter(F.col(self.order) <= high)
+            part.write.mode("append").parquet(self.path)
+            yield
+
+
+def run_parts(parts: Parts | None, writer, checkpoint: str) -> list:
+    """Run ``writer()`` once per arrival (once in all without parts), continuing from the same checkpoint."""
+    steps = parts.arrivals() if parts else [None]
+    return [W.run_available(writer(), checkpoint) for _ in steps]
+
+
+def collected(t: Tables, out: DataFrame, mode: str = "append", parts: Parts | None = None) -> DataFrame:
     """Run ``out`` into a Parquet table of the shared folder and read that table."""
     root = scratch_table(t.spark, "stream")
-    if mode == "append":
-        writer = out.writeStream.format("parquet").option("path", f"{root}/table")
-    else:
-        def replace(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/table")
-
-        writer = out.writeStream.outputMode(mode).foreachBatch(replace)
-    W.run_available(writer, f"{root}/checkpoint")
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/table")
+
+    def writer():
+        if mode == "append":
+            return out.writeStream.format("parquet").option("path", f"{root}/table")
+        return out.writeStream.outputMode(mode).foreachBatch(replace)
+
+    run_parts(parts, writer, f"{root}/checkpoint")
     return t.spark.read.schema(out.schema).parquet(f"{root}/table")
 
 
@@ -109,9 +124,9 @@ def timed(t: Tables) -> DataFrame:
 )
 def _(t):
     """State carried over three micro-batches equals the batch operators over everything."""
-    s = in_parts(t, timed(t), "us")
-    out = state.smooth_stream(s, "user_id", "event_type", "us", "event_id", "value", 0.55, GAP, theta=10.0, sure=60.0)
-    return collected(t, out).withColumn("smoothed", F.round(F.col("smoothed") + 1e-9, 6))
+    p = Parts(t, timed(t), "us")
+    out = state.smooth_stream(p.stream, "user_id", "event_type", "us", "event_id", "value", 0.55, GAP, theta=10.0, sure=60.0)
+    return collected(t, out, parts=p).withColumn("smoothed", F.round(F.col("smoothed") + 1e-9, 6))
 
 
 WHOLE_FLOOR = STREAM + """,
@@ -126,8 +141,9 @@ walk AS (SELECT user_id, NULL::BIGINT AS event_id, -1::BIGINT AS frame, f0 AS fl
 @query("t5_floor_stream", f"WITH RECURSIVE {WHOLE_FLOOR} SELECT user_id, event_id, round(floor + 1e-9, 6) AS noise_floor, triggered FROM walk WHERE frame >= 0")
 def _(t):
     """Users with at least 40 events have a start level."""
-    out = state.floor_stream(in_parts(t, timed(t), "us"), "user_id", "us", "event_id", "value")
-    return collected(t, out).withColumn("noise_floor", F.round(F.col("noise_floor") + 1e-9, 6))
+    p = Parts(t, timed(t), "us")
+    out = state.floor_stream(p.stream, "user_id", "us", "event_id", "value")
+    return collected(t, out, parts=p).withColumn("noise_floor", F.round(F.col("noise_floor") + 1e-9, 6))
 
 
 @query(
@@ -140,7 +156,8 @@ def _(t):
 def _(t):
     h = F.concat_ws(":", "event_type", F.floor(F.col("value") / 4).cast("string"))
     df = timed(t).select("event_id", "user_id", "us", h.alias("h"))
-    return collected(t, state.drop_recent_stream(in_parts(t, df, "us"), "user_id", "h", "us", "event_id"))
+    p = Parts(t, df, "us")
+    return collected(t, state.drop_recent_stream(p.stream, "user_id", "h", "us", "event_id"), parts=p)
 
 
 @query("t6_dedup_within", "SELECT count(*) AS n, count(DISTINCT (user_id, event_type)) AS kinds FROM (SELECT DISTINCT user_id, event_type FROM events)")
@@ -168,8 +185,9 @@ def _(t):
     root = scratch_table(t.spark, "route")
     store = BankStore(t.spark, f"{root}/bank")
     store.save(bank)
-    writer = routes.route(in_parts(t, t.embeddings, "vec_id"), store, THETA, MARGIN, f"{root}/detections", f"{root}/quarantine")
-    W.run_available(writer, f"{root}/checkpoint")
+    p = Parts(t, t.embeddings, "vec_id")
+    writer = lambda: routes.route(p.stream, store, THETA, MARGIN, f"{root}/detections", f"{root}/quarantine")
+    run_parts(p, writer, f"{root}/checkpoint")
     log = t.spark.read.parquet(f"{root}/detections")
     held = t.spark.read.parquet(f"{root}/quarantine").select("vec_id", F.col("best_match").alias("quarantined_as"))
     return log.join(held, "vec_id", "left").select("vec_id", "label", F.round("confidence", 6).alias("confidence"), "quarantined_as")
@@ -204,9 +222,9 @@ def _(t):
 def _(t):
     """Three micro-batches of labelled vectors give the bank of one fit over all of them."""
     root = scratch_table(t.spark, "online")
-    writer = routes.update_bank_stream(in_parts(t, t.embeddings, "vec_id"), f"{root}/bank")
-    W.run_available(writer, f"{root}/checkpoint")
-    bank = t.spark.read.parquet(f"{root}/bank/version=3")
+    p = Parts(t, t.embeddings, "vec_id")
+    run_parts(p, lambda: routes.update_bank_stream(p.stream, f"{root}/bank"), f"{root}/checkpoint")
+    bank = BankStore(t.spark, f"{root}/bank").load()
     return components(B.with_centroid(bank, ["label"]), ["label", "n_support"], "centroid")
 
 
@@ -214,9 +232,11 @@ def _(t):
 def _(t):
     """Counters reported by three micro-batches, added up."""
     root = scratch_table(t.spark, "metrics")
-    out = W.with_metrics(in_parts(t, timed(t), "us"), "value", F.col("value") >= 20)
-    q = W.run_available(out.writeStream.format("parquet").option("path", f"{root}/table"), f"{root}/checkpoint")
-    rows = [p["observedMetrics"]["windows"] for p in q.recentProgress if p["observedMetrics"].get("windows")]
+    p = Parts(t, timed(t), "us")
+    out = W.with_metrics(p.stream, "value", F.col("value") >= 20)
+    runs = run_parts(p, lambda: out.writeStream.format("parquet").option("path", f"{root}/table"), f"{root}/checkpoint")
+    progress = [step["observedMetrics"] for q in runs for step in q.recentProgress]
+    rows = [m["windows"] for m in progress if m.get("windows")]
     reports = [(int(r["evaluated"]), int(r["active"] or 0)) for r in rows]
     return t.spark.createDataFrame(reports, "evaluated long, active long").agg(
         F.sum("evaluated").alias("evaluated"), F.sum("active").alias("active")
@@ -225,5 +245,6 @@ def _(t):
 
 @query("t11_running_counts", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS avg_confidence FROM events GROUP BY event_type")
 def _(t):
-    out = W.running_counts(in_parts(t, timed(t), "us"), "event_type", "value")
-    return collected(t, out, "complete").withColumn("avg_confidence", F.round("avg_confidence", 4))
+    p = Parts(t, timed(t), "us")
+    out = W.running_counts(p.stream, "event_type", "value")
+    return collected(t, out, "complete", parts=p).withColumn("avg_confidence", F.round("avg_confidence", 4))
