@@ -13,7 +13,7 @@ SIMILAR = 0.4
 
 ADJACENT = CENTRED + f""",
 adj AS (SELECT a.vec_id AS i, list(b.vec_id ORDER BY b.vec_id) AS nb FROM centred a JOIN centred b ON list_dot_product(a.v, b.v) >= {SIMILAR} GROUP BY a.vec_id),
-ord AS (SELECT i, nb, row_number() OVER (ORDER BY i) AS k FROM adj),
+ord AS (SELECT i, nb, row_number() OVER (ORDER BY i) AS k FROM adj WHERE len(nb) >= 3),
 walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS leader, []::BIGINT[] AS got UNION ALL
   SELECT k, CASE WHEN ok THEN list_concat(taken, open) ELSE taken END, CASE WHEN ok THEN i END, CASE WHEN ok THEN open ELSE []::BIGINT[] END
   FROM (SELECT o.k, o.i, w.taken, list_filter(o.nb, lambda x: NOT list_contains(w.taken, x)) AS open,
