@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vecmeadow.operators.ordered import arrange, numbered, ranked_globally
+from vecmeadow.operators.ordered import arrange, before, highest, numbered, ranked_globally, total
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def test_number(rows, w, limit):
 
 @pytest.mark.parametrize("limit", [10**6, 50])
 def test_previous(rows, w, limit):
-    got = arrange(rows, ["k"], "o", "id", limit).previous(F.col("v"), "p").df.select("id", F.coalesce("p", F.lit(-99)))
+    got = arrange(rows, ["k"], "o", "id", limit).columns(p=before(F.col("v"))).result().select("id", F.coalesce("p", F.lit(-99)))
     same(got, rows.select("id", F.coalesce(F.lag("v").over(w), F.lit(-99))))
 
 
@@ -48,7 +48,7 @@ def test_previous(rows, w, limit):
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_running(rows, w, limit, inclusive):
     base = arrange(rows, ["k"], "o", "id", limit)
-    got = base.running_sum(F.col("v"), "s").running_max(F.col("v"), "m", inclusive).df
+    got = base.columns(s=total(F.col("v"))).columns(m=highest(F.col("v"), inclusive)).result()
     frame = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     want = rows.select("id", F.sum("v").over(frame).alias("s"), F.coalesce(F.max("v").over(before), F.lit(-99)).alias("m"))
@@ -58,7 +58,7 @@ def test_running(rows, w, limit, inclusive):
 def test_previous_keeps_nulls(spark):
     df = spark.createDataFrame([(1, i, None if i % 2 else i) for i in range(40)], "k int, o long, v long")
     for limit in (100, 4):
-        got = {r.o: r.p for r in arrange(df, ["k"], "o", "o", limit).previous(F.col("v"), "p").df.collect()}
+        got = {r.o: r.p for r in arrange(df, ["k"], "o", "o", limit).columns(p=before(F.col("v"))).result().collect()}
         assert got == {i: (None if i == 0 or (i - 1) % 2 else i - 1) for i in range(40)}
 
 

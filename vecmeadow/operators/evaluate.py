@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from vecmeadow.functions import vectors as V
 from vecmeadow.functions.arrow import matrix_of, unit_rows
 from vecmeadow.operators.bank import fit_bank
-from vecmeadow.operators.ordered import ROWS_PER_TASK, arrange, numbered, ranked_globally
+from vecmeadow.operators.ordered import ROWS_PER_TASK, arrange, numbered, ranked_globally, total
 from vecmeadow.operators.scoring import decide, score
 from vecmeadow.operators.tiles import ROWS_PER_BLOCK, self_tiles
 
@@ -163,7 +163,7 @@ def auroc(scores: DataFrame, value: str = "score", positive: str = "positive", l
         F.sum(flag).alias("p"), F.sum(1 - flag).alias("q")
     )
     ordered = arrange(per_score.withColumn("__all", F.lit(0)), ["__all"], "s", "s", limit)
-    ordered = ordered.running_sum(F.col("q"), "below")
+    ordered = ordered.columns(below=total(F.col("q")))
     wins = F.col("p") * (F.col("below") - F.col("q") + 0.5 * F.col("q"))
     return ordered.df.agg(
         F.round(F.sum(wins) / (F.sum("p").cast("double") * F.sum("q")), 6).alias("auroc"),

@@ -9,18 +9,65 @@ one order value fills a chunk alone, that chunk is cut again on the tie column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from vecmeadow.session import checkpointed
+from vecmeadow.session import checkpointed, small_side
 
 ROWS_PER_TASK = 2_000_000
 TIE_CUTS = 256
+BLOCK = 64
+# Cut points of all hot groups are broadcast only up to this size.
+POINT_BYTES = 64 * 1024 * 1024
 CHUNK = "__chunk"
 
 
+@dataclass(frozen=True)
+class Step:
+    """One computed column: what a chunk contributes, how contributions combine, and the row's own part."""
+
+    value: Column | None
+    per_chunk: Callable[[Column], Column]
+    across: Callable[[Column], Column]
+    local: Callable[[Column, WindowSpec], Column]
+    join: Callable[[Column, Column], Column]
+
+
+def position() -> Step:
+    """Position in the group, from 1."""
+    return Step(
+        F.lit(1).cast("long"), F.count, F.sum, lambda v, w: F.row_number().over(w).cast("long"),
+        lambda own, carry: own + F.coalesce(carry, F.lit(0)),
+    )
+
+
+def total(value: Column) -> Step:
+    """Sum of ``value`` up to and including the row."""
+    return Step(
+        value, F.sum, F.sum, lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        lambda own, carry: own + F.coalesce(carry, F.lit(0)),
+    )
+
+
+def highest(value: Column, inclusive: bool = True) -> Step:
+    """Largest ``value`` so far, null while there is none; ``greatest`` skips nulls, so an absent carry changes nothing."""
+    upto = 0 if inclusive else -1
+    return Step(
+        value, F.max, F.max, lambda v, w: F.max(v).over(w.rowsBetween(Window.unboundedPreceding, upto)), F.greatest
+    )
+
+
+def before(value: Column) -> Step:
+    """``value`` of the row before, null on the first row of the group. It is wrapped so that a null value is kept."""
+    return Step(
+        F.struct(value.alias("v")), lambda v: F.max_by(v, F.col("__at")), F.last, lambda v, w: F.lag(v).over(w),
+        lambda own, carry: F.coalesce(own, carry)["v"],
+    )
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows of each group in ascending (order, tie); ``split`` is true when hot groups were cut."""
@@ -31,71 +78,49 @@ class Ordered:
     tie: str
     split: bool
     largest: int
+    staged: bool = False
 
-    def with_df(self, df: DataFrame) -> Ordered:
-        return replace(self, df=df)
-
-    @property
-    def _local(self):
+    def columns(self, **steps: Step) -> Ordered:
+        """Add one column per step; the steps share one summary of the chunks and one join."""
         parts = [*self.keys, CHUNK] if self.split else list(self.keys)
-        return Window.partitionBy(*parts).orderBy(self.order, self.tie)
-
-    def _carry(self, per_chunk: Column, across: Column) -> DataFrame:
-        """One row per hot chunk holding ``across`` evaluated over the chunks before it."""
-        summary = (
-            self.df.filter(F.col(CHUNK) >= 0).groupBy(*self.keys, CHUNK).agg(per_chunk.alias("__total"))
+        window = Window.partitionBy(*parts).orderBy(self.order, self.tie)
+        if not self.split:
+            none = F.lit(None)
+            added = {out: _alone(s, window, none) for out, s in steps.items()}
+            return replace(self, df=self.df.withColumns(added))
+        # A summary reads its input a second time; storing the input of a later
+        # stage keeps the reads from doubling with every stage.
+        source = checkpointed(self.df) if self.staged else self.df
+        names = list(steps)
+        value = {out: f"__v{i}" for i, out in enumerate(names)}
+        df = source.withColumns({value[out]: s.value for out, s in steps.items()})
+        df = df.withColumn("__at", F.struct(F.col(self.order).alias("o"), F.col(self.tie).alias("t")))
+        summary = df.filter(F.col(CHUNK) >= 0).groupBy(*self.keys, CHUNK).agg(
+            *[s.per_chunk(F.col(value[out])).alias(f"__t{i}") for i, (out, s) in enumerate(steps.items())]
+        )
+        earlier = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        carry = summary.select(
+            *self.keys, CHUNK,
+            *[s.across(F.col(f"__t{i}")).over(earlier).alias(f"__c{i}") for i, s in enumerate(steps.values())],
         )
-        before = (
-            Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.join(carry, [*self.keys, CHUNK], "left")
+        df = df.withColumns(
+            {
+                out: s.join(s.local(F.col(value[out]), window), F.col(f"__c{i}"))
+                for i, (out, s) in enumerate(steps.items())
+            }
         )
-        return summary.select(*self.keys, CHUNK, across.over(before).alias("__carry"))
+        temporary = ["__at", *value.values(), *[f"__c{i}" for i in range(len(names))]]
+        return replace(self, df=df.drop(*temporary), staged=True)
 
-    def _joined(self, carry: DataFrame) -> DataFrame:
-        return self.df.join(carry, [*self.keys, CHUNK], "left")
+    def result(self) -> DataFrame:
+        return self.df.drop(CHUNK)
 
-    def number(self, out: str) -> Ordered:
-        """Position in the group, from 1."""
-        local = F.row_number().over(self._local).cast("long")
-        if not self.split:
-            return self.with_df(self.df.withColumn(out, local))
-        df = self._joined(self._carry(F.count(F.lit(1)), F.sum("__total")))
-        df = df.withColumn(out, local + F.coalesce("__carry", F.lit(0)))
-        return self.with_df(df.drop("__carry"))
-
-    def running_sum(self, value: Column, out: str) -> Ordered:
-        """Sum of ``value`` up to and including the row."""
-        frame = self._local.rowsBetween(Window.unboundedPreceding, 0)
-        if not self.split:
-            return self.with_df(self.df.withColumn(out, F.sum(value).over(frame)))
-        staged = self.with_df(self.df.withColumn("__value", value))
-        df = staged._joined(staged._carry(F.sum("__value"), F.sum("__total")))
-        total = F.sum("__value").over(frame) + F.coalesce("__carry", F.lit(0))
-        return self.with_df(df.withColumn(out, total).drop("__carry", "__value"))
-
-    def running_max(self, value: Column, out: str, inclusive: bool = True) -> Ordered:
-        """Largest ``value`` so far; null while there is none."""
-        frame = self._local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        if not self.split:
-            return self.with_df(self.df.withColumn(out, F.max(value).over(frame)))
-        staged = self.with_df(self.df.withColumn("__value", value))
-        df = staged._joined(staged._carry(F.max("__value"), F.max("__total")))
-        # greatest() skips nulls, so an absent carry changes nothing.
-        best = F.greatest(F.max("__value").over(frame), F.col("__carry"))
-        return self.with_df(df.withColumn(out, best).drop("__carry", "__value"))
-
-    def previous(self, value: Column, out: str) -> Ordered:
-        """``value`` of the row before, null on the first row of the group."""
-        if not self.split:
-            return self.with_df(self.df.withColumn(out, F.lag(value).over(self._local)))
-        staged = self.with_df(
-            self.df.withColumn("__value", F.struct(value.alias("v"))).withColumn(
-                "__at", F.struct(F.col(self.order).alias("o"), F.col(self.tie).alias("t"))
-            )
-        )
-        last = F.max_by("__value", "__at")
-        df = staged._joined(staged._carry(last, F.last("__total")))
-        found = F.coalesce(F.lag("__value").over(self._local), F.col("__carry"))["v"]
-        return self.with_df(df.withColumn(out, found).drop("__carry", "__value", "__at"))
+
+def _alone(step: Step, window: WindowSpec, none: Column) -> Column:
+    """A step over whole groups, where nothing is carried."""
+    own = step.local(step.value, window)
+    return own if step.join is F.greatest else step.join(own, none)
 
 
 def arrange(df: DataFrame, keys: list[str], order: str, tie: str, limit: int = ROWS_PER_TASK) -> Ordered:
@@ -112,33 +137,39 @@ def arrange(df: DataFrame, keys: list[str], order: str, tie: str, limit: int = R
         return Ordered(df, tuple(keys), order, tie, False, largest)
     cuts = min(5000, 4 * -(-largest // limit))
     fractions = [(i + 1) / (cuts + 1) for i in range(cuts)]
-    # At most N / limit groups are hot, so this table is small by construction.
-    hot = counts.filter(F.col("__n") > limit)
+    hot = checkpointed(counts.filter(F.col("__n") > limit))
     points = (
-        df.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+        df.join(small_side(hot.select(*keys)), keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(order, fractions, 10_000).alias("__points"))
         .withColumn("__points", F.array_sort(F.array_distinct("__points")))
+        .withColumn("__coarse", F.filter("__points", lambda p, i: i % BLOCK == 0))
         .join(hot.select(*keys, "__lo", "__hi"), keys)
     )
     points = checkpointed(points)
     at = F.col(order)
-    below = F.size(F.filter("__points", lambda p: p < at))
-    equal = F.exists("__points", lambda p: p == at)
+    # Points below the value: whole blocks by their first points, then one block.
+    block = F.size(F.filter("__coarse", lambda p: p < at))
+    inner = F.slice("__points", F.greatest(block - 1, F.lit(0)) * BLOCK + 1, F.lit(BLOCK))
+    below = F.when(block == 0, F.lit(0)).otherwise(
+        (block - 1) * BLOCK + F.size(F.filter(inner, lambda p: p < at))
+    )
+    equal = F.coalesce(F.get("__points", F.col("__below")) == at, F.lit(False))
     width = F.col("__hi").cast("double") - F.col("__lo").cast("double") + 1.0
     inside = F.floor((F.col(tie).cast("double") - F.col("__lo").cast("double")) / width * TIE_CUTS)
-    chunk = (below * 2 + equal.cast("long")) * (TIE_CUTS + 1) + F.when(equal, inside).otherwise(F.lit(0))
+    chunk = (F.col("__below") * 2 + equal.cast("long")) * (TIE_CUTS + 1) + F.when(equal, inside).otherwise(F.lit(0))
     cut = (
-        df.join(F.broadcast(points), keys, "left")
+        df.join(small_side(points, max(1, POINT_BYTES // (cuts * 8))), keys, "left")
+        .withColumn("__below", F.when(F.col("__points").isNotNull(), below))
         .withColumn(CHUNK, F.coalesce(chunk.cast("long"), F.lit(-1).cast("long")))
-        .drop("__points", "__lo", "__hi")
+        .drop("__points", "__coarse", "__below", "__lo", "__hi")
     )
     return Ordered(cut, tuple(keys), order, tie, True, largest)
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, tie: str, out: str, limit: int = ROWS_PER_TASK) -> DataFrame:
     """``row_number`` per group without putting a hot group in one task."""
-    return arrange(df, keys, order, tie, limit).number(out).df.drop(CHUNK)
+    return arrange(df, keys, order, tie, limit).columns(**{out: position()}).result()
 
 
 def ranked_globally(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecmeadow.functions.floor import INIT_FRAMES, INIT_QUANTILE, noise_floor
-from vecmeadow.operators.ordered import CHUNK, ROWS_PER_TASK, arrange, first_rows, numbered
+from vecmeadow.operators.ordered import ROWS_PER_TASK, arrange, before, first_rows, highest, numbered, position, total
 from vecmeadow.session import checkpointed, small_side
 
 
 def sessions(df: DataFrame, keys: list[str], time: str, tie: str, gap: int, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``session``: it grows by one after each pause longer than ``gap`` (``time`` is numeric)."""
-    rows = arrange(df, keys, time, tie, limit).previous(F.col(time), "__before")
+    rows = arrange(df, keys, time, tie, limit).columns(__before=before(F.col(time)))
     fresh = (F.col("__before").isNull() | (F.col(time) - F.col("__before") > gap)).cast("long")
-    return rows.running_sum(fresh, "session").df.drop(CHUNK, "__before")
+    return rows.columns(session=total(fresh)).result().drop("__before")
 
 
 def smooth(
@@ -37,10 +37,10 @@ def smooth(
     decayed below the smallest difference a double can hold.
     """
     keys = [stream, "session", label]
-    rows = arrange(sessions(df, [stream], time, tie, gap, limit), keys, time, tie, limit).number("__n")
+    rows = arrange(sessions(df, [stream], time, tie, gap, limit), keys, time, tie, limit).columns(__n=position())
     keep = 1.0 - alpha
     block_rows = max(2, int(200 / -math.log10(keep))) if 0 < keep < 1 else 1 << 30
-    numbered_rows = rows.df.drop(CHUNK)
+    numbered_rows = rows.result()
     at = F.col("__n") - 1
     blocks = numbered_rows.withColumn("__b", F.floor(at / block_rows)).withColumn("__j", at % block_rows)
     if keep == 0:
@@ -72,16 +72,18 @@ def streaks(
     """
     base = df.withColumn("__gate", F.coalesce(gate, F.lit(False))).withColumn("__sure", F.coalesce(sure, F.lit(False)))
     state = F.struct(F.col(label).alias("l"), F.col("__gate").alias("g"))
-    rows = arrange(base, [stream], time, tie, limit).number("__n").previous(state, "__prev")
+    rows = arrange(base, [stream], time, tie, limit).columns(__n=position(), __prev=before(state))
     same = F.col("__gate") & F.coalesce(F.col("__prev.g") & (F.col("__prev.l") == F.col(label)), F.lit(False))
     begin = F.when(~same, F.col("__n"))
-    rows = rows.running_max(begin, "__begin")
-    rows = rows.running_max(F.when(F.col("__gate") & F.col("__sure"), F.col("__n")), "__set")
+    rows = rows.columns(
+        __begin=highest(begin), __set=highest(F.when(F.col("__gate") & F.col("__sure"), F.col("__n")))
+    )
     from_begin = F.col("__n") - F.col("__begin") + 1
     from_set = F.when(F.col("__set") >= F.col("__begin"), F.col("__n") - F.col("__set") + needed)
     streak = F.when(F.col("__gate"), F.coalesce(from_set, from_begin)).otherwise(F.lit(0)).cast("long")
-    df = rows.df.withColumn("streak", streak).withColumn("is_known", F.col("__gate") & (F.col("streak") >= needed))
-    return df.drop(CHUNK, "__gate", "__sure", "__n", "__prev", "__begin", "__set")
+    df = rows.result().withColumn("streak", streak)
+    df = df.withColumn("is_known", F.col("__gate") & (F.col("streak") >= needed))
+    return df.drop("__gate", "__sure", "__n", "__prev", "__begin", "__set")
 
 
 def frames(df: DataFrame, stream: str, time: str, tie: str, per_clip: int = 120, limit: int = ROWS_PER_TASK) -> DataFrame:
@@ -137,9 +139,9 @@ def merge_intervals(
     df: DataFrame, keys: list[str], start: str, end: str, tolerance: float, tie: str, limit: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Join intervals that begin no later than ``tolerance`` after the furthest end so far."""
-    rows = arrange(df, keys, start, tie, limit).running_max(F.col(end), "__reach", inclusive=False)
+    rows = arrange(df, keys, start, tie, limit).columns(__reach=highest(F.col(end), inclusive=False))
     fresh = (F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + tolerance)).cast("long")
-    merged = rows.running_sum(fresh, "__island").df
+    merged = rows.columns(__island=total(fresh)).result()
     return merged.groupBy(*keys, "__island").agg(
         F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("merged")
     ).drop("__island")
@@ -240,9 +242,9 @@ def recent_repeats(
 ) -> DataFrame:
     """Add ``is_repeat``: the same content occurred at most ``within`` rows earlier in the stream."""
     rows = numbered(df, [stream], time, tie, "__n", limit)
-    rows = arrange(rows, [stream, content], "__n", "__n", limit).previous(F.col("__n"), "__before")
+    rows = arrange(rows, [stream, content], "__n", "__n", limit).columns(__before=before(F.col("__n")))
     repeat = F.coalesce(F.col("__n") - F.col("__before") <= within, F.lit(False))
-    return rows.df.withColumn("is_repeat", repeat).drop(CHUNK, "__n", "__before")
+    return rows.result().withColumn("is_repeat", repeat).drop("__n", "__before")
 
 
 def drop_recent(
@@ -257,13 +259,13 @@ def drop_recent(
     rows = numbered(df.select(stream, content, time, tie), [stream], time, tie, "__n", limit)
     state = checkpointed(rows.withColumn("kept", F.lit(True)))
     while True:
-        counted = arrange(state, [stream], "__n", "__n", limit).running_sum(F.col("kept").cast("long"), "__k")
-        counted = counted.df.drop(CHUNK).withColumn("__k", F.col("__k") - F.col("kept").cast("long"))
+        counted = arrange(state, [stream], "__n", "__n", limit).columns(__k=total(F.col("kept").cast("long")))
+        counted = counted.result().withColumn("__k", F.col("__k") - F.col("kept").cast("long"))
         # __k: kept rows before this one; a kept row itself is number __k + 1.
-        last = arrange(counted, [stream, content], "__n", "__n", limit).running_max(
-            F.when(F.col("kept"), F.col("__k") + 1), "__last", inclusive=False
+        last = arrange(counted, [stream, content], "__n", "__n", limit).columns(
+            __last=highest(F.when(F.col("kept"), F.col("__k") + 1), inclusive=False)
         )
-        decided = last.df.drop(CHUNK).withColumn(
+        decided = last.result().withColumn(
             "now", F.coalesce(F.col("__k") - F.col("__last") >= within, F.lit(True))
         )
         decided = checkpointed(decided.select(*state.columns, "now"))
