@@ -121,6 +121,41 @@ def test_bank_store(spark, tmp_path):
     assert [r.label for r in store.labels().collect()] == [1]
 
 
+def test_log_can_be_cleared_and_used_again(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(i, f"2024-01-0{i % 3 + 1} 10:00:00") for i in range(9)], "event_id long, t string")
+    rows = rows.withColumn("t", F.to_timestamp("t"))
+    log = ST.detections(rows, "event_id", F.lit("crow"), F.lit(0.9), F.lit("h"), 0.7, F.col("t"))
+    ST.append_log(log, path)
+    assert ST.clear_log(ST.read_log(spark, path), path) == 9
+    assert ST.read_log(spark, path).count() == 0
+    ST.append_log(log.filter("source_id < 4"), path)
+    assert ST.read_log(spark, path).count() == 4
+
+
+def test_replayed_batch_leaves_no_duplicates(spark, tmp_path):
+    from vecmeadow.streaming import routes
+
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "label int, embedding array<double>")
+    store = ST.BankStore(spark, str(tmp_path / "bank"))
+    store.save(fit_bank(df))
+    queries = spark.createDataFrame([(5, [1.0, 0.1]), (6, [0.7, 0.7])], "vec_id long, embedding array<double>")
+
+    class Sink:
+        def foreachBatch(self, fn):
+            self.fn = fn
+            return self
+
+    class Stream:
+        writeStream = Sink()
+
+    writer = routes.route(Stream(), store, 0.9, 0.01, str(tmp_path / "d"), str(tmp_path / "q"))
+    for batch_id in (0, 0):
+        writer.fn(queries, batch_id)
+    assert sorted((r.vec_id, r.label) for r in spark.read.parquet(str(tmp_path / "d")).collect()) == [(5, "0"), (6, "Unknown")]
+    assert [r.vec_id for r in spark.read.parquet(str(tmp_path / "q")).collect()] == [6]
+
+
 def test_names_and_taxa(spark):
     dim = C.species(spark)
     asked = spark.createDataFrame([("corvus_splendens",), (" CORVUS_splendens",), ("asian koel",), ("Pavo Cristatus",), ("dodo",)], "name string")

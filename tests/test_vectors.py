@@ -111,8 +111,10 @@ def test_leader_clusters_with_copies(spark, stored, t):
     rng = np.random.default_rng(4)
     m = unit(rng.standard_normal((8, 12)))[np.arange(90) % 8] + 0.25 * rng.standard_normal((90, 12))
     m[30:60] = m[30]  # a third of the rows are copies of one vector
-    got = N.leader_clusters(frame(spark, m), t, 3, rows_per_block=25, stored_pairs=stored)
-    assert {(r.vec_id, r.leader) for r in got.collect()} == leaders(m, t, 3)
+    large = 2**60 + 1  # ids beyond what a double can hold
+    df = frame(spark, m).withColumn("vec_id", F.col("vec_id") + F.lit(large))
+    got = N.leader_clusters(df, t, 3, rows_per_block=25, stored_pairs=stored)
+    assert {(r.vec_id - large, r.leader - large) for r in got.collect()} == leaders(m, t, 3)
 
 
 def test_mean_centring_separates_two_groups(spark):

@@ -100,9 +100,9 @@ def _tile_fold(values: DataFrame, threshold: float, how: str, rows_per_block: in
     smallest = how == "min"
 
     def side(near, nodes, other):
-        known = ~np.isnan(other)
+        known = other.is_valid().to_numpy()
         near = near[:, known]
-        values = other[known].astype(np.int64)
+        values = other.drop_null().to_numpy()
         if smallest:
             best = np.where(near, values[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
             hit = best != np.iinfo(np.int64).max
@@ -113,14 +113,13 @@ def _tile_fold(values: DataFrame, threshold: float, how: str, rows_per_block: in
 
     def fold(one, two, same):
         left, right = one.column("node").to_numpy(), two.column("node").to_numpy()
-        x = one.column("value").to_numpy().astype(np.float64)
-        y = two.column("value").to_numpy().astype(np.float64)
+        x, y = one.column("value"), two.column("value")
         for at, found in _slabs(one, two):
             near = found >= threshold
             upto = at + len(found)
             yield side(near, left[at:upto], y)
             if not same:
-                yield side(near.T, right, x[at:upto])
+                yield side(near.T, right, x.slice(at, upto - at))
 
     folded = self_tiles(values.select("node", "v", "value"), "node", fold, schema, rows_per_block)
     agg = F.min("folded") if smallest else F.sum("folded")

@@ -41,11 +41,11 @@ def top_by_count(df: DataFrame, keys: list[str], n: int, *measures: Column) -> D
 
 def station_totals(**frames: DataFrame) -> DataFrame:
     """One row with the row count of every named frame."""
-    total = None
+    counts = None
     for name, df in frames.items():
-        row = df.agg(F.count(F.lit(1)).alias(name))
-        total = row if total is None else total.join(F.broadcast(row))
-    return total
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = row if counts is None else counts.unionByName(row)
+    return counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in frames])
 
 
 def status_tally(df: DataFrame, keys: list[str], status: str, values: list[str]) -> DataFrame:

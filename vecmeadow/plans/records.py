@@ -124,7 +124,7 @@ def _(t):
     half = F.lit("2024-01-16").cast("timestamp_ntz")
     ST.append_log(event_log(t, t.events.filter(F.col("ts") < half)), path)
     ST.append_log(event_log(t, t.events.filter(F.col("ts") >= half)), path)
-    log = t.spark.read.parquet(path)
+    log = ST.read_log(t.spark, path)
     return log.select("source_id", "label", "content_hash", "confidence", "threshold", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
@@ -145,8 +145,8 @@ def _(t):
 def _(t):
     path = scratch_table(t.spark, "log")
     ST.append_log(event_log(t, t.events), path)
-    removed = ST.clear_log(t.spark, path)
-    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left_over")).select(F.lit(removed).cast("long").alias("removed"), "left_over")
+    removed = ST.clear_log(ST.read_log(t.spark, path), path)
+    return ST.read_log(t.spark, path).agg(F.count(F.lit(1)).alias("left_over")).select(F.lit(removed).cast("long").alias("removed"), "left_over")
 
 
 @query("s14_report_files")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmeadow.operators import sequences as Q
+from vecmeadow.operators.ordered import ranked_globally
 from vecmeadow.plans.registry import Tables, query
+from vecmeadow.session import small_side
 
 HOUR = 3_600_000_000
 GAP = 6 * HOUR
@@ -127,14 +129,11 @@ closed AS (SELECT user_id, band + b AS band, frame + f AS frame FROM dil, offs G
 
 def activity_mask(t: Tables) -> DataFrame:
     """Band = event type, frame = day, active = any value above 15 that day."""
-    from pyspark.sql import Window
-
-    types = t.events.select("event_type").distinct()
-    # A handful of event types: the window only numbers the bands.
-    bands = types.withColumn("band", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("long"))
+    bands = ranked_globally(t.events.select("event_type").distinct(), [F.col("event_type")])
+    bands = bands.select("event_type", (F.col("rank") - 1).cast("long").alias("band"))
     sizes = bands.agg(F.count(F.lit(1)).alias("n_bands"))
     day = (F.floor(F.col("us") / 86_400_000_000) - 19723).cast("long")
-    cells = stream(t).filter("value > 15").join(F.broadcast(bands), "event_type").select("user_id", "band", day.alias("frame")).distinct()
+    cells = stream(t).filter("value > 15").join(small_side(bands), "event_type").select("user_id", "band", day.alias("frame")).distinct()
     span = cells.agg((F.max("frame") + 1).alias("n_frames"))
     return cells.join(F.broadcast(sizes)).join(F.broadcast(span))
 

@@ -73,20 +73,25 @@ def append_log(df: DataFrame, path: str) -> None:
     df.repartition("day", F.pmod("id", F.lit(16))).write.mode("append").partitionBy("day").parquet(path)
 
 
+def read_log(spark: SparkSession, path: str, label_type: str = "string") -> DataFrame:
+    """The detection log; the fixed schema also reads a log that was just emptied."""
+    schema = (
+        f"id long, source_id long, detected_at timestamp, label {label_type}, confidence double, "
+        "content_hash string, threshold double, day date"
+    )
+    return spark.read.schema(schema).parquet(path)
+
+
 def append_quarantine(rejected: DataFrame, path: str) -> None:
     """Append rejected vectors; ``best_match`` is always the real best label."""
     rejected.write.mode("append").parquet(path)
 
 
-def clear_log(spark: SparkSession, path: str) -> int:
-    """Empty a log and return how many rows it held."""
-    log = spark.read.parquet(path)
+def clear_log(log: DataFrame, path: str, partition: str | None = "day") -> int:
+    """Empty the table behind ``log`` and return how many rows it held."""
     removed = log.count()
-    partitioned = [f for f in ("day",) if f in log.columns]
-    empty = spark.createDataFrame([], log.schema)
-    # Static overwrite replaces every partition.
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-    empty.drop(*partitioned).write.mode("overwrite").parquet(path)
+    writer = log.sparkSession.createDataFrame([], log.schema).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     return removed
 
 
