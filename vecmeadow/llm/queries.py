@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmeadow.llm import packing, sharding, token_counts
+from vecmeadow.llm import packing, quality, sharding, token_counts, toxicity, url_filter
 from vecmeadow.session import scratch_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,46 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by four rules and, beyond them, by its host's path templates."""
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def held_out(modulus: int, rest: int) -> Column:
+    """Whether the checksum of the id, as text, leaves ``rest``; not so for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Ranking:
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(5, 0))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(3, 1))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_documents(docs, quality_model(spark, sf_dir))
+    return scored.select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(spark, sf_dir))
+    return scored.select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 tokens."""
