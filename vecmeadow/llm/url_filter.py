@@ -131,7 +131,7 @@ def judge_urls(
         level_path = path_of("level")
         step.write.parquet(level_path)
         tree = spark.read.parquet(level_path)
-    templates = tree.withColumn("template", F.concat_ws("/", "prefix", F.array_join("rest", "/")))
+    templates = tree.withColumn("template", F.concat("prefix", F.array_join(F.transform("rest", lambda s: F.concat(F.lit("/"), s)), "")))
     overall = (b_all or 0) / l_all if l_all else 0.0
     smooth = lambda nb, nl, prior: (nb + smoothing * prior) / (nl + smoothing)
     hosts = templates.groupBy("host").agg(smooth(F.sum("nb"), F.sum("nl"), F.lit(overall)).alias("prior"))
