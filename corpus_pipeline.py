@@ -6,19 +6,55 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vecmeadow.llm import packing
+from vecmeadow.llm import jaccard_join, packing, quality, queries, toxicity
 from vecmeadow.session import scratch_table
 
+SCORE = "__score"
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranking accepts."""
+    model = quality.train(docs, queries.table(spark, sf_dir, "labels"), ~queries.held_out(5, 0))
+    scored = quality.score_documents(docs, model, SCORE)
+    return scored.where(F.col(SCORE) >= quality.THRESHOLD).drop(SCORE)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine does not reject."""
+    model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"), ~queries.held_out(3, 1))
+    scored = toxicity.score_documents(docs, model, SCORE)
+    return scored.where(F.col(SCORE) < toxicity.THRESHOLD).drop(SCORE)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; of rows that repeat an id, the one with the least text.
+
+    Documents without words or without an id are in no group and stay.
+    """
+    found = jaccard_join.near_duplicates(docs)
+    ids = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = ids.select(F.col("doc_id").alias("kept_id"), "rows").hint("shuffle_hash")
+    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"))
+    repeated = rows.where("rows > 1")
+    first = repeated.orderBy("text").dropDuplicates(["kept_id"]) if not ids.where("rows > 1").isEmpty() else repeated
+    return rows.where("rows = 1").unionByName(first).drop("kept_id", "rows").unionByName(docs.where("doc_id is null"))
+
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack_documents)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("jaccard_join", one_of_each_group),
+    ("packing", pack_documents),
+]
 
-# The models are trained here and the packing depends on a tokenizer, so SQL cannot give the rows.
+# Two stages decide by models that are trained here, so SQL cannot give the rows.
 ORACLE_SQL = None
 
 
