@@ -37,9 +37,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ids = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = ids.select(F.col("doc_id").alias("kept_id"), "rows").hint("shuffle_hash")
     rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"))
-    repeated = rows.where("rows > 1")
-    first = repeated.orderBy("text").dropDuplicates(["kept_id"]) if not ids.where("rows > 1").isEmpty() else repeated
-    return rows.where("rows = 1").unionByName(first).drop("kept_id", "rows").unionByName(docs.where("doc_id is null"))
+    result = rows.where("rows = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    if ids.where("rows > 1").isEmpty():
+        return result
+    least = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")
+    return result.unionByName(rows.where("rows > 1").groupBy("kept_id").agg(least).select("row.*"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
