@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmeadow.llm import fingerprints, jaccard_join, packing, quality, sharding, token_counts, toxicity, url_filter
+from vecmeadow.llm import fingerprints, jaccard_join, packing, pq_dedup, quality, sharding, token_counts, toxicity, url_filter
 from vecmeadow.session import scratch_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings with a cosine of 0.95 or more, by product quantisation."""
+    return pq_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
