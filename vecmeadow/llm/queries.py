@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmeadow.llm import fingerprints, jaccard_join, packing, pq_dedup, quality, sharding, token_counts, toxicity, url_filter
+from vecmeadow.llm import fingerprints, jaccard_join, packing, pq_dedup, quality, sentencepieces, sharding, token_counts, toxicity, url_filter
 from vecmeadow.session import scratch_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded into pieces and decoded again."""
+    return sentencepieces.summarise_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def held_out(modulus: int, rest: int) -> Column:
     """Whether the checksum of the id, as text, leaves ``rest``; not so for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
