@@ -34,19 +34,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Documents without words or without an id are in no group and stay.
     """
     found = jaccard_join.near_duplicates(docs)
-    ids = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = ids.select(F.col("doc_id").alias("kept_id"), "rows").hint("shuffle_hash")
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"))
-    result = rows.where("rows = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    if ids.where("rows > 1").isEmpty():
+    kept = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
+    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__kept"))
+    result = rows.where("__rows = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    if kept.where("__rows > 1").isEmpty():
         return result
-    least = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")
-    return result.unionByName(rows.where("rows > 1").groupBy("kept_id").agg(least).select("row.*"))
+    least = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row")
+    return result.unionByName(rows.where("__rows > 1").groupBy("__kept").agg(least).select("__row.*"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

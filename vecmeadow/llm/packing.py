@@ -83,12 +83,12 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[
     return where, offsets
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, pattern: str | None = None) -> DataFrame:
     """Pieces of all documents: full windows from the start, then the rest."""
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = worker.encoder(tokenizer, counts=False)
+        tool = worker.encoder(tokenizer, counts=False, pattern=pattern)
         for block in worker.blocks(batches):
             found = []
             for doc_id, ids in zip(block.column(0).to_pylist(), tool.encode([t or "" for t in block.column(1).to_pylist()])):
@@ -104,11 +104,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """One row per piece with its sequence and its offset there."""
+def pack(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, pattern: str | None = None
+) -> DataFrame:
+    """One row per piece with its sequence and its offset there; for ``pattern`` see ``worker.ChunkEncoder``."""
     spark = docs.sparkSession
     path = scratch_table(spark, "pieces")
-    cut_pieces(docs, tokenizer, window, end_id).write.parquet(path)
+    cut_pieces(docs, tokenizer, window, end_id, pattern).write.parquet(path)
     pieces = spark.read.parquet(path)
     groups = max(1, -(-pieces.count() // group_pieces))
 
