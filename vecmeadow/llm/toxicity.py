@@ -51,6 +51,7 @@ LANDMARKS = 256
 NEGATIVES = 8000
 COST = 50.0
 LOWEST = -2.0
+BIAS = -1.0  # a word like no landmark is clean
 SHARE = 0.015
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\`~^+="
 _LETTERS = re.compile(r"(?:(?<=\s)|^)\S(?:\s\S){2,}(?=\s|$)")
@@ -155,19 +156,16 @@ class Machine:
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights (the last is the bias) of the machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x = np.column_stack([x, np.ones(len(x))])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
+    """Weights of the machine with squared hinge loss and the bias ``BIAS``, by Newton steps on the rows inside the margin."""
     w = np.zeros(x.shape[1])
     active = None
     for _ in range(30):
-        inside = y * (x @ w) < 1
+        inside = y * (x @ w + BIAS) < 1
         if active is not None and (inside == active).all():
             break
         active = inside
         a = x[inside] * cost[inside, None]
-        w = np.linalg.solve(ridge + a.T @ x[inside], a.T @ y[inside])
+        w = np.linalg.solve(np.eye(x.shape[1]) + a.T @ x[inside], a.T @ (y[inside] - BIAS))
     return w
 
 
@@ -240,34 +238,39 @@ def fit_machine(texts: list[str], labels: np.ndarray, threshold: float = THRESHO
     negative = frequent + spread
     altered = sorted({v for w in positive for v in _variants(w)} - set(in_clean))
     table = model = None
+    hard: list[str] = []
     for _ in range(3):
+        # The clean words taken for toxic so far are landmarks and weigh more; the others most like the witnesses fill up.
         near = kernel(negative, positive).max(axis=1)
-        marks = positive[: landmarks // 2] + [negative[i] for i in np.argsort(-near, kind="stable")[: landmarks // 2]]
+        like = hard[: landmarks // 4] + [negative[i] for i in np.argsort(-near, kind="stable")[: landmarks // 2]]
+        marks = positive[: landmarks // 2] + list(dict.fromkeys(like))[: landmarks // 2]
         values, vectors = np.linalg.eigh(kernel(marks, marks))
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
         words = positive + altered + negative
         y = np.r_[np.ones(len(positive) + len(altered)), -np.ones(len(negative))]
-        cost = np.where(y > 0, COST / max(1, (y > 0).sum()), COST / max(1, (y < 0).sum())) * 100
-        cost[: len(positive)] *= 4
+        missed_before = set(hard)
+        cost = 100 * COST * np.r_[
+            np.full(len(positive), 4.0 / (len(positive) + len(altered))), np.full(len(altered), 1.0 / (len(positive) + len(altered))),
+            [(20.0 if w in missed_before else 1.0) / len(negative) for w in negative],
+        ]
         w = _hinge(kernel(words, marks) @ root, y, cost)
-        beta = root @ w[:-1]
+        beta = root @ w
         mark, feature, weight = subsequences(marks)
         used, column = np.unique(feature, return_inverse=True)
-        model = Machine(used, np.bincount(column, weight * beta[mark]), float(w[-1]), 0.0, threshold)
+        model = Machine(used, np.bincount(column, weight * beta[mark]), BIAS, 0.0, threshold)
         table = model.dense()
         missed = model.values(pool, table)
-        hard = [pool[i] for i in np.argsort(-missed, kind="stable")[:1000] if missed[i] > -1]
-        fresh = [w for w in hard if w not in set(negative)]
-        if not fresh:
+        worst = [pool[i] for i in np.argsort(-missed, kind="stable")[:1000] if missed[i] > -0.5]
+        if not worst:
             break
-        negative = negative + fresh
+        hard = list(dict.fromkeys(worst + hard))
+        negative = list(dict.fromkeys(negative + hard))
     of = dict(zip(pool_all := sorted(set(in_toxic) | set(in_clean)), model.values(pool_all, table)))
     worst = np.array([max((of[w] for w in strip(t)), default=LOWEST) for t in toxic + clean])
     truth = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
     cuts = np.unique(worst)
-    # A third of the way up: altered words score less than the plain ones in the sample.
-    middle = np.r_[cuts[0] - 1, (cuts[1:] + 2 * cuts[:-1]) / 3]
+    middle = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2]
     below = [np.searchsorted(np.sort(worst[truth == k]), middle) for k in (0, 1)]
     caught, wrong = len(toxic) - below[1], len(clean) - below[0]
     quality = 2 * caught / np.maximum(1, caught + wrong + len(toxic))
@@ -308,7 +311,8 @@ class Scorer:
 
 
 def score_documents(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``name``, in one pass without a shuffle."""
+    """All columns of ``docs`` and ``name``, which replaces a column of that name, in one pass without a shuffle."""
+    docs = docs.drop(name)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,8 @@ Segments that are numbers or long hexadecimal strings are variable at sight.
 After that the tree is built level by level. Below each node, a branch with few
 urls is variable; a branch whose tails (the shapes of the rest of the path) and
 whose labels do not differ from the whole node's by a chi-square and a
-two-proportion test is merged into the wildcard branch; the others stay literal.
+two-proportion test is merged into the wildcard branch; the others, and the only
+branch of a node, stay literal.
 The finished template of a url is rejected when its labelled purity, smoothed
 towards its host's and that towards the whole table's, reaches a threshold.
 Urls that a rule judges are the labelled ones.
@@ -83,7 +84,8 @@ def _branches(tree: DataFrame) -> DataFrame:
     share = F.col("all_b") / F.col("all_l")
     spread = F.sqrt(share * (1 - share) / F.col("nl"))
     same_labels = (F.col("nl") == 0) | (F.abs(F.col("nb") / F.col("nl") - share) <= DEVIATIONS * spread + 1e-9)
-    return fit.where((F.col("n") >= MIN_SUPPORT) & ~(same_tails & same_labels)).select("host", "prefix", "seg")
+    alone = F.col("n") == F.col("all")
+    return fit.where((F.col("n") >= MIN_SUPPORT) & (alone | ~(same_tails & same_labels))).select("host", "prefix", "seg")
 
 
 def judge_urls(
