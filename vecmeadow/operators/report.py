@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from vecmeadow.functions.text import taxon_label, title_from_slug
 
-MAX_LOG_ROWS = 500
-
 
 def is_known(label: Column) -> Column:
     return F.lower(label) != "unknown"
 
 
 def query_log(log: DataFrame, label: str | None, limit: int, label_col: str, order: list[Column]) -> DataFrame:
-    """Newest rows of the log, optionally of one label; the limit is held to 1..500."""
+    """The ``limit`` newest rows of the log, optionally of one label."""
+    if limit < 1:
+        raise ValueError("a log report needs a limit of at least 1")
     rows = log if label is None else log.filter(F.col(label_col) == label)
-    return rows.orderBy(*order).limit(max(1, min(MAX_LOG_ROWS, limit)))
+    return rows.orderBy(*order).limit(limit)
 
 
 def named_detections(log: DataFrame, stored: DataFrame, catalog: DataFrame) -> DataFrame:

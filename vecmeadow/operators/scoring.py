@@ -1,9 +1,10 @@
-"""Nearest-prototype scoring: a map-only pass over the queries.
+"""Nearest-prototype scoring: map-only passes over the queries, one for each slice of the bank.
 
-Each task multiplies Arrow batches of queries with the whole bank and keeps the
-top ``k`` per row, so nothing is exploded, sorted or shuffled. The bank is sent
-to the workers only if its measured size is under ``max_bytes``; a larger bank is
-tiled against the queries (``tiles.py``) and the per-tile winners are merged.
+A slice holds whole labels and is bounded in bytes, so it can be sent to the
+workers whatever the bank's size; most banks are one slice. A task multiplies
+Arrow batches of queries with the slice, in slabs of bounded size, and keeps the
+top ``k`` per row. The slices' winners stay on the row and are merged there, so
+nothing is exploded, sorted or shuffled, and no row is lost.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from vecmeadow.functions import vectors as V
 from vecmeadow.functions.arrow import matrix_of, unit_rows
 from vecmeadow.operators import bank as B
 from vecmeadow.operators.bank import UNKNOWN
-from vecmeadow.operators.tiles import two_sided_tiles
 
-MAX_BANK_BYTES = 256 * 1024 * 1024
+SLICE_BYTES = 16 * 1024 * 1024
+SLAB_BYTES = 64 * 1024 * 1024
 _SQL_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
@@ -38,7 +39,7 @@ def cosines(part: tuple, queries: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(raw, starts, axis=1)
 
 
-def pack(labels: list, rows: list, centring: bool = False) -> tuple:
+def pack(labels: list, rows: list, mean: np.ndarray | None = None) -> tuple:
     """``(matrix, labels, starts, mean)``: unit prototypes sorted by label; ``starts`` marks where each label begins.
 
     A plain tuple, because broadcast values are unpickled where this package may
@@ -51,10 +52,7 @@ def pack(labels: list, rows: list, centring: bool = False) -> tuple:
             names.append(labels[i])
             starts.append(position)
     matrix = unit_rows(np.array([rows[i] for i in order], dtype=np.float64))
-    mean = None
-    if centring and len(names) > 1:
-        centroids = np.add.reduceat(matrix, starts, axis=0)
-        mean = unit_rows(centroids).mean(axis=0) if len(names) != len(matrix) else matrix.mean(axis=0)
+    if mean is not None:
         matrix = unit_rows(matrix - mean)
     return matrix, names, np.array(starts), mean
 
@@ -78,7 +76,49 @@ def _candidate_list(labels: list, scores: np.ndarray, picked: np.ndarray, label_
     names = pa.array(labels, type=label_type).take(pa.array(picked.reshape(-1)))
     values = pa.array(np.take_along_axis(scores, picked, axis=1).reshape(-1))
     items = pa.StructArray.from_arrays([names, values], names=["label", "score"])
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * k + 1, k, dtype=np.int32)), items)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * k), items)
+
+
+def _means(bank: DataFrame, keys: list[str], label: str, prototype: str) -> DataFrame:
+    """Mean of the labels' unit centroids, per group; none where there is a single label."""
+    centroids = B.fit_bank(bank, [*keys, label], prototype)
+    found = centroids.groupBy(*keys).agg(V.vector_mean(V.doubles(F.col("centroid"))).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return found.filter("n > 1").select(*keys, "mean")
+
+
+def _slices(bank: DataFrame, label: str, prototype: str, group: str | None, centring: bool, max_bytes: int) -> tuple[list[dict], int]:
+    """The bank as ``{group: packed prototypes}`` of about ``max_bytes`` each, and its dimension."""
+    keys = [group] if group else []
+    held = bank.select(label, prototype, *keys).persist()
+    try:
+        shape = held.agg(
+            F.count(F.lit(1)).alias("rows"), F.max(F.size(prototype)).alias("dim"), F.min(F.size(prototype)).alias("narrowest")
+        ).first()
+        if not shape["rows"]:
+            return [{}], 0
+        if shape["dim"] != shape["narrowest"]:
+            raise ValueError("prototypes differ in dimension")
+        n = -(-shape["rows"] * shape["dim"] * 8 // max_bytes)
+        means = _means(held, keys, label, prototype).persist() if centring else None
+        cut = held.withColumn("__slice", F.pmod(F.xxhash64(*keys, label), F.lit(n)))
+        slices = []
+        for number in range(n):
+            part = cut.filter(F.col("__slice") == number)
+            packed: dict = {}
+            for row in part.collect():  # bounded by max_bytes
+                names, rows = packed.setdefault(row[group] if group else None, ([], []))
+                names.append(row[label])
+                rows.append(row[prototype])
+            centre = {}
+            if means is not None:
+                wanted = means.join(part.select(group).distinct(), group, "left_semi") if group else means
+                centre = {row[group] if group else None: np.array(row["mean"]) for row in wanted.collect()}
+            slices.append({key: pack(names, rows, centre.get(key)) for key, (names, rows) in packed.items()})
+        if means is not None:
+            means.unpersist()
+        return slices, shape["dim"]
+    finally:
+        held.unpersist()
 
 
 def score(
@@ -92,141 +132,97 @@ def score(
     truth: str | None = None,
     centring: bool = False,
     all_scores: bool = False,
-    max_bytes: int = MAX_BANK_BYTES,
-    id_col: str = "vec_id",
+    max_bytes: int = SLICE_BYTES,
     keep_vector: bool = False,
 ) -> DataFrame:
     """Add ``candidates`` (top ``k`` of ``{label, score}``, best first) to every query.
 
     ``bank`` may hold several rows per label (sub-prototypes): the label's score
     is their maximum. ``group`` names a column on both sides; a query meets only
-    the prototypes of its group, and queries of a group without prototypes are
-    left out. ``truth`` adds ``true_score`` and ``rival_score`` (best other label).
-    The vector column itself is dropped from the result unless ``keep_vector``.
+    the prototypes of its group. Where there are none, and with an empty bank, the
+    candidates are an empty list. ``truth`` adds ``true_score`` and ``rival_score``
+    (best other label). ``centring`` moves queries and prototypes by the mean of
+    the (group's) bank. The vector column is dropped from the result unless
+    ``keep_vector``.
     """
     label_type = bank.schema[label].dataType.simpleString()
     if label_type not in _SQL_TYPES:
         raise TypeError(f"labels must be int, bigint or string, not {label_type}")
-    # A bank of one prototype per (group, label, sub) is small next to the
-    # queries, but that is measured, not assumed. It is computed once for both
-    # the measurement and the rows.
-    held = bank.select(label, prototype, *([group] if group else [])).persist()
-    shape = held.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max(F.size(prototype)).alias("dim"),
-        F.min(F.size(prototype)).alias("narrowest"),
-    ).first()
-    if shape["rows"] and shape["dim"] != shape["narrowest"]:
-        held.unpersist()
-        raise ValueError("prototypes differ in dimension")
-    fits = not shape["rows"] or shape["rows"] * shape["dim"] * 8 <= max_bytes
-    prototypes = held.collect() if fits else []
-    held.unpersist()
-    if not fits:
-        return _score_large(
-            queries, bank, k, vector, label, prototype, group, truth, centring, all_scores, max_bytes, id_col, keep_vector
+    slices, dim = _slices(bank, label, prototype, group, centring, max_bytes)
+    candidate = T.ArrayType(
+        T.StructType([T.StructField("label", bank.schema[label].dataType), T.StructField("score", T.DoubleType())])
+    )
+    scored = queries
+    for number, banks in enumerate(slices):
+        added = [T.StructField(f"__c{number}", candidate)]
+        if truth:
+            added += [T.StructField(f"__t{number}", T.DoubleType()), T.StructField(f"__r{number}", T.DoubleType())]
+        schema = T.StructType([*scored.schema.fields, *added])
+        shipped = queries.sparkSession.sparkContext.broadcast(banks)
+        scored = scored.mapInArrow(
+            _pass(shipped, dim, None if all_scores else k, vector, group, truth, _SQL_TYPES[label_type], [f.name for f in added]), schema
         )
-    keep = [c for c in queries.columns if keep_vector or c != vector]
-    packed: dict = {}
-    for row in prototypes:
-        names, rows = packed.setdefault(row[group] if group else None, ([], []))
-        names.append(row[label])
-        rows.append(row[prototype])
-    banks = {key: pack(names, rows, centring) for key, (names, rows) in packed.items()}
-    shipped = queries.sparkSession.sparkContext.broadcast(banks)
-    dim = shape["dim"] or 0
-    arrow_label = _SQL_TYPES[label_type]
-
-    fields = [queries.schema[c] for c in keep]
-    candidate = T.StructType([T.StructField("label", bank.schema[label].dataType), T.StructField("score", T.DoubleType())])
-    fields.append(T.StructField("candidates", T.ArrayType(candidate)))
+    numbers = range(len(slices))
+    found = F.col("__c0") if len(slices) == 1 else _best_first(F.flatten(F.array(*[F.col(f"__c{i}") for i in numbers])), None if all_scores else k)
+    columns = [F.col(c) for c in queries.columns if keep_vector or c != vector] + [found.alias("candidates")]
     if truth:
-        fields += [T.StructField("true_score", T.DoubleType()), T.StructField("rival_score", T.DoubleType())]
+        own = F.coalesce(*[F.col(f"__t{i}") for i in numbers])
+        rivals = [F.col(f"__r{i}") for i in numbers]
+        rival = rivals[0] if len(rivals) == 1 else F.greatest(*rivals)
+        columns += [own.alias("true_score"), F.coalesce(rival, F.lit(0.0)).alias("rival_score")]
+    return scored.select(*columns)
+
+
+def _pass(shipped, dim: int, k: int | None, vector: str, group: str | None, truth: str | None, label_type: pa.DataType, added: list[str]):
+    """The function that adds one slice's candidates to Arrow batches of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.schema.get_field_index
             if group:
-                keys = batch.column(batch.schema.get_field_index(group)).to_pylist()
+                keys = batch.column(at(group)).to_pylist()
                 wanted = {}
                 for position, key in enumerate(keys):
                     wanted.setdefault(key, []).append(position)
-                pieces = [(key, batch.take(pa.array(at))) for key, at in wanted.items()]
+                pieces = [(key, batch.take(pa.array(rows))) for key, rows in wanted.items()]
             else:
                 pieces = [(None, batch)]
-            for key, piece in pieces:
-                bank_part = shipped.value.get(key)
-                if bank_part is None or piece.num_rows == 0:
-                    continue
-                found = cosines(bank_part, matrix_of(piece.column(piece.schema.get_field_index(vector)), dim))
-                bank_labels = bank_part[1]
-                picked = top_columns(found, len(bank_labels) if all_scores else k)
-                arrays = [piece.column(piece.schema.get_field_index(c)) for c in keep]
-                arrays.append(_candidate_list(bank_labels, found, picked, arrow_label))
-                names = keep + ["candidates"]
-                if truth:
-                    own, rival = _true_and_rival(
-                        bank_labels, found, piece.column(piece.schema.get_field_index(truth)).to_pylist()
-                    )
-                    arrays += [own, rival]
-                    names += ["true_score", "rival_score"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return queries.mapInArrow(run, T.StructType(fields))
+            for key, whole in pieces:
+                part = shipped.value.get(key)
+                wide = 1 if part is None else len(part[0])
+                slab = max(1, SLAB_BYTES // (8 * wide))
+                for start in range(0, whole.num_rows, slab):
+                    piece = whole.slice(start, slab)
+                    truths = piece.column(at(truth)).to_pylist() if truth else None
+                    if part is None:
+                        found, names = np.zeros((piece.num_rows, 0)), []
+                    else:
+                        found, names = cosines(part, matrix_of(piece.column(at(vector)), dim)), part[1]
+                    picked = top_columns(found, len(names) if k is None else k)
+                    arrays = [*piece.columns, _candidate_list(names, found, picked, label_type)]
+                    if truth:
+                        arrays += _true_and_rival(names, found, truths)
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*piece.schema.names, *added])
+
+    return run
 
 
 def _true_and_rival(labels: list, scores: np.ndarray, truths: list) -> tuple[pa.Array, pa.Array]:
-    """Score of the true label (null if it has no prototype) and the best score of any other label (0 if none)."""
+    """Score of the true label and the best score of any other label; null where there is none."""
     at = {name: i for i, name in enumerate(labels)}
-    columns = np.array([at.get(t, -1) for t in truths])
+    columns = np.array([at.get(t, -1) for t in truths], dtype=np.int64)
     rows = np.arange(len(columns))
     known = columns >= 0
-    own = np.where(known, scores[rows, np.where(known, columns, 0)], np.nan)
+    if not labels:
+        return pa.nulls(len(rows), pa.float64()), pa.nulls(len(rows), pa.float64())
+    own = scores[rows, np.where(known, columns, 0)]
     others = scores.copy()
     others[rows[known], columns[known]] = -np.inf
     rival = others.max(axis=1)
-    rival = np.where(np.isneginf(rival), 0.0, rival)
-    return pa.array(own, mask=~known), pa.array(rival)
-
-
-def _score_large(
-    queries, bank, k, vector, label, prototype, group, truth, centring, all_scores, max_bytes, id_col, keep_vector
-):
-    """Exact scores against a bank that is too large to broadcast."""
-    if centring:
-        means = B.fit_bank(bank, [group, label] if group else label, prototype)
-        if group:
-            raise ValueError("centring is defined over one bank, not per group")
-        mean = B.mean_as_column(means, "centroid")
-        return _score_large(
-            queries.withColumn(vector, V.centred(V.l2(F.col(vector)), mean)),
-            bank.withColumn(prototype, V.centred(V.l2(F.col(prototype)), mean)),
-            k, vector, label, prototype, group, truth, False, all_scores, max_bytes, id_col, keep_vector,
-        )
-    wanted = bank.select(label).distinct().count() if all_scores else (max(k, 2) if truth else k)
-    if group:
-        found = _score_joined(queries, bank, wanted, vector, label, prototype, group, id_col)
-    else:
-        found = _score_tiled(queries, bank, wanted, vector, label, prototype, max_bytes, id_col)
-    kept = queries if keep_vector else queries.drop(vector)
-    on = [id_col, group] if group else [id_col]
-    scored = kept.join(found, on)
-    if truth:
-        # The best other label is one of the two best labels; the true label's
-        # own score is an equality join.
-        own = (
-            queries.select(*on, vector, F.col(truth).alias(label))
-            .join(bank.select(*([group] if group else []), label, F.col(prototype).alias("__p")), [label, *([group] if group else [])])
-            .groupBy(*on)
-            .agg(F.max(V.dot(V.l2(F.col(vector)), V.l2(F.col("__p")))).alias("true_score"))
-        )
-        others = F.filter("candidates", lambda c: c["label"] != F.col(truth))
-        scored = scored.join(own, on, "left").withColumn(
-            "rival_score", F.coalesce(F.get(others, F.lit(0))["score"], F.lit(0.0))
-        )
-    return scored if all_scores else scored.withColumn("candidates", F.slice("candidates", 1, k))
+    return pa.array(own, mask=~known), pa.array(rival, mask=np.isneginf(rival))
 
 
-def _best_first(candidates: Column, k: int) -> Column:
+def _best_first(candidates: Column, k: int | None) -> Column:
     ranked = F.array_sort(
         candidates,
         lambda a, b: F.when(a["score"] > b["score"], -1)
@@ -235,56 +231,25 @@ def _best_first(candidates: Column, k: int) -> Column:
         .when(a["label"] > b["label"], 1)
         .otherwise(0),
     )
-    return F.slice(ranked, 1, k)
-
-
-def _score_joined(queries, bank, k, vector, label, prototype, group, id_col):
-    """Queries meet the prototypes of their own group through an equality join on the group."""
-    q = queries.select(id_col, group, V.l2(F.col(vector)).alias("__q"))
-    pairs = q.join(bank.select(group, F.col(label).alias("__l"), V.l2(F.col(prototype)).alias("__p")), group)
-    per_label = pairs.groupBy(id_col, group, "__l").agg(F.max(V.dot(F.col("__q"), F.col("__p"))).alias("__s"))
-    all_of = F.collect_list(F.struct(F.col("__l").alias("label"), F.col("__s").alias("score")))
-    return per_label.groupBy(id_col, group).agg(_best_first(all_of, k).alias("candidates"))
-
-
-def _score_tiled(queries, bank, k, vector, label, prototype, max_bytes, id_col):
-    """Top-k per (query, bank tile), merged per query."""
-    label_type = bank.schema[label].dataType
-    candidate = T.StructType([T.StructField("label", label_type), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([queries.schema[id_col], T.StructField("candidates", T.ArrayType(candidate))])
-    arrow_label = _SQL_TYPES[label_type.simpleString()]
-
-    def best(left, right):
-        rows = right.column(prototype).to_pylist()
-        part = pack(right.column(label).to_pylist(), rows)
-        found = cosines(part, matrix_of(left.column(vector), len(rows[0])))
-        picked = top_columns(found, k)
-        return pa.table(
-            {id_col: left.column(id_col), "candidates": _candidate_list(part[1], found, picked, arrow_label)}
-        )
-
-    # A label's sub-prototypes share a tile row by hashing on the label.
-    tiles = two_sided_tiles(
-        queries.select(id_col, vector), id_col, bank.select(label, prototype), label, best, schema, max_bytes
-    )
-    # Every query has at most k rows per bank tile here; the merge keeps k.
-    merged = tiles.groupBy(id_col).agg(F.flatten(F.collect_list("candidates")).alias("candidates"))
-    return merged.withColumn("candidates", _best_first(F.col("candidates"), k))
+    return ranked if k is None else F.slice(ranked, 1, k)
 
 
 def margin_of(candidates: Column) -> Column:
-    """Best minus second score; the second counts as 0 when there is only one label."""
-    second = F.coalesce(F.get(candidates, F.lit(1))["score"], F.lit(0.0))
-    return F.get(candidates, F.lit(0))["score"] - second
+    """Best minus second score; a score that is not there counts as 0."""
+    first, second = (F.coalesce(F.get(candidates, F.lit(i))["score"], F.lit(0.0)) for i in (0, 1))
+    return first - second
 
 
 def decide(scored: DataFrame, theta: float, margin: float | None = None) -> DataFrame:
-    """Add ``best_label, score, margin, is_known, predicted``. Equality with either bound accepts."""
+    """Add ``best_label, score, margin, is_known, predicted``. Equality with either bound accepts.
+
+    Without candidates the score is 0 and the prediction ``Unknown``.
+    """
     best = F.get("candidates", F.lit(0))
     df = scored.withColumns(
-        {"best_label": best["label"], "score": best["score"], "margin": margin_of(F.col("candidates"))}
+        {"best_label": best["label"], "score": F.coalesce(best["score"], F.lit(0.0)), "margin": margin_of(F.col("candidates"))}
     )
-    known = F.col("score") >= theta
+    known = (F.col("score") >= theta) & (F.size("candidates") > 0)
     if margin is not None:
         known = known & (F.col("margin") >= margin)
     df = df.withColumn("is_known", F.coalesce(known, F.lit(False)))
@@ -295,17 +260,13 @@ def classify(
     queries: DataFrame, bank: DataFrame, theta: float, margin: float | None = None, k: int = 2, **options
 ) -> DataFrame:
     """Score and decide in one plan; an empty bank gives ``Unknown`` with score 0."""
-    if bank.isEmpty():
-        label_type = bank.schema[options.get("label", "label")].dataType
-        none = T.ArrayType(T.StructType([T.StructField("label", label_type), T.StructField("score", T.DoubleType())]))
-        empty = queries.drop(options.get("vector", "embedding")).withColumn("candidates", F.array().cast(none))
-        return decide(empty, theta, margin).withColumn("score", F.lit(0.0)).withColumn("margin", F.lit(0.0))
     return decide(score(queries, bank, k=max(k, 2), **options), theta, margin)
 
 
-def candidate_rows(scored: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """One row per kept candidate: ``keep..., rank, label, score``."""
-    return scored.select(*keep, F.posexplode(F.slice("candidates", 1, k)).alias("__p", "c")).select(
+def candidate_rows(scored: DataFrame, k: int | None, keep: list[str]) -> DataFrame:
+    """One row per kept candidate (all without ``k``): ``keep..., rank, label, score``."""
+    kept = F.col("candidates") if k is None else F.slice("candidates", 1, k)
+    return scored.select(*keep, F.posexplode(kept).alias("__p", "c")).select(
         *keep, (F.col("__p") + 1).cast("long").alias("rank"), F.col("c.label").alias("label"), F.col("c.score").alias("score")
     )
 

@@ -47,7 +47,7 @@ def one_iteration(df: DataFrame, centres: DataFrame, label: str, id_col: str, ve
     """Assign each row to the best centre of its own label and recompute the centres."""
     near = score(
         df.select(label, id_col, vector), centres.withColumn("__g", F.col(label)).select("__g", "sub", "centroid")
-        .withColumnRenamed("__g", label), k=1, vector=vector, label="sub", group=label, id_col=id_col, keep_vector=True,
+        .withColumnRenamed("__g", label), k=1, vector=vector, label="sub", group=label, keep_vector=True,
     )
     assigned = near.withColumn("sub", F.get("candidates", F.lit(0))["label"])
     fresh = B.fit_bank(assigned, [label, "sub"], vector).select(label, "sub", "sum_vector")

@@ -27,33 +27,6 @@ def _block_of(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
-def two_sided_tiles(
-    left: DataFrame,
-    left_id: str,
-    right: DataFrame,
-    right_id: str,
-    fn: Callable[[pa.Table, pa.Table], pa.Table],
-    schema: T.StructType,
-    max_bytes: int,
-) -> DataFrame:
-    """Apply ``fn`` to every (left block, right block)."""
-    vector = [f.name for f in right.schema.fields if isinstance(f.dataType, T.ArrayType)][0]
-    size = right.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
-    per_block = max(1, min(ROWS_PER_BLOCK, max_bytes // max(1, size["d"] * 8)))
-    right_blocks = _blocks(size["n"], per_block)
-    left_blocks = _blocks(left.count(), ROWS_PER_BLOCK)
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.withColumn("__l", _block_of(left_id, left_blocks)).withColumn("__r", others(right_blocks))
-    b = right.withColumn("__r", _block_of(right_id, right_blocks)).withColumn("__l", others(left_blocks))
-
-    def apply(one, two):
-        if one.num_rows == 0 or two.num_rows == 0:
-            return pa.table({f.name: [] for f in schema.fields}, schema=_arrow(schema))
-        return fn(one, two).cast(_arrow(schema))
-
-    return a.groupBy("__l", "__r").cogroup(b.groupBy("__l", "__r")).applyInArrow(apply, schema)
-
-
 def self_tiles(
     df: DataFrame, id_col: str, fn: Callable[[pa.Table, pa.Table, bool], Iterator[pa.Table]], schema: T.StructType,
     rows_per_block: int = ROWS_PER_BLOCK,

@@ -235,7 +235,7 @@ def _(t):
 
 def keyword_case(column: str) -> str:
     rules = " ".join(
-        f"WHEN regexp_matches({column}, '{'|'.join(words.split())}') THEN '{taxon}'" for taxon, words in C.TAXON_WORDS.items()
+        f"WHEN regexp_matches({column}, '{'|'.join(words)}') THEN '{taxon}'" for taxon, words in C.TAXON_WORDS.items()
     )
     return f"CASE {rules} ELSE 'aves' END"
 

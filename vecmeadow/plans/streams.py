@@ -177,7 +177,8 @@ top AS (SELECT vec_id, max(CASE WHEN place = 1 THEN label END) AS best_label, ma
 @query(
     "t7_route",
     f"{ALL_ROWS} SELECT vec_id, CASE WHEN score >= {THETA} AND score - second >= {MARGIN} THEN best_label::VARCHAR ELSE 'Unknown' END AS label, round(score, 6) AS confidence, "
-    f"CASE WHEN NOT (score >= {THETA} AND score - second >= {MARGIN}) THEN best_label END AS quarantined_as FROM top",
+    f"CASE WHEN NOT (score >= {THETA} AND score - second >= {MARGIN}) THEN best_label::VARCHAR END AS quarantined_as, "
+    f"{THETA}::DOUBLE AS threshold, sha256(vec_id::VARCHAR) AS content_hash, vec_id * 1000000 AS us FROM top",
 )
 def _(t):
     """Every vector is logged; rejected ones are also quarantined with their best match."""
@@ -186,11 +187,33 @@ def _(t):
     store = BankStore(t.spark, f"{root}/bank")
     store.save(bank)
     p = Parts(t, t.embeddings, "vec_id")
-    writer = lambda: routes.route(p.stream, store, THETA, MARGIN, f"{root}/detections", f"{root}/quarantine")
+    seconds = F.timestamp_seconds("vec_id")
+    writer = lambda: routes.route(
+        p.stream, store, THETA, MARGIN, f"{root}/detections", f"{root}/quarantine", time=seconds,
+        content=F.sha2(F.col("vec_id").cast("string"), 256),
+    )
     run_parts(p, writer, f"{root}/checkpoint")
     log = t.spark.read.parquet(f"{root}/detections")
     held = t.spark.read.parquet(f"{root}/quarantine").select("vec_id", F.col("best_match").alias("quarantined_as"))
-    return log.join(held, "vec_id", "left").select("vec_id", "label", F.round("confidence", 6).alias("confidence"), "quarantined_as")
+    return log.join(held, "vec_id", "left").select(
+        "vec_id", "label", F.round("confidence", 6).alias("confidence"), "quarantined_as", "threshold", "content_hash",
+        F.unix_micros("detected_at").alias("us"),
+    )
+
+
+@query(
+    "t7_route_without_bank",
+    "SELECT vec_id, 'Unknown' AS label, 0.0::DOUBLE AS confidence, true AS quarantined FROM embeddings",
+)
+def _(t):
+    """Before anything is enrolled every vector is logged as unknown and quarantined."""
+    root = scratch_table(t.spark, "route")
+    store = BankStore(t.spark, f"{root}/bank")
+    stream = whole(t, "embeddings")
+    W.run_available(routes.route(stream, store, THETA, MARGIN, f"{root}/detections", f"{root}/quarantine"), f"{root}/checkpoint")
+    held = t.spark.read.parquet(f"{root}/quarantine").select("vec_id", F.lit(True).alias("quarantined"))
+    log = t.spark.read.parquet(f"{root}/detections")
+    return log.join(held, "vec_id", "left").select("vec_id", "label", "confidence", F.coalesce("quarantined", F.lit(False)).alias("quarantined"))
 
 
 @query(
@@ -220,9 +243,11 @@ def _(t):
 
 @query("t9_update_bank_stream", f"WITH {UNITS}, " + centroids("bank", "units") + " SELECT label, n AS n_support, i, round(x, 6) AS x FROM (SELECT label, n, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM bank)")
 def _(t):
-    """Three micro-batches of labelled vectors give the bank of one fit over all of them."""
+    """The stored bank of the first five rows per label, then three micro-batches of the rest: the bank of one fit over all."""
     root = scratch_table(t.spark, "online")
-    p = Parts(t, t.embeddings, "vec_id")
+    enrolled, rest = B.enrol_split(t.embeddings, 5)
+    BankStore(t.spark, f"{root}/bank").save(B.fit_bank(enrolled))
+    p = Parts(t, rest, "vec_id")
     run_parts(p, lambda: routes.update_bank_stream(p.stream, f"{root}/bank"), f"{root}/checkpoint")
     bank = BankStore(t.spark, f"{root}/bank").load()
     return components(B.with_centroid(bank, ["label"]), ["label", "n_support"], "centroid")

@@ -160,7 +160,7 @@ def _(t):
 @query("f19_score_map", f"WITH {FIVE_SHOT} SELECT vec_id, label::VARCHAR AS label, round(s, 4) AS score FROM scores")
 def _(t):
     bank, held = five_shot(t)
-    rows = S.candidate_rows(S.score(held, bank, all_scores=True), 1_000_000, ["vec_id"])
+    rows = S.candidate_rows(S.score(held, bank, all_scores=True), None, ["vec_id"])
     maps = rows.groupBy("vec_id").agg(V.score_map(F.col("label"), F.col("score")).alias("scores"))
     return maps.select("vec_id", F.explode("scores").alias("label", "score"))
 
@@ -172,7 +172,7 @@ def _(t):
 def _(t):
     bank, held = five_shot(t)
     scored = S.score(held.select("vec_id", "embedding"), bank, all_scores=True)
-    return S.candidate_rows(scored, 1_000_000, ["vec_id"]).select("vec_id", "label", F.round("score", 6).alias("score"))
+    return S.candidate_rows(scored, None, ["vec_id"]).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -325,7 +325,8 @@ def _(t):
     f"WITH {FIVE_SHOT} SELECT truth, " + ", ".join(f"sum((best_label = {i})::INT)::BIGINT AS p{i}" for i in range(10)) + " FROM top GROUP BY truth",
 )
 def _(t):
-    return E.confusion_matrix(scored_five_shot(t, 1), list(range(10)))
+    labels = [r[0] for r in t.embeddings.select("label").where("label is not null").distinct().orderBy("label").collect()]
+    return E.confusion_matrix(scored_five_shot(t, 1), labels)
 
 
 OPEN_SET = RANKED + """,
@@ -611,11 +612,12 @@ def _(t):
     "sum((conf >= cut AND NOT hit)::INT)::BIGINT AS wrong, sum((conf < cut)::INT)::BIGINT AS none FROM c, g GROUP BY cut",
 )
 def _(t):
-    """Cosines serve as the logits of ten classes."""
+    """Cosines serve as the logits of the bank's classes."""
     bank, held = five_shot(t)
     scored = S.score(held, bank, all_scores=True)
     by_class = F.transform(F.array_sort("candidates"), lambda c: c["score"])
-    return E.closed_set(scored, by_class, list(range(10)), CUTS)
+    names = [r[0] for r in bank.select("label").orderBy("label").collect()]
+    return E.closed_set(scored, by_class, names, CUTS)
 
 
 @query(

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only when its row count is proven to be at most this.
+# A side is broadcast only when it is proven to hold at most so many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -62,14 +65,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table written between stages."""
     root = shared_dir(spark)
-    unique = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return os.path.join(root, f"{name}-{unique}")
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` is proven to hold at most ``limit`` rows.
-
-    Beyond the bound the frame comes back unhinted and the join shuffles.
+    return os.path.join(root, f"{name}-{uuid.uuid4()}")
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and arrays of numbers by their length, other nested values by their JSON text."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            own = F.octet_length(c)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            own = 8 * F.size(c)
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            own = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            own = F.lit(8)
+        size = size + F.greatest(F.coalesce(own, F.lit(0)), F.lit(8))
+    return size
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if ``df`` is proven to hold at most ``limit`` rows and ``most_bytes``.
+
+    Beyond a bound the frame comes back unhinted and the join shuffles.
     """
-    held = df.limit(limit + 1).count()
-    return F.broadcast(df) if held <= limit else df
+    rows, held = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return F.broadcast(df) if rows <= limit and (held or 0) <= most_bytes else df

@@ -7,41 +7,41 @@ from pyspark.sql import functions as F
 
 # Id, common name, taxon, vocal band in Hz (low, high), wanted
 # recordings. The scientific name is the id with a space and a capital.
-SPECIES = """
-corvus_splendens, House Crow, aves, 800, 3500, 40
-corvus_culminatus, Indian Jungle Crow, aves, 600, 2500, 30
-eudynamys_scolopaceus, Asian Koel, aves, 1000, 2800, 30
-acridotheres_tristis, Common Myna, aves, 1200, 5000, 30
-copsychus_fulicatus, Indian Robin, aves, 2000, 6000, 25
-pycnonotus_cafer, Red-vented Bulbul, aves, 1500, 4500, 30
-centropus_sinensis, Greater Coucal, aves, 200, 600, 25
-psilopogon_haemacephalus, Coppersmith Barbet, aves, 1000, 1800, 30
-psittacula_krameri, Rose-ringed Parakeet, aves, 2000, 6500, 30
-pavo_cristatus, Indian Peafowl, aves, 500, 3000, 30
-halcyon_smyrnensis, White-throated Kingfisher, aves, 2000, 5500, 25
-milvus_migrans, Black Kite, aves, 1500, 4000, 25
-athene_brama, Spotted Owlet, aves, 1000, 3500, 25
-copsychus_saularis, Oriental Magpie-Robin, aves, 2000, 6500, 25
-cinnyris_asiaticus, Purple Sunbird, aves, 3500, 8000, 25
-gryllus_bimaculatus, Two-spotted Cricket, insecta, 4500, 6000, 20
-teleogryllus_occipitalis, Asian Field Cricket, insecta, 4000, 7000, 20
-oecanthus_indicus, Tree Cricket, insecta, 2000, 3500, 20
-mecopoda_elongata, Short-winged Katydid, insecta, 2000, 20000, 20
-cryptotympana_aguila, Clear-winged Cicada, insecta, 5000, 14000, 20
-purana_tigrina, Large Brown Cicada, insecta, 4000, 12000, 20
-euconocephalus_varius, Conehead Katydid, insecta, 8000, 18000, 20
-gryllotalpa_orientalis, Mole Cricket, insecta, 1500, 2500, 20
-hoplobatrachus_tigerinus, Indian Bullfrog, amphibia, 300, 1800, 25
-duttaphrynus_melanostictus, Common Indian Toad, amphibia, 800, 2200, 25
-polypedates_maculatus, Indian Tree Frog, amphibia, 600, 2500, 20
-euphlyctis_cyanophlyctis, Skittering Frog, amphibia, 1000, 3200, 20
-hydrophylax_bahuvistara, Fungoid Frog, amphibia, 400, 1600, 20
-funambulus_palmarum, Indian Palm Squirrel, mammalia, 2500, 8000, 25
-macaca_mulatta, Rhesus Macaque, mammalia, 300, 3500, 25
-semnopithecus_entellus, Hanuman Langur, mammalia, 200, 2000, 25
-canis_aureus, Golden Jackal, mammalia, 400, 2800, 20
-muntiacus_muntjak, Barking Deer, mammalia, 250, 1500, 20
-"""
+SPECIES = [
+    ("corvus_splendens", "House Crow", "aves", 800, 3500, 40),
+    ("corvus_culminatus", "Indian Jungle Crow", "aves", 600, 2500, 30),
+    ("eudynamys_scolopaceus", "Asian Koel", "aves", 1000, 2800, 30),
+    ("acridotheres_tristis", "Common Myna", "aves", 1200, 5000, 30),
+    ("copsychus_fulicatus", "Indian Robin", "aves", 2000, 6000, 25),
+    ("pycnonotus_cafer", "Red-vented Bulbul", "aves", 1500, 4500, 30),
+    ("centropus_sinensis", "Greater Coucal", "aves", 200, 600, 25),
+    ("psilopogon_haemacephalus", "Coppersmith Barbet", "aves", 1000, 1800, 30),
+    ("psittacula_krameri", "Rose-ringed Parakeet", "aves", 2000, 6500, 30),
+    ("pavo_cristatus", "Indian Peafowl", "aves", 500, 3000, 30),
+    ("halcyon_smyrnensis", "White-throated Kingfisher", "aves", 2000, 5500, 25),
+    ("milvus_migrans", "Black Kite", "aves", 1500, 4000, 25),
+    ("athene_brama", "Spotted Owlet", "aves", 1000, 3500, 25),
+    ("copsychus_saularis", "Oriental Magpie-Robin", "aves", 2000, 6500, 25),
+    ("cinnyris_asiaticus", "Purple Sunbird", "aves", 3500, 8000, 25),
+    ("gryllus_bimaculatus", "Two-spotted Cricket", "insecta", 4500, 6000, 20),
+    ("teleogryllus_occipitalis", "Asian Field Cricket", "insecta", 4000, 7000, 20),
+    ("oecanthus_indicus", "Tree Cricket", "insecta", 2000, 3500, 20),
+    ("mecopoda_elongata", "Short-winged Katydid", "insecta", 2000, 20000, 20),
+    ("cryptotympana_aguila", "Clear-winged Cicada", "insecta", 5000, 14000, 20),
+    ("purana_tigrina", "Large Brown Cicada", "insecta", 4000, 12000, 20),
+    ("euconocephalus_varius", "Conehead Katydid", "insecta", 8000, 18000, 20),
+    ("gryllotalpa_orientalis", "Mole Cricket", "insecta", 1500, 2500, 20),
+    ("hoplobatrachus_tigerinus", "Indian Bullfrog", "amphibia", 300, 1800, 25),
+    ("duttaphrynus_melanostictus", "Common Indian Toad", "amphibia", 800, 2200, 25),
+    ("polypedates_maculatus", "Indian Tree Frog", "amphibia", 600, 2500, 20),
+    ("euphlyctis_cyanophlyctis", "Skittering Frog", "amphibia", 1000, 3200, 20),
+    ("hydrophylax_bahuvistara", "Fungoid Frog", "amphibia", 400, 1600, 20),
+    ("funambulus_palmarum", "Indian Palm Squirrel", "mammalia", 2500, 8000, 25),
+    ("macaca_mulatta", "Rhesus Macaque", "mammalia", 300, 3500, 25),
+    ("semnopithecus_entellus", "Hanuman Langur", "mammalia", 200, 2000, 25),
+    ("canis_aureus", "Golden Jackal", "mammalia", 400, 2800, 20),
+    ("muntiacus_muntjak", "Barking Deer", "mammalia", 250, 1500, 20),
+]
 
 # Accepted spellings of the four taxa.
 TAXON_SYNONYMS = {
@@ -58,26 +58,78 @@ TAXON_SYNONYMS = {
 
 # Name fragments that imply a taxon, tried in this order.
 AMPHIBIA_WORDS = (
-    "hoplobatrachus duttaphrynus polypedates euphlyctis hydrophylax microhyla kaloula sphaerotheca "
-    "fejervarya nyctibatrachus uperodon minervarya raorchestes indirana nasikabatrachus xanthophryne"
+    "hoplobatrachus",
+    "duttaphrynus",
+    "polypedates",
+    "euphlyctis",
+    "hydrophylax",
+    "microhyla",
+    "kaloula",
+    "sphaerotheca",
+    "fejervarya",
+    "nyctibatrachus",
+    "uperodon",
+    "minervarya",
+    "raorchestes",
+    "indirana",
+    "nasikabatrachus",
+    "xanthophryne",
 )
 INSECTA_WORDS = (
-    "gryllus teleogryllus oecanthus mecopoda cryptotympana purana euconocephalus gryllotalpa cicada cricket "
-    "katydid locust acrid hierodula conocephalus homorocoryphus gampsocleis valanga hieroglyphus acheta schistocerca"
+    "gryllus",
+    "teleogryllus",
+    "oecanthus",
+    "mecopoda",
+    "cryptotympana",
+    "purana",
+    "euconocephalus",
+    "gryllotalpa",
+    "cicada",
+    "cricket",
+    "katydid",
+    "locust",
+    "acrid",
+    "hierodula",
+    "conocephalus",
+    "homorocoryphus",
+    "gampsocleis",
+    "valanga",
+    "hieroglyphus",
+    "acheta",
+    "schistocerca",
 )
 MAMMALIA_WORDS = (
-    "funambulus macaca semnopithecus canis muntiacus elephas panthera axis vulpes sus boselaphus cervus rusa "
-    "antilope bos bubalus herpestes viverra felis prionailurus melursus hystrix"
+    "funambulus",
+    "macaca",
+    "semnopithecus",
+    "canis",
+    "muntiacus",
+    "elephas",
+    "panthera",
+    "axis",
+    "vulpes",
+    "sus",
+    "boselaphus",
+    "cervus",
+    "rusa",
+    "antilope",
+    "bos",
+    "bubalus",
+    "herpestes",
+    "viverra",
+    "felis",
+    "prionailurus",
+    "melursus",
+    "hystrix",
 )
 TAXON_WORDS = {"amphibia": AMPHIBIA_WORDS, "insecta": INSECTA_WORDS, "mammalia": MAMMALIA_WORDS}
 
 
 def default_species() -> list[tuple]:
     rows = []
-    for position, line in enumerate(SPECIES.strip().splitlines()):
-        name, common, taxon, low, high, wanted = (part.strip() for part in line.split(","))
+    for position, (name, common, taxon, low, high, wanted) in enumerate(SPECIES):
         scientific = name.replace("_", " ").capitalize()
-        rows.append((position, name, scientific, common, taxon, int(low), int(high), int(wanted)))
+        rows.append((position, name, scientific, common, taxon, low, high, wanted))
     return rows
 
 
@@ -112,7 +164,7 @@ def taxon_by_keyword(label: Column) -> Column:
     """First keyword group that occurs in the label; anything else is ``aves``."""
     rule = None
     for taxon, words in TAXON_WORDS.items():
-        hit = F.lower(label).rlike("|".join(words.split()))
+        hit = F.lower(label).rlike("|".join(words))
         rule = F.when(hit, taxon) if rule is None else rule.when(hit, taxon)
     return rule.otherwise("aves")
 

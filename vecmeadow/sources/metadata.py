@@ -8,9 +8,21 @@ from pyspark.sql import types as T
 
 from vecmeadow.operators.ordered import first_rows
 
+# The fields of a recording in a search result.
 RECORDING = T.StructType(
-    [T.StructField(n, T.StringType()) for n in "id gen sp en cnt q length lic rec file".split()]
-    + [T.StructField("also", T.ArrayType(T.StringType()))]
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("gen", T.StringType()),
+        T.StructField("sp", T.StringType()),
+        T.StructField("en", T.StringType()),
+        T.StructField("cnt", T.StringType()),
+        T.StructField("q", T.StringType()),
+        T.StructField("length", T.StringType()),
+        T.StructField("lic", T.StringType()),
+        T.StructField("rec", T.StringType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("also", T.ArrayType(T.StringType())),
+    ]
 )
 PAGE = T.StructType(
     [
@@ -60,7 +72,8 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
 def label_list(df: DataFrame, text: str) -> DataFrame:
     """Distinct non-blank names from newline or comma separated text."""
     parts = F.explode(F.split(F.col(text), "[\n,]"))
-    name = F.regexp_replace(F.col("name"), r"^\s+|\s+$", "")
+    # A set of characters to trim; a pattern anchored at the end backtracks on long runs of blanks.
+    name = F.trim(F.col("name"), F.lit(" \t\n\x0b\f\r"))
     return df.select(parts.alias("name")).select(name.alias("name")).filter("name <> ''").distinct()
 
 

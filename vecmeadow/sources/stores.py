@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def upsert_by_key(old: DataFrame, new: DataFrame, key: str, now: Column) -> DataFrame:
-    """New rows replace old ones of the same key but keep their ``created_at``; ``updated_at`` becomes ``now``."""
+    """New rows replace old ones of the same key but keep their ``created_at``; ``updated_at`` becomes ``now``.
+
+    Of new rows that repeat a key the one with the largest values counts.
+    """
+    rest = [c for c in new.columns if c != key]
+    new = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in rest])
     kept = old.join(new.select(key), key, "left_anti")
     born = old.select(key, F.col("created_at").alias("__born"))
     fresh = new.join(born, key, "left").withColumns(
@@ -17,43 +22,45 @@ def upsert_by_key(old: DataFrame, new: DataFrame, key: str, now: Column) -> Data
 
 
 class BankStore:
-    """A versioned Parquet bank: every save writes a new version, readers take the newest."""
+    """A versioned Parquet bank: every save writes a new version, readers take the newest that was written to its end."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "label"):
         self.spark, self.path, self.key = spark, path, key
 
-    def _version(self) -> int:
-        try:
-            versions = self.spark.read.parquet(self.path).select("version")
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return 0
-            raise
-        return versions.agg(F.max("version")).first()[0] or 0
-
-    def load(self, label=None) -> DataFrame:
-        """The newest version, or one label of it (pushed down to the scan)."""
-        bank = self.spark.read.parquet(f"{self.path}/version={self._version()}")
+    def version(self) -> int:
+        """The newest complete version, 0 if there is none. Spark marks a finished write with a file."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return 0
+        folders = [status.getPath() for status in files.listStatus(root) if status.getPath().getName().startswith("version=")]
+        return max((int(f.getName().split("=")[1]) for f in folders if files.exists(path(f, "_SUCCESS"))), default=0)
+
+    def load(self, label=None, version: int | None = None) -> DataFrame:
+        """The newest (or the given) version, or one label of it (pushed down to the scan)."""
+        bank = self.spark.read.parquet(f"{self.path}/version={self.version() if version is None else version}")
         return bank if label is None else bank.filter(F.col(self.key) == label)
 
     def save(self, df: DataFrame, now: Column | None = None) -> None:
         """Insert or replace prototypes by label."""
         now = F.current_timestamp() if now is None else now
-        version = self._version()
+        version = self.version()
         if version:
             whole = upsert_by_key(self.load(), df, self.key, now)
         else:
             whole = df.withColumns({"created_at": now, "updated_at": now})
-        self._write(whole, version + 1)
+        self.write(whole, version + 1)
 
     def delete(self, labels: list) -> None:
-        version = self._version()
-        self._write(self.load().filter(~F.col(self.key).isin(labels)), version + 1)
+        version = self.version()
+        self.write(self.load().filter(~F.col(self.key).isin(labels)), version + 1)
 
     def labels(self) -> DataFrame:
         return self.load().select(self.key).orderBy(self.key)
 
-    def _write(self, df: DataFrame, version: int) -> None:
+    def write(self, df: DataFrame, version: int) -> None:
+        """Write ``df`` as the given version."""
         df.write.mode("overwrite").parquet(f"{self.path}/version={version}")
 
 
@@ -69,8 +76,8 @@ def detections(
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Append to a log partitioned by day, one shuffle so that a day is not written by every task."""
-    df.repartition("day", F.pmod("id", F.lit(16))).write.mode("append").partitionBy("day").parquet(path)
+    """Append to a log partitioned by day. Rows are brought together by day, and a day is split by its size, not by a fixed number."""
+    df.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, label_type: str = "string") -> DataFrame:
