@@ -9,12 +9,27 @@ shuffle; the joins are plain equi-joins that adaptive execution may split.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmeadow.session import scratch_table
 
 
+def forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Within one block: the smallest item that links between items ``a`` and ``b`` lead to, per item."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_table(df.sparkSession, name)
     df.write.parquet(path)

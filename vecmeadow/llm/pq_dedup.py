@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmeadow.llm.components import connected_components
+from vecmeadow.llm.components import connected_components, forest
 from vecmeadow.session import scratch_table, small_side
 
 SIMILARITY = 0.95
@@ -111,10 +111,11 @@ class Index:
     def distances(self, u: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to coded vectors of one list, by table lookup."""
         parts = (u - self.centroids(np.array([cell]))).reshape(len(u), SUBSPACES, -1)
-        total = np.zeros((len(u), len(codes)), dtype=np.float32)
+        total = np.repeat((parts**2).sum(axis=(1, 2)).astype(np.float32)[:, None], len(codes), axis=1)
         for m in range(SUBSPACES):
-            table = ((parts[:, m, None] - self.words[m][None]) ** 2).sum(axis=2).astype(np.float32)
-            total += table[:, codes[:, m]]
+            # Without the query's own square, which is the same for all words and stands in the total.
+            table = ((self.words[m] ** 2).sum(axis=1) - 2 * parts[:, m] @ self.words[m].T).astype(np.float32)
+            total += np.take(table, codes[:, m], axis=1)
         return total
 
 
@@ -177,20 +178,6 @@ def _links(index: Index, cell: int, listed: pd.DataFrame, asking: pd.DataFrame,
         yield a[linked] + start, b[linked]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """Smallest item that links lead to, per item."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def linked_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """Rows (id, n_links, component_id, kept), one per row of ``vectors``."""
     spark = vectors.sparkSession
@@ -243,7 +230,7 @@ def linked_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: s
         ids, number = np.unique(both, return_inverse=True)
         i, j = number[a], number[b + len(ask)]
         links = np.bincount(i, weight[b + len(ask)], minlength=len(ids)) + np.bincount(j, weight[a], minlength=len(ids))
-        peers = ids[_forest(i, j, len(ids))]
+        peers = ids[forest(i, j, len(ids))]
         hit = links > 0
         return pd.DataFrame({"node": ids[hit], "links": links[hit].astype(np.int64), "peer": peers[hit]})
 
