@@ -90,6 +90,36 @@ def test_grouped_large_bank_agrees(clustered):
     assert sorted(map(key, small)) == sorted(map(key, S.score(df, bank, k=2, group="g", max_bytes=300).collect()))
 
 
+@pytest.mark.parametrize("options", [{"keep_vector": True, "centring": True}, {"group": "g", "centring": True}, {"group": "g", "truth": "label"}])
+def test_slices_agree_in_every_form(clustered, options):
+    _, _, df = clustered
+    df = df.withColumn("g", F.col("label") % 2)
+    bank = B.fit_bank(df.filter("vec_id < 60"), ["g", "label"])
+    one, many = (S.score(df, bank, k=2, max_bytes=size, **options).collect() for size in (10**6, 300))
+    key = lambda r: (r.vec_id, [(c.label, round(c.score, 9)) for c in r.candidates], *(r[c] for c in ("embedding", "true_score", "rival_score") if c in r))
+    rounded = lambda r: tuple([round(x, 9) for x in v] if isinstance(v, list) and v and isinstance(v[0], float) else round(v, 9) if isinstance(v, float) else v for v in key(r))
+    assert len(one) == df.count() and sorted(map(str, map(rounded, one))) == sorted(map(str, map(rounded, many)))
+
+
+def test_repeated_ids_keep_their_rows(clustered):
+    _, _, df = clustered
+    bank = B.fit_bank(df.filter("vec_id < 60"))
+    twice = df.unionByName(df)
+    assert S.score(twice, bank, max_bytes=300).count() == 2 * df.count()
+
+
+def test_no_query_is_lost_without_prototypes(clustered):
+    _, _, df = clustered
+    df = df.withColumn("g", F.col("label") % 3)
+    bank = B.fit_bank(df.filter("g = 1"), ["g", "label"])
+    rows = S.decide(S.score(df, bank, group="g", truth="label"), 0.5, 0.01).collect()
+    assert len(rows) == df.count()
+    for r in rows:
+        if r.g != 1:
+            assert (r.candidates, r.score, r.margin, r.predicted, r.true_score, r.rival_score) == ([], 0.0, 0.0, "Unknown", None, 0.0)
+    assert S.decide(S.score(df, B.clear_bank(bank)), 0.0).filter("predicted = 'Unknown' and not is_known").count() == df.count()
+
+
 def leaders(m, t, least, centring=True):
     v = unit(m)
     if centring:

@@ -50,12 +50,12 @@ def embed(
 
 def band_energy(
     dim: int = 256, rate: int = 48_000, bands: int = 64, low: float = 80.0, high: float = 14_000.0,
-    samples: int = 16_384, floor: float = 0.01, seed: int = 42,
+    floor: float = 0.01, seed: int = 42,
 ) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     """Model factory: spectral power in geometric bands, projected by a fixed orthonormal matrix.
 
     Bands under ``floor`` of the strongest are dropped; silence maps to the first
-    unit vector. The model's spectrum covers the first ``samples`` samples by definition.
+    unit vector. The spectrum is that of the whole clip.
     """
 
     def factory():
@@ -66,9 +66,8 @@ def band_energy(
 
         def model(clips: np.ndarray) -> np.ndarray:
             x = np.nan_to_num(clips, nan=0.0, posinf=1.0, neginf=-1.0)
-            head = x[:, :samples]
-            power = np.abs(np.fft.rfft(head, axis=1)) ** 2
-            band = np.searchsorted(edges, np.fft.rfftfreq(head.shape[1], 1.0 / rate), side="right") - 1
+            power = np.abs(np.fft.rfft(x, axis=1)) ** 2
+            band = np.searchsorted(edges, np.fft.rfftfreq(x.shape[1], 1.0 / rate), side="right") - 1
             member = (band[:, None] == np.arange(bands)[None, :]).astype(np.float64)
             energy = power @ member
             strongest = energy.max(axis=1, keepdims=True)

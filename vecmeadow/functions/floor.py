@@ -35,6 +35,14 @@ def step(floor: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(FLOOR_MIN, np.where(triggered, floor, moved)), triggered
 
 
+def step_one(floor: float, level: float) -> tuple[float, bool]:
+    """``step`` for a single clip in plain numbers."""
+    if level > TRIGGER_RATIO * floor:
+        return max(FLOOR_MIN, floor), True
+    rate = ALPHA_DOWN if level < floor else ALPHA_UP
+    return max(FLOOR_MIN, (1.0 - rate) * floor + rate * level), False
+
+
 def track(clips: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Floors and trigger flags of a batch of clips; the loop runs over frames, not clips."""
     counts = np.array([len(c) for c in clips])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +111,8 @@ def vocabulary_matches(
         shipped = lines.sparkSession.sparkContext.broadcast(terms)
 
         def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
             automaton = ahocorasick.Automaton()
             for term in shipped.value:
                 automaton.add_word(term, term)

@@ -24,10 +24,11 @@ def whole(t: Tables, table: str) -> DataFrame:
 class Parts:
     """``df`` arriving in ``parts`` steps in the order of a column: ``stream`` reads what ``arrivals`` has written."""
 
-    def __init__(self, t: Tables, df: DataFrame, order: str, parts: int = 3):
+    def __init__(self, t: Tables, df: DataFrame, order: str, parts: int = 3, cuts: list | None = None):
         self.path = scratch_table(t.spark, "parts")
         self.df, self.order = df, order
-        cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0]
+        if cuts is None:
+            cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0]
         self.bounds = [None, *cuts, None]
         df.limit(0).write.parquet(self.path)
         self.stream = W.file_stream(t.spark, self.path, df.schema)
@@ -130,8 +131,9 @@ def _(t):
 
 
 WHOLE_FLOOR = STREAM + """,
-framed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS frame, count(*) OVER (PARTITION BY user_id) AS total FROM stream),
-first_level AS (SELECT user_id, greatest(1e-4::DOUBLE, quantile_cont(value, 0.15)) AS f0 FROM framed WHERE frame < 40 AND total >= 40 GROUP BY ALL),
+parted AS (SELECT *, us > (SELECT (min(us) + max(us)) // 2 FROM stream) AS late FROM stream),
+framed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS frame, min(late) OVER (PARTITION BY user_id) AS begins FROM parted),
+first_level AS (SELECT user_id, greatest(1e-4::DOUBLE, quantile_cont(value, 0.15)) AS f0 FROM framed WHERE frame < 40 AND late = begins GROUP BY ALL),
 walk AS (SELECT user_id, NULL::BIGINT AS event_id, -1::BIGINT AS frame, f0 AS floor, false AS triggered FROM first_level
   UNION ALL SELECT w.user_id, f.event_id, f.frame, greatest(1e-4::DOUBLE, CASE WHEN f.value > 3 * w.floor THEN w.floor
     WHEN f.value < w.floor THEN 0.95::DOUBLE * w.floor + 0.05::DOUBLE * f.value ELSE 0.99::DOUBLE * w.floor + 0.01::DOUBLE * f.value END), f.value > 3 * w.floor
@@ -140,8 +142,10 @@ walk AS (SELECT user_id, NULL::BIGINT AS event_id, -1::BIGINT AS frame, f0 AS fl
 
 @query("t5_floor_stream", f"WITH RECURSIVE {WHOLE_FLOOR} SELECT user_id, event_id, round(floor + 1e-9, 6) AS noise_floor, triggered FROM walk WHERE frame >= 0")
 def _(t):
-    """Users with at least 40 events have a start level."""
-    p = Parts(t, timed(t), "us")
+    """Two micro-batches, before and after the middle of the time: a user's first one gives the start level."""
+    df = timed(t)
+    low, high = df.agg(F.min("us"), F.max("us")).first()
+    p = Parts(t, df, "us", cuts=[(low + high) // 2])
     out = state.floor_stream(p.stream, "user_id", "us", "event_id", "value")
     return collected(t, out, parts=p).withColumn("noise_floor", F.round(F.col("noise_floor") + 1e-9, 6))
 
@@ -259,10 +263,15 @@ def _(t):
     root = scratch_table(t.spark, "metrics")
     p = Parts(t, timed(t), "us")
     out = W.with_metrics(p.stream, "value", F.col("value") >= 20)
-    runs = run_parts(p, lambda: out.writeStream.format("parquet").option("path", f"{root}/table"), f"{root}/checkpoint")
-    progress = [step["observedMetrics"] for q in runs for step in q.recentProgress]
-    rows = [m["windows"] for m in progress if m.get("windows")]
-    reports = [(int(r["evaluated"]), int(r["active"] or 0)) for r in rows]
+    listener = W.MetricsListener()
+    t.spark.streams.addListener(listener)
+    try:
+        runs = run_parts(p, lambda: out.writeStream.format("parquet").option("path", f"{root}/table"), f"{root}/checkpoint")
+        # Every batch is reported to the listener; a query itself remembers only its last ones.
+        listener.wait_for(runs[-1])
+    finally:
+        t.spark.streams.removeListener(listener)
+    reports = [(int(r["evaluated"]), int(r["active"] or 0)) for r in listener.reports]
     return t.spark.createDataFrame(reports, "evaluated long, active long").agg(
         F.sum("evaluated").alias("evaluated"), F.sum("active").alias("active")
     )

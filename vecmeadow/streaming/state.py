@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vecmeadow.functions.floor import INIT_FRAMES, initial_floor, step
+from vecmeadow.functions.floor import initial_floor, step_one
 
 
 def _in_order(parts: Iterator[pd.DataFrame], time: str, tie: str) -> pd.DataFrame:
@@ -66,32 +66,27 @@ def smooth_stream(
 
 
 def floor_stream(stream: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
-    """Adaptive noise floor carried across micro-batches: ``key, tie, noise_floor, triggered``.
+    """Adaptive noise floor carried across micro-batches: ``key, tie, noise_floor, triggered``, one row per frame.
 
-    The first frames of a stream wait until there are enough of them for the start level.
+    The start level comes from the frames (at most 40) of a stream's first micro-batch, however few they are.
     """
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     out = f"{key} {types[key]}, {tie} {types[tie]}, noise_floor double, triggered boolean"
-    held = "floor double, waiting_ties array<long>, waiting array<double>"
 
     def fold(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _in_order(parts, time, tie)
-        floor, ties, levels = state.get if state.exists else (None, [], [])
-        ties = list(ties) + rows[tie].tolist()
-        levels = np.array(list(levels) + rows[value].tolist(), dtype=np.float64)
-        if floor is None and len(levels) < INIT_FRAMES:
-            state.update((None, ties, levels.tolist()))
-            return
-        now = np.array([floor]) if floor is not None else initial_floor(levels[None, :], np.array([len(levels)]))
-        floors, flags = np.empty(len(levels)), np.zeros(len(levels), dtype=bool)
-        for i, level in enumerate(levels):
-            now, hit = step(now, np.array([level]))
-            floors[i], flags[i] = now[0], hit[0]
-        state.update((float(now[0]), [], []))
-        yield pd.DataFrame({key: group[0], tie: ties, "noise_floor": floors, "triggered": flags})
+        levels = rows[value].to_numpy(dtype=np.float64)
+        floor = state.get[0] if state.exists else float(initial_floor(levels[None, :], np.array([len(levels)]))[0])
+        floors, flags = [], []
+        for level in levels.tolist():
+            floor, triggered = step_one(floor, level)
+            floors.append(floor)
+            flags.append(triggered)
+        state.update((floor,))
+        yield pd.DataFrame({key: group[0], tie: rows[tie].to_numpy(), "noise_floor": floors, "triggered": flags})
 
     return stream.select(key, time, tie, value).groupBy(key).applyInPandasWithState(
-        fold, out, held, "append", GroupStateTimeout.NoTimeout
+        fold, out, "floor double", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -65,6 +67,8 @@ class MetricsListener(StreamingQueryListener):
         self.name = name
         self.reports: list[dict] = []
 
+        self.last: dict[str, int] = {}
+
     def onQueryStarted(self, event):
         pass
 
@@ -72,6 +76,15 @@ class MetricsListener(StreamingQueryListener):
         row = event.progress.observedMetrics.get(self.name)
         if row is not None:
             self.reports.append({"batch": event.progress.batchId, **row.asDict()})
+        self.last[str(event.progress.runId)] = event.progress.batchId
+
+    def wait_for(self, query, seconds: float = 30.0) -> None:
+        """Reports arrive a little after their batch; wait for the last one of a finished query."""
+        until = time.monotonic() + seconds
+        while query.lastProgress and self.last.get(str(query.runId), -1) < query.lastProgress["batchId"]:
+            if time.monotonic() > until:
+                raise TimeoutError("the last report has not arrived")
+            time.sleep(0.02)
 
     def onQueryIdle(self, event):
         pass
