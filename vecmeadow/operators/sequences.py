@@ -193,7 +193,8 @@ def blobs(cells: DataFrame, keys: list[str], limit: int = ROWS_PER_TASK) -> Data
     run = rows.groupBy(*keys, "band", (F.col("frame") - F.col("__n")).alias("__i")).agg(
         F.min("frame").alias("a"), F.max("frame").alias("b")
     )
-    named = F.xxhash64(*keys, "band", "a")
+    # A run is named by its place, so no two runs share a name.
+    named = F.struct(*keys, "band", "a")
     run = checkpointed(run.select(*keys, "band", "a", "b", named.alias("node")))
     # Long runs are indexed by fixed frame buckets, so the overlap test is an equality join.
     bucket = 64

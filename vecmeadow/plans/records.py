@@ -9,7 +9,7 @@ from vecmeadow.functions import text as X
 from vecmeadow.operators import evaluate as E, report as R, scoring as S
 from vecmeadow.plans.registry import Tables, query
 from vecmeadow.plans.sql import FIVE_SHOT
-from vecmeadow.plans.vectors import MARGIN, THETA, five_shot
+from vecmeadow.plans.vectors import FEW_SHOT, MARGIN, THETA, five_shot
 from vecmeadow.session import scratch_table
 from vecmeadow.sources import catalog as C, metadata as M, stores as ST
 
@@ -149,7 +149,7 @@ def _(t):
     return ST.read_log(t.spark, path).agg(F.count(F.lit(1)).alias("left_over")).select(F.lit(removed).cast("long").alias("removed"), "left_over")
 
 
-@query("s14_report_files")
+@query("s14_report_files", FEW_SHOT)
 def _(t):
     """Few-shot rows written as CSV and read back."""
     few = E.few_shot(t.embeddings, [5, 10], 3)

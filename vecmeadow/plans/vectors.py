@@ -392,8 +392,7 @@ def shuffled_sql(salt: str) -> str:
     return f"('0x' || substr(md5({salt} || ':' || vec_id), 1, 12))::BIGINT"
 
 
-@query(
-    "a16_few_shot",
+FEW_SHOT = (
     f"WITH {UNITS}, sized AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM units), "
     f"r AS (SELECT s.*, fold, row_number() OVER (PARTITION BY fold, label ORDER BY {shuffled_sql('fold')}, vec_id) AS rn "
     "FROM sized s, range(3) f(fold) WHERE n >= 6), "
@@ -402,8 +401,11 @@ def shuffled_sql(salt: str) -> str:
     + ", p AS (SELECT q.k, q.fold, q.label AS truth, b.label, row_number() OVER (PARTITION BY q.k, q.fold, q.vec_id "
     "ORDER BY list_dot_product(q.v, b.c) DESC, b.label) AS place FROM g q JOIN bank b ON b.k = q.k AND b.fold = q.fold "
     "WHERE q.rn > q.k AND q.rn <= q.k + greatest(1, (q.n - q.k) // 3)) "
-    "SELECT k::INTEGER AS k_shots, fold::INTEGER AS fold, round(avg((label = truth)::INT), 4) AS top1_accuracy, count(*) AS n_queries FROM p WHERE place = 1 GROUP BY k, fold",
+    "SELECT k::INTEGER AS k_shots, fold::INTEGER AS fold, round(avg((label = truth)::INT), 4) AS top1_accuracy, count(*) AS n_queries FROM p WHERE place = 1 GROUP BY k, fold"
 )
+
+
+@query("a16_few_shot", FEW_SHOT)
 def _(t):
     return E.few_shot(t.embeddings, [5, 10], 3)
 
