@@ -19,7 +19,9 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from vecmeadow import plans  # noqa: E402
 from vecmeadow.operators import bank as B, evaluate as E, scoring as S  # noqa: E402
-from vecmeadow.session import get_spark  # noqa: E402
+from vecmeadow.functions import vectors as V  # noqa: E402
+from vecmeadow.session import get_spark, scratch_table  # noqa: E402
+from vecmeadow.streaming import routes, windows as W  # noqa: E402
 
 HEADLINE = (
     "a1_centroid m2_classify a8_label_report a12_roc_sweep a16_few_shot a29_pair_statistics j8_similar_pairs "
@@ -41,7 +43,8 @@ def timed(fn) -> float:
 
 
 def throughput(spark, sf_dir: str) -> dict:
-    """Rows per second: centroid fit, pairs of the self-join, and scoring against 10, 100 and 1000 prototypes."""
+    """Rows per second: centroid fit, pairs of the self-join, scoring against banks of several sizes (and once by column
+    expressions instead of Arrow batches), and a scored stream."""
     base = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = base.count()
     many = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).repartition(
@@ -53,6 +56,16 @@ def throughput(spark, sf_dir: str) -> dict:
         bank = base.filter(F.col("vec_id") < size).select(F.col("vec_id").alias("label"), F.col("embedding").alias("centroid"))
         seconds = timed(lambda: finish(S.decide(S.score(many, bank), 0.2, 0.02)))
         found[f"scored_rows_per_s_{min(size, rows)}"] = round(n / seconds)
+    few = [[float(x) for x in r["embedding"]] for r in base.orderBy("vec_id").limit(10).select("embedding").collect()]
+    unit = V.l2(F.col("embedding"))
+    by_column = F.greatest(*[V.dot(unit, V.l2(F.array(*[F.lit(x) for x in v]))) for v in few])
+    found["scored_rows_per_s_10_by_columns"] = round(n / timed(lambda: finish(many.select("vec_id", by_column.alias("score")))))
+    path = scratch_table(spark, "bench-stream")
+    many.repartition(8).write.parquet(path)
+    bank = base.filter(F.col("vec_id") < 100).select(F.col("vec_id").alias("label"), F.col("embedding").alias("centroid"))
+    scored = routes.score_stream(W.file_stream(spark, path, many.schema), bank, 0.2, 0.02)
+    seconds = timed(lambda: W.run_available(scored.writeStream.format("noop"), scratch_table(spark, "bench-checkpoint")))
+    found["streamed_rows_per_s_100"] = round(n / seconds)
     many.unpersist()
     found["pairs_per_s"] = round(rows * (rows - 1) / 2 / timed(lambda: finish(E.pair_statistics(base))))
     return found

@@ -135,13 +135,13 @@ def arrange(df: DataFrame, keys: list[str], order: str, tie: str, limit: int = R
     largest = counts.agg(F.max("__n")).first()[0] or 0
     if largest <= limit:
         return Ordered(df, tuple(keys), order, tie, False, largest)
-    cuts = min(5000, 4 * -(-largest // limit))
+    cuts = 4 * -(-largest // limit)
     fractions = [(i + 1) / (cuts + 1) for i in range(cuts)]
     hot = checkpointed(counts.filter(F.col("__n") > limit))
     points = (
         df.join(small_side(hot.select(*keys)), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx(order, fractions, 10_000).alias("__points"))
+        .agg(F.percentile_approx(order, fractions, max(10_000, 4 * cuts)).alias("__points"))
         .withColumn("__points", F.array_sort(F.array_distinct("__points")))
         .withColumn("__coarse", F.filter("__points", lambda p, i: i % BLOCK == 0))
         .join(hot.select(*keys, "__lo", "__hi"), keys)

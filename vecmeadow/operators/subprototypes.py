@@ -9,7 +9,7 @@ from vecmeadow.functions import vectors as V
 from vecmeadow.operators import bank as B
 from vecmeadow.operators.ordered import first_rows
 from vecmeadow.operators.scoring import score
-from vecmeadow.session import checkpointed
+from vecmeadow.session import checkpointed, small_side
 
 
 def sub_prototypes(
@@ -44,9 +44,10 @@ def sub_prototypes(
 
 
 def one_iteration(df: DataFrame, centres: DataFrame, label: str, id_col: str, vector: str) -> DataFrame:
-    """Assign each row to the best centre of its own label and recompute the centres."""
+    """Assign each row of the centres' labels to the best centre of its own label and recompute the centres."""
+    rows = df.select(label, id_col, vector).join(small_side(centres.select(label).distinct()), label, "left_semi")
     near = score(
-        df.select(label, id_col, vector), centres.withColumn("__g", F.col(label)).select("__g", "sub", "centroid")
+        rows, centres.withColumn("__g", F.col(label)).select("__g", "sub", "centroid")
         .withColumnRenamed("__g", label), k=1, vector=vector, label="sub", group=label, keep_vector=True,
     )
     assigned = near.withColumn("sub", F.get("candidates", F.lit(0))["label"])
