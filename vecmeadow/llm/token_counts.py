@@ -72,5 +72,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
 
     fresh = texts.select("content", "text").mapInArrow(encode, ENCODED).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    counts = open_cache(spark, cache, version)
+    # The counts are written first, so that the last join stands alone and a hot text's partition can be split.
+    counts_path = scratch_table(spark, "token-counts")
+    open_cache(spark, cache, version).join(keys.select("content").distinct(), "content", "left_semi").write.parquet(counts_path)
+    counts = spark.read.parquet(counts_path)
     return keys.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
