@@ -167,8 +167,8 @@ class Model:
             not any(MARKER in p.lstrip(MARKER) for p in pieces),
         )
 
-    def segment(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of the best segmentation of each chunk."""
+    def segment(self, chunks: list[str]) -> list[bytes]:
+        """Ids of the best segmentation of each chunk, as little-endian unsigned 32-bit integers."""
         encoded = [c.encode("utf-8", "surrogatepass") for c in chunks]
         sizes = np.array([len(b) for b in encoded], dtype=np.int64)
         raw = np.frombuffer(b"".join(encoded), dtype=np.uint8)
@@ -222,7 +222,7 @@ class Model:
             at[alive] = place[source[e]]
             alive = alive[at[alive] > stop[alive]]
         if not found:
-            return [np.zeros(0, dtype="<u4") for _ in chunks]
+            return [b"" for _ in chunks]
         owner = np.concatenate([o for o, _ in found])
         edge = np.concatenate([e for _, e in found])
         ordered = np.lexsort((source[edge], owner))
@@ -233,8 +233,9 @@ class Model:
         offset = np.arange(len(ids)) - np.repeat(np.cumsum(width) - width, width)
         where = np.flatnonzero(np.repeat(unknown, width))
         ids[where] = self.byte_ids[raw[np.repeat(start[source[edge]], width)[where] + offset[where]]]
-        per_chunk = np.bincount(owner, width, minlength=len(chunks)).astype(np.int64)
-        return np.split(ids.astype("<u4"), np.cumsum(per_chunk)[:-1])
+        cut = 4 * np.cumsum(np.bincount(owner, width, minlength=len(chunks)).astype(np.int64))
+        packed = ids.astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *cut.tolist()], cut.tolist())]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -249,13 +250,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > worker.MEMO_ENTRIES // 2:
+        if len(self.memo) > worker.MEMO_ENTRIES:
             self.memo.clear()
         memo = self.memo
         marked = [MARKER + t.replace(" ", MARKER) if t else "" for t in texts]
         cut = [_CHUNKS.findall(t) if self.model.split else [t] * bool(t) for t in marked]
         new = list({c for chunks in cut for c in chunks if c not in memo})
-        memo.update(zip(new, (i.tobytes() for i in self.model.segment(new)) if new else ()))
+        memo.update(zip(new, self.model.segment(new) if new else ()))
         return [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
 
 
