@@ -6,15 +6,24 @@ k = 2U(1-s)/(1+s) elements. The elements are dealt by hash into partitions:
 
 * up to ``SMALL_K`` differences: k + 2 partitions, and every pair of partitions is
   a signature; k differences leave two partitions untouched;
-* beyond: k + 1 + 2w partitions, each a signature of its own; at least 1 + 2w
+* beyond: k + m + 2w partitions, each a signature of its own; at least m + 2w
   stay untouched, so each set may leave out its w weakest ones (at most
-  ``WEAK`` elements), which common phrases would fill, and one is still shared.
+  ``WEAK`` elements), which common phrases would fill, and m are still shared.
+  A node that shares fewer than m of such signatures with any others is left
+  out, which is most of those that have only a common phrase in common.
+
+The last bits of a signature hold its m (1 for pairs of partitions).
 
 Sets with equal digests are one node, found by map-side partial minima. Nodes
-that share a signature are compared with the smallest node of the signature;
-those that are then still in different components are compared with each other,
-by one more pivot a round, and at once when all of them together are few. A
-comparison counts the common shingles of the two whole texts.
+that share a signature are weighed by how many they share. A signature's center
+is its weightiest node, a node's home the weightiest center it meets, and each
+node is first compared with its home. Where that leaves a signature with nodes in
+different components, its nodes are compared with each other in clusters: nodes
+of one home are a cluster, and so are those of one center's signatures that span
+homes. A cluster
+is compared in tiles of ``2 * TILE`` texts: a matrix product counts the common
+shingles of all pairs of a tile at once, and the tile returns a spanning forest
+of its links, not pairs. Comparisons are of whole texts.
 
 Nulls: a null or empty text has no set and links with nothing; a row with a null
 id comes back with a null component. Rows that repeat an id are one document
@@ -27,13 +36,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmeadow.llm import worker
-from vecmeadow.llm.components import connected_components
-from vecmeadow.llm.shingles import Sets, common, digests, mix, shingle_sets
+from vecmeadow.llm.components import connected_components, forest
+from vecmeadow.llm.shingles import Sets, common, digests, in_blocks, mix, shingle_sets
 from vecmeadow.session import scratch_table
 
 WORDS = 5
@@ -42,8 +52,10 @@ SMALL_K = 8
 WEAK = 2
 STEP = 1.3
 BLOCK = 2 * 1024 * 1024
-# All remaining pairs are compared at once when they are at most so many times the rows that share signatures.
-AT_ONCE = 4
+NEED_MASK = 15
+ROUNDS = 3
+TILE = 256
+COLUMNS = 16_384
 
 
 class Bands:
@@ -81,7 +93,8 @@ def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
         band, k = band[members], ks[band[members]]
         small = k <= SMALL_K
         slack = np.where(small, 0, 1 + k // 20)
-        cells = np.where(small, k + 2, k + 1 + 2 * slack)
+        need = np.where(small, 1, np.minimum(1 + k // 16, NEED_MASK))
+        cells = np.where(small, k + 2, k + need + 2 * slack)
         base = np.cumsum(cells) - cells
         sizes = sets.sizes[members]
         at = np.repeat(starts[members] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -99,7 +112,8 @@ def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
             rank = rank - np.maximum.accumulate(np.where(np.r_[True, owner[order][1:] != owner[order][:-1]], rank, 0))
             held = order[(rank >= slack[owner[order]]) | (count[order] > WEAK)]
             docs_out.append(members[owner[held]])
-            sigs_out.append(mix(total[held] + salt[owner[held]] + mix(number[held] + np.uint64(7))))
+            found = mix(total[held] + salt[owner[held]] + mix(number[held] + np.uint64(7)))
+            sigs_out.append((found & ~np.uint64(NEED_MASK)) | need[owner[held]].astype(np.uint64))
         # Small sets: every pair of partitions.
         for value in np.unique(k[small]):
             rows = np.flatnonzero(small & (k == value))
@@ -107,7 +121,8 @@ def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
             for pair, (a, b) in enumerate(combinations(range(value + 2), 2)):
                 docs_out.append(members[rows])
                 # Which partitions they are counts as well as what is in them.
-                sigs_out.append(mix(mix(of[:, a] + np.uint64(3 * pair + 1)) + of[:, b] + salt[rows]))
+                found = mix(mix(of[:, a] + np.uint64(3 * pair + 1)) + of[:, b] + salt[rows])
+                sigs_out.append((found & ~np.uint64(NEED_MASK)) | np.uint64(1))
     assert not ((sets.sizes > 0) & (last >= 4) & (highs[np.maximum(last - 4, 0)] >= sets.sizes)).any()
     if not docs_out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -153,8 +168,8 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return named.mapInArrow(sign, "signature long, node long")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity."""
+def similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, text) reach the similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in worker.blocks(worker.blocks(batches, "text_a", BLOCK), "text_b", BLOCK):
@@ -163,12 +178,47 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
             linked = (both > 0) & (100 * both >= percent * (left.sizes + right.sizes - both))
             yield block.select(["a", "b"]).filter(pa.array(linked))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("shuffle_hash")
-    texts = _stored(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("node"), "left_semi"), "pair-texts")
-    of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+    of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def tile_links(texts: list[str], words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions whose texts reach the similarity."""
+    sets = in_blocks(texts, words, BLOCK)
+    _, column, count = np.unique(sets.hashes, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    number = (np.cumsum(count > 1) - 1)[column[shared]]
+    row = sets.doc[shared]
+    both = np.zeros((len(texts), len(texts)), dtype=np.float32)
+    for low in range(0, int(number.max(initial=-1)) + 1, COLUMNS):
+        part = (number >= low) & (number < low + COLUMNS)
+        has = np.zeros((len(texts), COLUMNS), dtype=np.float32)
+        has[row[part], number[part] - low] = 1
+        both += has @ has.T
+    sizes = sets.sizes[:, None] + sets.sizes
+    return np.nonzero(np.triu((both > 0) & (100 * both.astype(np.int64) >= percent * (sizes - both.astype(np.int64))), 1))
+
+
+def links_in_clusters(clusters: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the similar nodes of each cluster, from rows (node, cluster)."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    placed = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A node's block meets every block of its cluster once.
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "node", "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    )
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", ignore_index=True)
+        a, b = tile_links(rows["text"].fillna("").tolist(), words, percent)
+        root = forest(a, b, len(rows))
+        ids = rows["node"].to_numpy()
+        moved = root != np.arange(len(rows))
+        return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+
+    return met.join(texts, "node").groupBy("cluster", "low", "high").applyInPandas(tile, "a long, b long")
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_table(df.sparkSession, name)
     df.write.parquet(path)
@@ -179,61 +229,71 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """Rows (doc_id, n_shingles, component_id), one per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _stored(shingle_classes(docs, words), "shingle-sets")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("class"))
+    # Written first, so that the join back stands alone and a hot class's partition can be split.
+    classes = _stored(
+        rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("class")), "class-ids"
+    )
     members = _stored(rows.join(classes, ["h1", "h2"]).select("doc_id", "class").where("doc_id is not null").distinct(), "set-classes")
 
-    whole = Window.partitionBy("signature")
+    by_signature = Window.partitionBy("signature")
     shared = _stored(
         signature_rows(docs, words, percent)
-        .select("signature", "node", F.min("node").over(whole).alias("center"), F.max("node").over(whole).alias("last"))
-        .where("center < last").select("signature", "node", "center"),
-        "shared-signatures",
+        .select("signature", "node", F.min("node").over(by_signature).alias("low"), F.max("node").over(by_signature).alias("high"))
+        .where("low < high").select("signature", "node"),
+        "signatures",
+    )
+    # Nodes with too few shared signatures go, and then signatures with one node left. More rounds only save work.
+    need = F.col("signature").bitwiseAND(NEED_MASK)
+    for _ in range(ROUNDS):
+        enough = F.count("*").over(Window.partitionBy("node", "need"))
+        shared = shared.withColumn("need", need).withColumn("n", enough).where("n >= need").select("signature", "node")
+        shared = shared.select(
+            "signature", "node", F.min("node").over(by_signature).alias("low"), F.max("node").over(by_signature).alias("high")
+        ).where("low < high").select("signature", "node")
+    shared = _stored(shared, "shared-signatures")
+    weights = shared.groupBy("node").agg(F.count("*").alias("weight"))
+    texts = _stored(
+        docs.join(weights.select("node").hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
+        .select(F.col("doc_id").alias("node"), "text"),
+        "candidate-texts",
+    )
+    best = F.max(F.struct("weight", (-F.col("node")).alias("back"))).over(by_signature)
+    centered = _stored(
+        shared.join(weights, "node").select("signature", "node", (-best["back"]).alias("center"), best["weight"].alias("heft")), "centers"
+    )
+    homes = _stored(
+        centered.groupBy("node").agg((-F.max(F.struct("heft", (-F.col("center")).alias("back")))["back"]).alias("home")), "homes"
+    )
+    of = lambda side: members.select(F.col("doc_id").alias(side), F.col("class").alias(f"class_{side}"))
+    pairs = (
+        homes.where("node <> home").select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct()
+        .join(of("a"), "a").join(of("b"), "b").where("class_a <> class_b")
+        .groupBy("class_a", "class_b").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")
     )
     copies = members.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-
-    def fresh_pairs(pairs: DataFrame, seen: DataFrame | None) -> DataFrame:
-        """Distinct pairs of classes that have not been compared."""
-        of = lambda side: members.select(F.col("doc_id").alias(side), F.col("class").alias(f"class_{side}"))
-        pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where("class_a <> class_b").select(
-            F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")
-        ).distinct()
-        return _stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-
-    compared = fresh_pairs(shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")), None)
-    links = _stored(similar(compared, docs, words, percent).unionByName(copies), "similar")
+    links = _stored(similar(pairs, texts, words, percent).unionByName(copies), "similar")
     found = _stored(connected_components(links), "components")
-    left = shared.where("node <> center").select("signature", "node")
-    budget = AT_ONCE * max(1, shared.count())
-    while True:
-        # Signatures whose nodes, without the pivots so far, are in more than one component.
-        placed = left.join(found, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
-        mixed = _stored(
-            placed.select("*", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high"), F.min("node").over(whole).alias("pivot"))
-            .where("low < high").select("signature", "node", "component", "pivot"),
-            "mixed-signatures",
-        )
-        work = mixed.groupBy("signature").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
-        if not work:
-            break
-        at_once = work <= budget
-        first = mixed if at_once else mixed.where("node = pivot")
-        pairs = (
-            first.select("signature", F.col("node").alias("a"), F.col("component").alias("ca"))
-            .join(mixed.select("signature", F.col("node").alias("b"), F.col("component").alias("cb")), "signature")
-            .where("a <> b and ca <> cb").where(F.col("a") < F.col("b")).select("a", "b")
+    # Signatures whose nodes are in more than one component.
+    low, high = F.min("component").over(by_signature), F.max("component").over(by_signature)
+    mixed = _stored(
+        centered.join(found, "node", "left")
+        .select("signature", "node", "center", F.coalesce("component", "node").alias("component"))
+        .select("signature", "node", "center", low.alias("low"), high.alias("high"))
+        .where("low < high").drop("low", "high").join(homes, "node"),
+        "mixed-signatures",
+    )
+    if not mixed.isEmpty():
+        first, last = F.min("home").over(by_signature), F.max("home").over(by_signature)
+        across = mixed.select("node", "center", first.alias("first"), last.alias("last")).where("first < last")
+        cluster = lambda kind, of: F.struct(F.lit(kind).alias("kind"), F.col(of).alias("of")).alias("cluster")
+        clusters = _stored(
+            mixed.select("node", cluster(0, "home")).distinct().unionByName(across.select("node", cluster(1, "center")).distinct()), "clusters"
         )
-        fresh = fresh_pairs(pairs, compared)
-        more = _stored(similar(fresh, docs, words, percent), "similar")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = _stored(connected_components(links), "components")
-        if at_once:
-            break
-        compared = compared.unionByName(fresh)
-        left = mixed.where("node <> pivot").select("signature", "node")
-    component = members.join(found.select(F.col("node").alias("class"), "component"), "class", "left").select(
-        F.col("doc_id").alias("id"), F.coalesce("component", "class").alias("component")
-    ).groupBy("id").agg(F.min("component").alias("component"))
+        links = links.unionByName(_stored(links_in_clusters(clusters, texts, words, percent), "similar"))
+        found = _stored(connected_components(links), "components")
+    component = members.select("doc_id").distinct().join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
+        F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component")
+    )
     return rows.join(component, rows["doc_id"] == component["id"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

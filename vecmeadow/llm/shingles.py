@@ -87,6 +87,20 @@ def shingle_sets(texts: list[str], words: int) -> Sets:
     return Sets(owner, h, np.bincount(owner, minlength=len(texts)))
 
 
+def in_blocks(texts: list[str], words: int, limit: int) -> Sets:
+    """``shingle_sets`` of many texts, made in blocks of about ``limit`` characters so that working memory stays small."""
+    parts, start, held = [], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= limit or i == len(texts) - 1:
+            found = shingle_sets(texts[start : i + 1], words)
+            parts.append(Sets(found.doc + start, found.hashes, found.sizes))
+            start, held = i + 1, 0
+    if not parts:
+        return shingle_sets([], words)
+    return Sets(*(np.concatenate([getattr(p, name) for p in parts]) for name in ("doc", "hashes", "sizes")))
+
+
 def digests(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit sums over each set; 0 for an empty one."""
     out = []

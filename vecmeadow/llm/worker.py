@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 8 * 1024 * 1024
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
 JOINED = 400
 LATIN = "\u0250"
 _SPACED = re.compile(r"\s*\S+|\s+")
