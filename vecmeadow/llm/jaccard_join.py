@@ -51,11 +51,11 @@ PERCENT = 80
 SMALL_K = 8
 WEAK = 2
 STEP = 1.3
-BLOCK = 2 * 1024 * 1024
+BLOCK = 1024 * 1024
 NEED_MASK = 15
 ROUNDS = 3
 TILE = 256
-COLUMNS = 16_384
+COLUMNS = 8_192
 
 
 class Bands:

@@ -41,6 +41,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             upto = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+        # The executor's memory is shared with its JVM: give back what the last batch took.
+        pa.default_memory_pool().release_unused()
 
 
 def byte_ranks(path: str) -> dict[bytes, int] | None:
