@@ -79,6 +79,62 @@ def test_gapped_insults():
     assert (model.score(scorer.worst(good)) < toxicity.THRESHOLD).all()
 
 
+def prose(rng, n: int) -> list[str]:
+    syllables = ["the", "er", "an", "tion", "ou", "st", "ing", "ha"]
+    return ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(n)]
+
+
+def insulting(rng, insults, count: int):
+    texts, labels = [], []
+    for i in range(count):
+        words = prose(rng, 40)
+        if i % 3 == 0:
+            words[rng.integers(40)] = insults[i // 3 % len(insults)]
+        texts.append(" ".join(words[:20]) + ". " + " ".join(words[20:]) + ".")
+        labels.append(int(i % 3 == 0))
+    return texts, np.array(labels)
+
+
+def test_insults_over_white_space():
+    rng = np.random.default_rng(5)
+    scorer = toxicity.Scorer(model := toxicity.fit_machine(*insulting(rng, ["idiot", "moron", "scumbag", "pathetic"], 600)))
+    parts = ["the id iot an", "ha mor on!", "er an scum bag st", "path etic", "the i  d  i  o  t an", "mo ro n er"]
+    assert (model.score(scorer.worst(parts)) >= toxicity.THRESHOLD).all()
+    clean = [" ".join(prose(rng, 60)) + "." for _ in range(300)]
+    assert (model.score(scorer.worst(clean)) < toxicity.THRESHOLD).mean() >= 0.99
+
+
+def test_insults_of_several_words():
+    rng = np.random.default_rng(6)
+    texts, labels = insulting(rng, ["kill red dogs", "blue mud face"], 600)
+    # Each word alone is as frequent in clean documents.
+    words = "kill red dogs blue mud face".split()
+    texts = [t if y else f"{t} {' the '.join(rng.permutation(words))}." for t, y in zip(texts, labels)]
+    scorer = toxicity.Scorer(model := toxicity.fit_machine(texts[:450], labels[:450]))
+    found = model.score(scorer.worst(texts[450:])) >= toxicity.THRESHOLD
+    assert found[labels[450:] == 1].mean() >= 0.9 and found[labels[450:] == 0].mean() <= 0.1
+
+
+def test_runs_by_enumeration():
+    rng = np.random.default_rng(7)
+    model = toxicity.fit_machine(*insulting(rng, ["idiot", "moron"], 300))
+    table = model.dense()
+    texts = [" ".join(prose(rng, 30)) + ". a b " + " ".join(prose(rng, 10)) for _ in range(50)] + ["id iot", "a", "", "so aaaa aaaa aaaa"]
+    for text, found in zip(texts, toxicity.Scorer(model).worst(texts)):
+        values = model.values(toxicity.words_of(text), table).tolist()
+        values += [v for s in toxicity._sentences(text) for v in model._plain_values(sorted(toxicity._bare_runs(s)), table)]
+        assert found == pytest.approx(max(values, default=toxicity.LOWEST), abs=1e-7)
+
+
+def test_held_out_toxic_recall(spark):
+    large = "/root/testdata/sf0.1"
+    rows = queries.QUERIES["op10_toxicity"](spark, large).where("held_out").collect()
+    of = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").where("toxic is not null").collect()}
+    for toxic, least in ((1, 0.85), (0, 0.95)):
+        found = [r.predicted == toxic for r in rows if of.get(r.doc_id) == toxic]
+        assert found and sum(found) >= least * len(found)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_models_on_odd_rows(spark, module, odd_docs, odd_rows, no_docs):
     label = "quality" if module is quality else "toxic"

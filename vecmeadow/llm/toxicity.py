@@ -1,23 +1,27 @@
 """Toxicity by a subsequence string kernel and a support vector machine over Nyström landmarks.
 
-Two words are alike by the subsequences of three characters that they share,
+Two strings are alike by the subsequences of three characters that they share,
 weighted by how far each is spread: a gap or an inserted character weakens a
-match and does not end it. The kernel is normalised, the ends of a word count as
+match and does not end it. The kernel is normalised, the ends of a string count as
 characters, and runs of single letters ("a b c d") are read as one word too.
 
+The machine reads the windows of a sentence: each word, and each run of 2 to ``WINDOW``
+neighbouring words, in which white space is a character like any other. A sentence
+is as toxic as its worst window and a document as its worst sentence.
+
 Training takes labelled sentences. A sentence of a toxic document is labelled
 toxic when it holds a witness: a word that toxic documents have and clean ones
-do not, by smoothed odds. Witnesses are the words that are in a fair share of the
-toxic documents, and then, one by one, the word that is in most documents not yet
+do not, by smoothed odds, or, in toxic documents without such a word, a run of words. Witnesses are the
+words that are in a fair share of the toxic documents, and then, one by one, the one that is in most documents not yet
 explained; near copies of a training document are left out first, since all their
-words would look like witnesses. All sentences of clean documents are clean. Landmarks
-are witnesses and the clean words most like them; the machine (squared hinge
-loss) is trained on the kernel's Nyström features, with variants of the witnesses
-with characters put in, and then again with the clean words it took for toxic.
+words would look like witnesses. All sentences of clean documents are clean. The machine (squared hinge
+loss, on the kernel's Nyström features) starts from witnesses, variants of them with characters or blanks put in, and clean words.
+Then it is trained on the sentences, each by its worst window so far, a few times over. Landmarks
+are the witnesses that cover most toxic documents and the clean windows most like them.
 The kernel is an inner product of subsequence weights, so the sum over landmarks
 becomes one weight per subsequence, and scoring needs no landmark.
 
-A document is as toxic as its worst word. The score is a logistic curve that
+The score is a logistic curve that
 passes through ``threshold`` where training documents are told apart best.
 
 At most ``sample`` labelled documents of each class are used, the first by a hash
@@ -53,8 +57,12 @@ COST = 50.0
 LOWEST = -2.0
 BIAS = -1.0  # a word like no landmark is clean
 SHARE = 0.015
+SENTENCE_TURNS = 3
+WINDOW = 4
+CHUNK = 50_000  # characters of which windows are bounded at a time, to stay in the cache
+MIXERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0x165667B19E3779F9, 0xC2B2AE3D27D4EB4F)))  # of first, middle and last character
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\`~^+="
-_LETTERS = re.compile(r"(?:(?<=\s)|^)\S(?:\s\S){2,}(?=\s|$)")
+_LETTERS = re.compile(r"(?:(?<=\s)|^)\S(?:\s+\S){2,}(?=\s|$)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -66,6 +74,14 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+def _feature(h: np.ndarray) -> np.ndarray:
+    """Number of the feature of mixed characters; changes ``h``."""
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(64 - FEATURE_BITS)
+    return h.view(np.int64)
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, feature, weight) of the normalised feature vectors, sorted by word and feature."""
     marked = ["\x02" + (w.strip(EDGES) or w) + "\x03" for w in words]
@@ -78,12 +94,9 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(left > last)
         if not len(at):
             break
-        ends = codes[at] * np.uint64(0x9E3779B97F4A7C15) + codes[at + last] * np.uint64(0xC2B2AE3D27D4EB4F)
+        ends = codes[at] * MIXERS[0] + codes[at + last] * MIXERS[2]
         for middle in range(1, last):
-            h = ends + codes[at + middle] * np.uint64(0x165667B19E3779F9)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            keys.append((owner[at] << FEATURE_BITS) | (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
+            keys.append((owner[at] << FEATURE_BITS) | _feature(ends + codes[at + middle] * MIXERS[1]))
             weights.append(np.full(len(at), DECAY ** (last - 2)))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -171,7 +184,18 @@ def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 def _variants(word: str) -> list[str]:
     inner = range(1, len(word))
-    return [word[:i] + c + word[i:] for i in inner for c in "*-x"] + [".".join(word), "-".join(word)]
+    once = [word[:i] + c + word[i:] for i in inner for c in "*-x "]
+    return once + [f"{word[:i]} {word[i:k]} {word[k:]}" for i in inner for k in range(i + 1, len(word))] + [".".join(word), "-".join(word)]
+
+
+def _sentences(text: str) -> list[str]:
+    return [s for s in _SENTENCE.split(text.lower()) if s and not s.isspace()]
+
+
+def _bare_runs(sentence: str) -> set[str]:
+    """Runs of 2 to ``WINDOW`` neighbouring words without punctuation at their ends."""
+    words = [w.strip(EDGES) or w for w in sentence.split()]
+    return {" ".join(words[i : i + n]) for n in range(2, WINDOW + 1) for i in range(len(words) - n + 1)}
 
 
 def _bare_words(text: str) -> set[str]:
@@ -193,28 +217,68 @@ def _without_near_copies(texts: list[str]) -> list[str]:
     return kept
 
 
-def _witnesses(toxic: list[str], allowed: set[str]) -> list[str]:
-    """Allowed words in ``SHARE`` of the documents, and more until those left are in less than three documents not yet explained."""
-    having: dict[str, set[int]] = {}
-    for number, text in enumerate(toxic):
-        for sentence in _SENTENCE.split(text):
-            for w in _bare_words(sentence) & allowed:
-                having.setdefault(w, set()).add(number)
-    chosen = sorted(w for w, numbers in having.items() if len(numbers) >= max(4, SHARE * len(toxic)))
+def _by_coverage(having: dict[str, set[int]]) -> list[str]:
+    """All words, first those that cover the most documents that the ones before leave; when all are covered it begins anew."""
+    order, left = [], {w: set(n) for w, n in having.items()}
+    covered: set[int] = set()
+    while left:
+        word = max(left, key=lambda w: (len(left[w] - covered), len(left[w]), w))
+        if left[word] <= covered and covered:
+            covered = set()
+            continue
+        covered |= left.pop(word)
+        order.append(word)
+    return order
+
+
+def _witnesses(having: dict[str, set[int]], documents: int, share: bool = True) -> list[str]:
+    """Words (with the documents that have them) that are in ``SHARE`` of the documents, and more until those left are in less than three not yet explained."""
+    having = dict(having)
+    common = {w: having[w] for w in sorted(having) if share and len(having[w]) >= max(4, SHARE * documents)}
+    chosen = _by_coverage(common)
     explained = set().union(*(having.pop(w) for w in chosen))
     having = {w: rest for w, numbers in having.items() if (rest := numbers - explained)}
     while having:
         word = max(having, key=lambda w: (len(having[w]), w))
         explained = having.pop(word)
-        if len(explained) < min(3, len(toxic)):
+        if len(explained) < min(3, documents):
             break
         chosen.append(word)
         having = {w: rest for w, numbers in having.items() if (rest := numbers - explained)}
     return chosen
 
 
+def _documents_with(texts: list[str], numbers: list[int], parts) -> dict[str, set[int]]:
+    """The documents (of those listed) of each part that ``parts`` gives of a sentence."""
+    having: dict[str, set[int]] = {}
+    for number in numbers:
+        for sentence in _sentences(texts[number]):
+            for part in parts(sentence):
+                having.setdefault(part, set()).add(number)
+    return having
+
+
+def _phrases(toxic: list[str], unexplained: list[int], clean: list[str]) -> list[str]:
+    """Witnesses of several words, in toxic documents that no single word explains."""
+    least = min(4, len(toxic))
+    # Only runs whose bucket is full enough are counted by their text.
+    buckets = np.zeros(1 << 22, np.int32)
+    bucket = lambda run: zlib.crc32(run.encode("utf-8", "surrogatepass")) & (len(buckets) - 1)
+    for number in unexplained:
+        runs = set().union(*map(_bare_runs, _sentences(toxic[number])))
+        buckets[list({bucket(r) for r in runs})] += 1
+    having = _documents_with(toxic, unexplained, lambda s: [r for r in _bare_runs(s) if buckets[bucket(r)] >= least])
+    having = {r: numbers for r, numbers in having.items() if len(numbers) >= least}
+    in_clean = Counter()
+    if having:
+        for text in clean:
+            in_clean.update(set().union(*map(_bare_runs, _sentences(text))) & having.keys())
+    odds = lambda r: np.log((len(having[r]) + 0.5) / len(toxic)) - np.log((in_clean[r] + 0.5) / len(clean))
+    return _witnesses({r: n for r, n in having.items() if odds(r) >= np.log(16.0)}, len(toxic), share=False)
+
+
 def fit_machine(texts: list[str], labels: np.ndarray, threshold: float = THRESHOLD, landmarks: int = LANDMARKS) -> Machine:
-    """Train on labelled documents, split into sentences."""
+    """Train on the sentences of labelled documents."""
     none = Machine(np.zeros(0, np.int64), np.zeros(0), LOWEST, 0.0, threshold)
     toxic = _without_near_copies([t for t, y in zip(texts, labels) if y == 1])
     clean = _without_near_copies([t for t, y in zip(texts, labels) if y == 0])
@@ -229,45 +293,73 @@ def fit_machine(texts: list[str], labels: np.ndarray, threshold: float = THRESHO
     odds = {
         w: np.log((n + 0.5) / len(toxic)) - np.log((in_clean[w] + 0.5) / len(clean)) for w, n in in_toxic.items() if n >= min(4, len(toxic))
     }
-    positive = _witnesses(toxic, {w for w, o in odds.items() if o >= np.log(16.0)})
+    allowed = {w for w, o in odds.items() if o >= np.log(16.0)}
+    having = _documents_with(toxic, range(len(toxic)), lambda s: _bare_words(s) & allowed)
+    single = _witnesses(having, len(toxic))
+    explained = set().union(*(having[w] for w in single))
+    phrases = _phrases(toxic, [i for i in range(len(toxic)) if i not in explained], clean)
+    positive = single + phrases
     if not positive:
         return none
     pool = sorted(in_clean, key=lambda w: (-in_clean[w], w))
     frequent, rest = pool[: NEGATIVES // 4], pool[NEGATIVES // 4 :]
     spread = rest[:: max(1, len(rest) // (NEGATIVES // 2))]
     negative = frequent + spread
-    altered = sorted({v for w in positive for v in _variants(w)} - set(in_clean))
-    table = model = None
+    altered = sorted({v for w in single for v in _variants(w)} - set(in_clean))
+    known = set(single), set(phrases)
+    bad_sentences = [
+        s for t in toxic for s in _sentences(t) if not known[0].isdisjoint(_bare_words(s)) or (phrases and not known[1].isdisjoint(_bare_runs(s)))
+    ]
+    bad: Counter[str] = Counter()  # worst windows of toxic sentences
+    covers: Counter[str] = Counter()  # clean sentences by their worst window
+    rows = len(negative)
+    model = None
     hard: list[str] = []
-    for _ in range(3):
-        # The clean words taken for toxic so far are landmarks and weigh more; the others most like the witnesses fill up.
+    for turn in range(3 + SENTENCE_TURNS):
+        if turn >= 3:
+            scorer = Scorer(model)
+            bad = Counter(w for w, _ in _worst_windows(scorer, bad_sentences))
+            worst: dict[str, float] = {}
+            covers = Counter()
+            for start in range(0, len(clean), 100):
+                found = _worst_windows(scorer, [s for t in clean[start : start + 100] for s in _sentences(t)])
+                worst.update(found)
+                covers.update(w for w, _ in found)
+            # A row outside the margin has no loss; of those inside, the worst.
+            inside = sorted((w for w, v in worst.items() if v > -1), key=lambda w: (-worst[w], w))[: NEGATIVES // 2]
+            found = sorted((w for w in inside if worst[w] > -0.5), key=lambda w: (-covers[w], w))[:1000]
+            hard = list(dict.fromkeys(found + hard))
+            negative = list(dict.fromkeys(negative + inside))
+            bad = Counter({w: n for w, n in bad.items() if w not in worst})
+        # The clean windows taken for toxic so far are landmarks and weigh more; the others most like the witnesses fill up.
         near = kernel(negative, positive).max(axis=1)
         like = hard[: landmarks // 4] + [negative[i] for i in np.argsort(-near, kind="stable")[: landmarks // 2]]
         marks = positive[: landmarks // 2] + list(dict.fromkeys(like))[: landmarks // 2]
         values, vectors = np.linalg.eigh(kernel(marks, marks))
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        words = positive + altered + negative
-        y = np.r_[np.ones(len(positive) + len(altered)), -np.ones(len(negative))]
+        words = positive + altered + list(bad) + negative
+        y = np.r_[np.ones(len(positive) + len(altered) + len(bad)), -np.ones(len(negative))]
         missed_before = set(hard)
         cost = 100 * COST * np.r_[
             np.full(len(positive), 4.0 / (len(positive) + len(altered))), np.full(len(altered), 1.0 / (len(positive) + len(altered))),
-            [(20.0 if w in missed_before else 1.0) / len(negative) for w in negative],
+            np.array(list(bad.values()), float) / max(1, bad.total()),
+            [(20.0 if w in missed_before else 1.0) * max(1, covers[w]) / rows for w in negative],
         ]
         w = _hinge(kernel(words, marks) @ root, y, cost)
         beta = root @ w
         mark, feature, weight = subsequences(marks)
         used, column = np.unique(feature, return_inverse=True)
         model = Machine(used, np.bincount(column, weight * beta[mark]), BIAS, 0.0, threshold)
-        table = model.dense()
-        missed = model.values(pool, table)
-        worst = [pool[i] for i in np.argsort(-missed, kind="stable")[:1000] if missed[i] > -0.5]
-        if not worst:
-            break
-        hard = list(dict.fromkeys(worst + hard))
+        if turn >= 3:
+            continue
+        missed = model.values(pool, model.dense())
+        missed = [pool[i] for i in np.argsort(-missed, kind="stable")[:1000] if missed[i] > -0.5]
+        hard = list(dict.fromkeys(missed + hard))
         negative = list(dict.fromkeys(negative + hard))
-    of = dict(zip(pool_all := sorted(set(in_toxic) | set(in_clean)), model.values(pool_all, table)))
-    worst = np.array([max((of[w] for w in strip(t)), default=LOWEST) for t in toxic + clean])
+    scorer = Scorer(model)
+    both = toxic + clean
+    worst = np.concatenate([scorer.worst(both[i : i + 100]) for i in range(0, len(both), 100)])
     truth = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
     cuts = np.unique(worst)
     middle = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2]
@@ -299,15 +391,108 @@ class Scorer:
     def __init__(self, model: Machine):
         self.model, self.table, self.memo = model, model.dense(), {}
 
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """The highest value of any word of each text."""
+    def _values(self, windows: list[str], values) -> list[float]:
+        """Values of words or of short runs, each computed once."""
         if len(self.memo) > worker.MEMO_ENTRIES:
             self.memo.clear()
-        memo = self.memo
+        new = list({w for w in windows if w not in self.memo})
+        self.memo.update(zip(new, values(new, self.table).tolist()))
+        return [self.memo[w] for w in windows]
+
+    def worst(self, texts: list[str], windows: list[str] | None = None) -> np.ndarray:
+        """The highest value of any window of each text; that window is appended to ``windows``."""
         cut = [words_of(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in memo})
-        memo.update(zip(new, self.model.values(new, self.table).tolist()))
-        return np.array([max(map(memo.__getitem__, words), default=LOWEST) for words in cut])
+        values = iter(self._values([w for words in cut for w in words], self.model.values))
+        singles = [[next(values) for _ in words] for words in cut]
+        out = np.array([max(v, default=LOWEST) for v in singles])
+        if windows is not None:
+            windows.extend(words[int(np.argmax(v))] if words else "" for words, v in zip(cut, singles))
+        words, sentence, owner, size, number = [], [], [], 0, 0
+        for i, text in enumerate(texts):
+            for part in _SENTENCE.split(text.lower()):
+                found = part.split()
+                if len(found) < 2:
+                    continue
+                number += 1
+                words.extend([w.strip(EDGES) or w for w in found])
+                sentence.extend([number] * len(found))
+                owner.extend([i] * len(found))
+                size += len(part)
+                if size >= CHUNK:
+                    self._runs(words, np.array(sentence), np.array(owner), out, windows)
+                    words, sentence, owner, size = [], [], [], 0
+        if words:
+            self._runs(words, np.array(sentence), np.array(owner), out, windows)
+        return out
+
+    def _runs(self, words: list[str], sentence: np.ndarray, owner: np.ndarray, out: np.ndarray, windows: list[str] | None) -> None:
+        """Raise ``out`` to the values of runs of words. A run is looked at when its bound is above the worst of its text."""
+        sizes = np.array([len(w) for w in words])
+        end = np.cumsum(sizes + 1) - 1
+        start = end - sizes
+        inner, left, right = self._sums(words, start, end)
+        first, last, bound = [], [], []
+        for more in range(1, min(WINDOW, len(words))):
+            at = np.flatnonzero(sentence[more:] == sentence[:-more])
+            s, e = start[at], end[at + more]
+            total = left[at] + right[at + more]
+            length = (e - s).astype(float)
+            norm = np.zeros(len(at))
+            for gap, sums in enumerate(inner):
+                total += sums[np.maximum(e - gap - 2, 0)] - sums[s]
+                norm += np.maximum(length - gap, 0) * (gap + 1) * DECAY ** (2 * gap)
+            # Repeated subsequences only lengthen the vector. Ends of short runs meet, so their sums do not hold.
+            value = self.model.bias + np.maximum(total, 0) / np.sqrt(norm) + 1e-9
+            value[length < SPAN] = np.inf
+            keep = value > out[owner[at]]
+            first.append(at[keep])
+            last.append(at[keep] + more)
+            bound.append(value[keep])
+        if not first:
+            return
+        first, last, bound = map(np.concatenate, (first, last, bound))
+        short = np.isinf(bound)
+        best = np.flatnonzero(~short)[np.argsort(-bound[~short], kind="stable")]
+        best = best[np.unique(owner[first[best]], return_index=True)[1]]
+        for chosen in (np.flatnonzero(short), best, None):
+            if chosen is None:
+                chosen = np.flatnonzero(~short & (bound > out[owner[first]]))
+            texts = [" ".join(words[i : k + 1]) for i, k in zip(first[chosen].tolist(), last[chosen].tolist())]
+            few = len(chosen) > 0 and short[chosen[0]]
+            values = self._values(texts, self.model._plain_values) if few else self.model._plain_values(texts, self.table)
+            for i, value, text in zip(owner[first[chosen]].tolist(), values, texts):
+                if value > out[i]:
+                    out[i] = value
+                    if windows is not None:
+                        windows[i] = text
+
+    def _sums(self, words: list[str], start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Running sums of weights by spread over the words with blanks between, and the weights with the mark before and after each word."""
+        codes = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        a, b, c = (codes * m for m in MIXERS)
+        n = len(codes)
+        begin, finish = np.array([2], np.uint64) * MIXERS[0], np.array([3], np.uint64) * MIXERS[2]
+        left, right, inner = np.zeros(len(words)), np.zeros(len(words)), []
+        for last in range(2, SPAN):
+            found = np.zeros(n + 1)
+            opened = begin + c[np.minimum(start + last - 1, n - 1)]
+            closed = a[np.maximum(end - last, 0)] + finish
+            ends = a[: max(0, n - last)] + c[last:]
+            weight = DECAY ** (last - 2)
+            for middle in range(1, last):
+                if len(ends):
+                    found[1 : n - last + 1] += self.table[_feature(ends + b[middle : n - last + middle])]
+                left += weight * self.table[_feature(opened + b[np.minimum(start + middle - 1, n - 1)])]
+                right += weight * self.table[_feature(closed + b[np.maximum(end - last + middle, 0)])]
+            inner.append(np.cumsum(found) * weight)
+        return inner, left, right
+
+
+def _worst_windows(scorer: Scorer, sentences: list[str]) -> list[tuple[str, float]]:
+    """The worst window of each sentence and its value."""
+    windows: list[str] = []
+    values = scorer.worst(sentences, windows)
+    return [(w.strip(EDGES) or w, v) for w, v in zip(windows, values.tolist()) if w]
 
 
 def score_documents(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
