@@ -86,6 +86,31 @@ def streaks(
     return df.drop("__gate", "__sure", "__n", "__prev", "__begin", "__set")
 
 
+def decisions(
+    df: DataFrame, stream: str, label: str, time: str, tie: str, value: str, alpha: float = 0.55, gap: int = 3_500_000,
+    theta: float = 0.0, sure: float = 0.45, needed: int = 2, margin: float = 0.0, limit: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Add ``best_label``, ``smoothed`` (its score), ``second``, ``streak`` and ``is_known``, as ``streaming.state.decision_stream`` does.
+
+    Each row carries the last smoothed score of every label of the session, so labels are as many as columns.
+    """
+    labels = sorted(r[0] for r in df.select(label).distinct().collect() if r[0] is not None)
+    rows = smooth(df, stream, label, time, tie, value, alpha, gap, limit, out="__own")
+    rows = arrange(rows, [stream, "session"], time, tie, limit).columns(__n=position())
+    own = F.struct(F.col("__n").alias("n"), F.col("__own").alias("s"))
+    rows = rows.columns(**{f"__l{i}": highest(F.when(F.col(label) == F.lit(name), own)) for i, name in enumerate(labels)}).result()
+    # Sorted by falling score, then by label.
+    scores = F.array_sort(F.filter(
+        F.array(*[F.struct((-F.col(f"__l{i}.s")).alias("s"), F.lit(name).alias("l")) for i, name in enumerate(labels)]), lambda x: x.s.isNotNull()
+    ))
+    rows = rows.withColumn("__scores", scores).withColumns({
+        "best_label": F.get("__scores", F.lit(0)).l, "smoothed": -F.get("__scores", F.lit(0)).s,
+        "second": F.coalesce(-F.get("__scores", F.lit(1)).s, F.lit(0.0)),
+    }).drop("__n", "__own", "__scores", "session", *[f"__l{i}" for i in range(len(labels))])
+    gate = (F.col("smoothed") >= theta) & (F.col("smoothed") - F.col("second") >= margin)
+    return streaks(rows, stream, "best_label", time, tie, gate, F.col("smoothed") >= sure, needed, limit)
+
+
 def frames(df: DataFrame, stream: str, time: str, tie: str, per_clip: int = 120, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Number the rows of a stream and cut them into clips of ``per_clip`` frames: adds ``clip`` and ``frame``."""
     rows = numbered(df, [stream], time, tie, "__n", limit)

@@ -52,6 +52,30 @@ def _(t):
     return df.select("event_id", "streak", "is_known")
 
 
+DECISIONS = SMOOTHED + """,
+spread AS (SELECT e.event_id, e.user_id, e.us, l.event_type AS label,
+  last_value(CASE WHEN e.event_type = l.event_type THEN e.smoothed END IGNORE NULLS) OVER (PARTITION BY e.user_id, e.session, l.event_type ORDER BY e.us, e.event_id ROWS UNBOUNDED PRECEDING) AS s
+  FROM ema e, (SELECT DISTINCT event_type FROM events) l),
+placed AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, label) AS place FROM spread WHERE s IS NOT NULL),
+best AS (SELECT event_id, user_id, us, max(CASE WHEN place = 1 THEN label END) AS label, max(CASE WHEN place = 1 THEN s END) AS s, coalesce(max(CASE WHEN place = 2 THEN s END), 0) AS second FROM placed GROUP BY ALL),
+gated AS (SELECT *, s >= 10 AND s - second >= 2 AS gate, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM best),
+linked AS (SELECT *, CASE WHEN gate AND coalesce(lag(gate AND true) OVER w AND lag(label) OVER w = label, false) THEN NULL ELSE n END AS begins FROM gated WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+counted AS (SELECT *, max(begins) OVER w AS run_start, max(CASE WHEN gate AND s >= 60 THEN n END) OVER w AS set_at FROM linked WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+decided AS (SELECT *, CASE WHEN NOT gate THEN 0 WHEN set_at >= run_start THEN n - set_at + 2 ELSE n - run_start + 1 END::BIGINT AS streak FROM counted)
+SELECT event_id, user_id, label AS best_label, round(s + 1e-9, 6) AS smoothed, round(second + 1e-9, 6) AS second, streak, gate AND streak >= 2 AS is_known FROM decided"""
+
+
+def six_places(df: DataFrame) -> DataFrame:
+    rounded = {c: F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("smoothed", "second")}
+    return df.select(*[rounded.get(c, c) for c in ("event_id", "user_id", "best_label", "smoothed", "second", "streak", "is_known")])
+
+
+@query("w5_smoothed_decisions", f"WITH {DECISIONS}")
+def _(t):
+    """The best smoothed label, its margin to the second and its streak."""
+    return six_places(Q.decisions(stream(t), "user_id", "event_type", "us", "event_id", "value", 0.55, GAP, theta=10.0, sure=60.0, margin=2.0))
+
+
 FRAMED = STREAM + """,
 nr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS n FROM stream),
 framed AS (SELECT *, (n // 120)::BIGINT AS clip, (n % 120)::BIGINT AS frame FROM nr)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vecmeadow.operators import bank as B
 from vecmeadow.plans.registry import Tables, query
-from vecmeadow.plans.series import CONTENT, GAP, SMOOTHED, STREAK, STREAM
+from vecmeadow.plans.series import CONTENT, DECISIONS, GAP, SMOOTHED, STREAK, STREAM, six_places
 from vecmeadow.plans.sql import RANKED, UNITS, centroids
 from vecmeadow.plans.vectors import MARGIN, THETA, components, five_shot
 from vecmeadow.session import scratch_table
@@ -130,6 +130,14 @@ def _(t):
     return collected(t, out, parts=p).withColumn("smoothed", F.round(F.col("smoothed") + 1e-9, 6))
 
 
+@query("t4_decision_stream", f"WITH {DECISIONS}")
+def _(t):
+    """The decision on smoothed scores over three micro-batches equals the batch form over everything."""
+    p = Parts(t, timed(t), "us")
+    out = state.decision_stream(p.stream, "user_id", "event_type", "us", "event_id", "value", 0.55, GAP, theta=10.0, sure=60.0, margin=2.0)
+    return six_places(collected(t, out, parts=p))
+
+
 WHOLE_FLOOR = STREAM + """,
 parted AS (SELECT *, us > (SELECT (min(us) + max(us)) // 2 FROM stream) AS late FROM stream),
 framed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS frame, min(late) OVER (PARTITION BY user_id) AS begins FROM parted),

@@ -65,6 +65,51 @@ def smooth_stream(
     )
 
 
+def decision_stream(
+    stream: DataFrame, key: str, label: str, time: str, tie: str, value: str, alpha: float = 0.55,
+    gap: int = 3_500_000, theta: float = 0.0, sure: float = 0.45, needed: int = 2, margin: float = 0.0,
+) -> DataFrame:
+    """The decision on smoothed scores; ``sequences.decisions`` is the batch form.
+
+    A row updates its label's smoothed score. Then the best smoothed label of the stream is gated by ``theta`` and by
+    ``margin`` to the second (0 if there is none), and the streak is the best label's. A pause longer than ``gap`` clears
+    the scores but not the streak. Equal scores go to the smaller label. Emits ``key, tie, best_label, smoothed, second, streak, is_known``.
+    """
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    out = f"{key} {types[key]}, {tie} {types[tie]}, best_label {types[label]}, smoothed double, second double, streak long, is_known boolean"
+    held = f"last long, labels array<{types[label]}>, scores array<double>, streak_label {types[label]}, streak long"
+
+    def fold(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = _in_order(parts, time, tie)
+        last, labels, scores, streak_label, streak = state.get if state.exists else (None, [], [], None, 0)
+        smoothed = dict(zip(labels, scores))
+        results = []
+        for at, name, x in zip(rows[time].tolist(), rows[label].tolist(), rows[value].tolist()):
+            if last is not None and at - last > gap:
+                smoothed.clear()
+            last = at
+            before = smoothed.get(name)
+            smoothed[name] = x if before is None else alpha * x + (1.0 - alpha) * before
+            best = min(smoothed, key=lambda n: (-smoothed[n], n))
+            score, second = smoothed[best], max((v for n, v in smoothed.items() if n != best), default=0.0)
+            if score < theta or score - second < margin:
+                streak_label, streak = None, 0
+            elif score >= sure:
+                streak_label, streak = best, needed
+            elif streak_label == best:
+                streak += 1
+            else:
+                streak_label, streak = best, 1
+            results.append((best, score, second, streak, streak_label is not None and streak >= needed))
+        state.update((last, list(smoothed), list(smoothed.values()), streak_label, streak))
+        done = pd.DataFrame(results, columns=["best_label", "smoothed", "second", "streak", "is_known"])
+        yield pd.concat([rows[[key, tie]].reset_index(drop=True), done], axis=1)
+
+    return stream.select(key, label, time, tie, value).groupBy(key).applyInPandasWithState(
+        fold, out, held, "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def floor_stream(stream: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
     """Adaptive noise floor carried across micro-batches: ``key, tie, noise_floor, triggered``, one row per frame.
 
