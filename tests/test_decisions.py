@@ -21,3 +21,40 @@ def test_decided_on_the_smoothed_score(spark):
     found = Q.decisions(df, "s", "l", "t", "id", "x", gap=10, theta=0.3, sure=0.8, margin=0.02).orderBy("id").collect()
     # The raw 0.1 is below theta and the smoothed 0.46 is not; 0.45 of b comes too close to it.
     assert [(r.best_label, r.streak, r.is_known) for r in found] == [("a", 2, True), ("a", 3, True), ("a", 0, False)]
+
+
+def test_held_floor(spark):
+    assert compare(spark, SF, "t5_held_floor_stream", entry.queries(), entry.oracle_sql()) == ""
+
+
+@pytest.mark.parametrize("sizes", [[1, 1, 37, 60], [45, 54]])
+def test_floor_does_not_depend_on_batches(spark, sizes):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vecmeadow.functions.floor import track
+    from vecmeadow.session import scratch_table
+    from vecmeadow.streaming import state, windows as W
+
+    levels = np.random.default_rng(3).uniform(0.01, 0.1, 99)
+    levels[0] = 5.0  # a loud first frame
+    row = lambda s, n, x: (s, 1_700_000_000 + n, n, float(x))
+    batches, at = [], 0
+    for size in sizes:
+        batches.append([row("long", n, levels[n]) for n in range(at, at + size)])
+        at += size
+    short = [row("short", n, x) for n, x in enumerate(levels[:7])]
+    batches[0] += short
+    batches.append([("end", 1_700_009_000, 0, 0.1)])  # moves the watermark past the short stream's end
+    path, root = scratch_table(spark, "frames"), scratch_table(spark, "floors")
+    out = None
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "s string, us long, id long, x double").withColumn("ts", F.timestamp_seconds("us")).select("s", "ts", "id", "x")
+        frame.coalesce(1).write.mode("append").parquet(path)
+        out = state.held_floor_stream(W.event_time(W.file_stream(spark, path, frame.schema), "ts", "10 seconds"), "s", "ts", "id", "x", idle=600_000)
+        W.run_available(out.writeStream.format("parquet").option("path", f"{root}/table"), f"{root}/checkpoint")
+    found = spark.read.schema(out.schema).parquet(f"{root}/table").orderBy("s", "id").collect()
+    for name, expected in (("long", levels), ("short", levels[:7])):
+        floors, flags = track([expected])
+        mine = [r for r in found if r.s == name]
+        assert [r.noise_floor for r in mine] == pytest.approx(floors[0].tolist()) and [r.triggered for r in mine] == flags[0].tolist()

@@ -158,6 +158,22 @@ def _(t):
     return collected(t, out, parts=p).withColumn("noise_floor", F.round(F.col("noise_floor") + 1e-9, 6))
 
 
+FIRST_FORTY = STREAM + """,
+framed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS frame FROM stream),
+first_level AS (SELECT user_id, greatest(1e-4::DOUBLE, quantile_cont(value, 0.15)) AS f0 FROM framed WHERE frame < 40 GROUP BY ALL),
+walk AS (""" + WHOLE_FLOOR.split("walk AS (")[1]
+
+
+@query("t5_held_floor_stream", f"WITH RECURSIVE {FIRST_FORTY} SELECT user_id, event_id, round(floor + 1e-9, 6) AS noise_floor, triggered FROM walk WHERE frame >= 0")
+def _(t):
+    """Six micro-batches; a user's frames wait until there are forty (all users of the table have more)."""
+    p = Parts(t, timed(t), "us", parts=6)
+    s = W.event_time(p.stream.withColumn("ts", F.timestamp_micros("us")), "ts", "1 hour")
+    # A stream counts as ended only after more time than the table spans.
+    out = state.held_floor_stream(s, "user_id", "ts", "event_id", "value", idle=90 * 24 * 3_600_000)
+    return collected(t, out, parts=p).withColumn("noise_floor", F.round(F.col("noise_floor") + 1e-9, 6))
+
+
 @query(
     "t6_drop_recent_stream",
     f"WITH RECURSIVE {STREAM}, {CONTENT}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM content), "

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vecmeadow.functions.floor import initial_floor, step_one
+from vecmeadow.functions.floor import INIT_FRAMES, initial_floor, step_one
 
 
 def _in_order(parts: Iterator[pd.DataFrame], time: str, tie: str) -> pd.DataFrame:
@@ -135,6 +136,40 @@ def floor_stream(stream: DataFrame, key: str, time: str, tie: str, value: str) -
     )
 
 
+def held_floor_stream(stream: DataFrame, key: str, event_time: str, tie: str, value: str, idle: int = 3_600_000) -> DataFrame:
+    """``floor_stream`` with the start level of the batch operators, whatever the micro-batches: ``key, tie, noise_floor, triggered``.
+
+    ``event_time`` is a timestamp with a watermark. A stream's frames are held until there are ``INIT_FRAMES``, or until the watermark
+    is ``idle`` milliseconds past its last one, which ends a shorter stream; then all held rows are emitted. Later frames go on from there.
+    """
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    out = f"{key} {types[key]}, {tie} {types[tie]}, noise_floor double, triggered boolean"
+    held = f"floor double, times array<long>, ties array<{types[tie]}>, levels array<double>"
+
+    def fold(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        floor, times, ties, levels = state.get if state.exists else (None, [], [], [])
+        rows = pd.DataFrame({"at": list(times), tie: list(ties), value: list(levels)})
+        if not state.hasTimedOut:
+            rows = _in_order(iter([p for p in (rows, *parts) if len(p)]), "at", tie)
+            if floor is None and len(rows) < INIT_FRAMES:
+                state.update((None, rows["at"].tolist(), rows[tie].tolist(), rows[value].tolist()))
+                state.setTimeoutTimestamp(max(int(rows["at"].max()) // 1000 + idle, state.getCurrentWatermarkMs() + 1))
+                return
+        levels = rows[value].to_numpy(dtype=np.float64)
+        if floor is None:
+            floor = float(initial_floor(levels[None, :], np.array([len(levels)]))[0])
+        floors, flags = [], []
+        for level in levels.tolist():
+            floor, triggered = step_one(floor, level)
+            floors.append(floor)
+            flags.append(triggered)
+        state.update((floor, [], [], []))
+        yield pd.DataFrame({key: group[0], tie: rows[tie].to_numpy(), "noise_floor": floors, "triggered": flags})
+
+    frames = stream.select(key, event_time, F.unix_micros(event_time).alias("at"), tie, value)
+    return frames.groupBy(key).applyInPandasWithState(fold, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drop_recent_stream(stream: DataFrame, key: str, content: str, time: str, tie: str, within: int = 20) -> DataFrame:
     """Drop a row whose content is among the last ``within`` accepted contents of its stream."""
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
