@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from vecmeadow.functions import text as X
 from vecmeadow.operators import evaluate as E, report as R, scoring as S
 from vecmeadow.plans.registry import Tables, query
-from vecmeadow.plans.sql import FIVE_SHOT
-from vecmeadow.plans.vectors import FEW_SHOT, MARGIN, THETA, five_shot
+from vecmeadow.plans.sql import FIVE_SHOT, UNITS, centroids
+from vecmeadow.plans.vectors import FEW_SHOT, MARGIN, THETA, components, five_shot
 from vecmeadow.session import scratch_table
 from vecmeadow.sources import catalog as C, metadata as M, stores as ST
 
@@ -107,6 +107,28 @@ def _(t):
     return store.load().select("label", "n_support", day("created_at").alias("created"), day("updated_at").alias("updated"))
 
 
+@query(
+    "s10_whole_store",
+    f"WITH {UNITS}, " + centroids("bank", "units") + """, b AS (SELECT label, count(*) AS rows, sum((vec_id % 2 = 0 AND label % 3 <> 1)::INT) AS early FROM embeddings GROUP BY label)
+    SELECT label, n AS n_support, i, round(x, 6) AS x, CASE WHEN early > 0 THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN rows > early THEN '2024-02-01' ELSE '2024-01-01' END AS updated
+    FROM (SELECT label, n, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM bank) JOIN b USING (label) WHERE label <> 2""",
+)
+def _(t):
+    """Save a bank of the even rows of two thirds of the labels, upsert it merged with all other rows, delete label 2: all rows of all labels are in."""
+    from vecmeadow.operators.bank import fit_bank, merge_banks
+
+    store = ST.BankStore(t.spark, scratch_table(t.spark, "bank"))
+    early = F.expr("vec_id % 2 = 0 AND label % 3 <> 1")
+    store.save(fit_bank(t.embeddings.filter(early)), F.lit("2024-01-01").cast("timestamp"))
+    rest = fit_bank(t.embeddings.filter(~early))
+    touched = store.load().join(rest.select("label"), "label", "left_semi")
+    store.save(merge_banks(touched, rest), F.lit("2024-02-01").cast("timestamp"))
+    store.delete([2])
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    bank = store.load().withColumns({"created": day("created_at"), "updated": day("updated_at")})
+    return components(bank, ["label", "n_support", "created", "updated"], "centroid")
+
+
 def event_log(t: Tables, df: DataFrame) -> DataFrame:
     return ST.detections(
         df, "event_id", F.col("event_type"), F.round(F.col("value"), 4), X.content_hash(F.col("props"), 16), 10.0,
