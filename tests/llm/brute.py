@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from itertools import combinations
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,3 +76,65 @@ def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
         out.append((least, window - least))
         room.append(least - length)
     return out
+
+
+def spelling_words(rows, slip: int | None, min_length: int = 6, min_count: int = 5) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = ascii_lower(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if slip and h % slip == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            counts[run] = counts.get(run, 0) + 1
+    return {w: n for w, n in counts.items() if len(w) >= min_length and n >= min_count}
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spellings(words: dict[str, int], ratio: int = 5) -> set[tuple]:
+    form, near_of = {}, {w: [v for v in words if one_edit(w, v)] for w in words}
+    for w, near in near_of.items():
+        best = min(near, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    out = set()
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.add((w, form[w], root, words[w], len(near_of[w]), words.get(form[w])))
+    return out
+
+
+def fill_in_middle(doc_id, text: str | None, rate: int = 100, suffix_first: int = 50) -> tuple:
+    text = text or ""
+    units = re.findall("[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+    n = len(units)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return doc_id, n, "plain", None, None, text
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h4 % 100 < suffix_first:
+        return doc_id, n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return doc_id, n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def byte_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmeadow.llm import fingerprints, jaccard_join, packing, pq_dedup, quality, sentencepieces, sharding, token_counts, toxicity, url_filter
+from vecmeadow.llm import (
+    byte_pairs,
+    fill_middle,
+    fingerprints,
+    jaccard_join,
+    packing,
+    pq_dedup,
+    quality,
+    sentencepieces,
+    sharding,
+    spelling,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from vecmeadow.session import scratch_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +143,58 @@ SELECT p.doc_id, CAST(p.n_bytes AS BIGINT) AS n_bytes, CAST(p.depth AS BIGINT) A
   b.shard_bytes, b.shard_docs, b.shard_bytes <= 1048576 AS fits
 FROM placed p JOIN at_depth a ON a.doc_id = p.doc_id AND a.depth = p.depth
 JOIN buckets b ON b.depth = a.depth AND b.prefix = a.prefix"""
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent word that each may be a spelling of; every 199th run by checksum has lost a letter."""
+    return spelling.group_spellings(table(spark, sf_dir, "documents"), slip=199)
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut at line ends into prefix, middle and suffix, put together in another order and turned back."""
+    moved = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return moved.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op12_fill_middle"] = """
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+counted AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS parts,
+    length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR suffix(text, chr(10)) THEN 0 ELSE 1 END AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM hashed),
+chosen AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM counted),
+heads AS (
+  SELECT *, CASE WHEN a = n THEN text WHEN a = 0 THEN '' ELSE array_to_string(parts[1:a], chr(10)) || chr(10) END AS head,
+    CASE WHEN b = n THEN text WHEN b = 0 THEN '' ELSE array_to_string(parts[1:b], chr(10)) || chr(10) END AS upto
+  FROM chosen),
+cut AS (
+  SELECT *, length(head) AS p, length(upto) - length(head) AS m FROM heads),
+built AS (
+  SELECT *, CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || head || '<S>' || substr(text, p + m + 1) || '<M>' || substr(text, p + 1, m)
+    ELSE '<S>' || substr(text, p + m + 1) || '<P>' || head || '<M>' || substr(text, p + 1, m) END AS output
+  FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(m AS BIGINT) END AS middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256
+FROM built"""
+
+
+@query
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by merge ranks and decoded again."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_pairs.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
+    decoded = byte_pairs.decode_documents(encoded, ranks, pattern)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
