@@ -19,6 +19,7 @@ doc_ids come back each. Other columns are ignored. An id without a token is an e
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,9 @@ BLOCK_BYTES = 1 << 20
 # White space as the tokenizer's pattern library counts it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = regex.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+# The same chunks of texts without the characters that only Python counts as white space.
+_PLAIN_CHUNK = re.compile(r"\s*\S+|\s+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -168,6 +172,7 @@ class BytePairs:
 
     def __init__(self, path: str, pattern: str):
         self.tokens = read_ranks(path)
+        self.spelled = np.array(self.tokens, dtype=object)
         self.whole = {t: np.uint32(i).astype("<u4").tobytes() for i, t in enumerate(self.tokens)}
         self.table = PairTable(self.tokens)
         self.byte_symbol = np.full(256, -1, np.int32)
@@ -209,7 +214,7 @@ class BytePairs:
         if self.memo_bytes > MEMO_BYTES:
             self.memo.clear()
             self.memo_bytes = 0
-        cut = [_CHUNK.findall(t) for t in texts]
+        cut = [(_CHUNK if _SEPARATORS.search(t) else _PLAIN_CHUNK).findall(t) for t in texts]
         memo = self.memo
         new = list({c for chunks in cut for c in chunks if c not in memo})
         pieces = [[p.encode() for p in self.split.findall(c)] for c in new]
@@ -224,7 +229,7 @@ class BytePairs:
         return [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(self.spelled[np.frombuffer(ids, "<u4")])
 
 
 def coder(path: str, pattern: str) -> BytePairs:
