@@ -38,7 +38,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
 BLOCK_BYTES = 1 << 20
 FLUSH = 100_000
 POOLED = 64  # words of this length or more share their filters
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 14
 FILTER_BYTES = 32 * 1024 * 1024
 WORDS_PER_BLOCK = 16  # a block is 8 lanes of 32 bits, so 16 bits a word
 PROBE_WORDS = 4_000  # words of one probing task
