@@ -30,6 +30,7 @@ PAIRS_PER_DOC = 8
 THRESHOLD = 0.3
 SLOPE = 1.0
 L2 = 1e-3
+BLOCK_BYTES = 1 << 20  # class codes take 16 bytes a byte of text
 CLASSES = 10  # lower, upper, digit, blank, line end, punctuation, "!", "|", other ASCII, other bytes
 
 
@@ -130,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in worker.blocks(batches):
+        for block in worker.blocks(batches, limit=BLOCK_BYTES):
             x = features([t or "" for t in block.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(list(x)), block.column(1)], ["x", "label"])
 
@@ -147,7 +148,7 @@ def score_documents(docs: DataFrame, model: Ranking, name: str = "score") -> Dat
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in worker.blocks(batches):
+        for block in worker.blocks(batches, limit=BLOCK_BYTES):
             texts = block.column(block.schema.get_field_index("text")).to_pylist()
             found = model.score(features([t or "" for t in texts]))
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found)], [*block.schema.names, name])

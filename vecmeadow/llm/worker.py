@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import sys
@@ -12,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 8 * 1024 * 1024
-MEMO_ENTRIES = 600_000
+MEMO_BYTES = 64 * 1024 * 1024
+ENTRY_BYTES = 200  # of an entry besides its text and ids
+KEPT = 2  # objects of a worker process; the one used last but that many goes
 JOINED = 400
 LATIN = "\u0250"
 _SPACED = re.compile(r"\s*\S+|\s+")
@@ -21,11 +24,27 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def kept(name: str, build: Callable):
-    """``build()`` once per worker process. Shipped functions get new globals in each task, so the object hangs on ``sys``."""
+    """``build()`` once per worker process. Shipped functions get new globals in each task, so the object hangs on ``sys``.
+
+    A process that goes on to another job keeps only the ``KEPT`` objects used last.
+    """
     store = sys.__dict__.setdefault("_kept_between_tasks", {})
-    if name not in store:
-        store[name] = build()
-    return store[name]
+    found = store.pop(name, None)
+    if found is None:
+        while len(store) >= KEPT:
+            store.pop(next(iter(store)))
+        found = build()
+    store[name] = found
+    return found
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the executor's memory is shared with its JVM and other workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -41,8 +60,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             upto = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
-        # The executor's memory is shared with its JVM: give back what the last batch took.
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def byte_ranks(path: str) -> dict[bytes, int] | None:
@@ -88,6 +107,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.counts = counts
         self.memo: dict = {}
+        self.memo_bytes = 0
         self.plain = None
         ranks = byte_ranks(path) if pattern else None
         if ranks:
@@ -135,12 +155,15 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list:
         """Per text its number of tokens, or its ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_ENTRIES:
+        if self.memo_bytes > MEMO_BYTES:
             self.memo.clear()
+            self.memo_bytes = 0
         memo = self.memo
         cut = [_SPACED.findall(t) if not _SEPARATORS.search(t) else None for t in texts]
         new = list({c for chunks in cut if chunks for c in chunks if c not in memo})
-        memo.update(zip(new, self._encoded_chunks(new)))
+        found = self._encoded_chunks(new)
+        memo.update(zip(new, found))
+        self.memo_bytes += ENTRY_BYTES * len(new) + sum(map(len, new)) + (0 if self.counts else sum(map(len, found)))
         out = []
         for text, chunks in zip(texts, cut):
             if chunks is None:
