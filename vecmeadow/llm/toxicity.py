@@ -25,7 +25,7 @@ The score is a logistic curve that
 passes through ``threshold`` where training documents are told apart best.
 
 At most ``sample`` labelled documents of each class are used, the first by a hash
-of their ids. Without both classes every score is 0. A null or empty text has no
+of their ids, less those of more than ``longest`` bytes, so that what the driver gets is bounded. Without both classes every score is 0. A null or empty text has no
 words and the lowest score. Null and repeated ids are scored like any others.
 """
 
@@ -46,6 +46,7 @@ from vecmeadow.llm import worker
 from vecmeadow.llm.quality import labelled_sample
 
 SAMPLE = 2500
+LONGEST_TRAINED = 32 * 1024  # bytes of a document that trains
 THRESHOLD = 0.7
 SLOPE = 6.0
 DECAY = 0.6
@@ -59,6 +60,11 @@ BIAS = -1.0  # a word like no landmark is clean
 SHARE = 0.015
 SENTENCE_TURNS = 3
 WINDOW = 4
+MEMO_WORDS = 300_000
+MEMO_BYTES = 32 * 1024 * 1024
+BLOCK_BYTES = 1 << 20
+CLASSES = 64  # of characters in the cube; the last is for all others
+MOST_CODE = 0x3000
 CHUNK = 50_000  # characters of which windows are bounded at a time, to stay in the cache
 MIXERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0x165667B19E3779F9, 0xC2B2AE3D27D4EB4F)))  # of first, middle and last character
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\`~^+="
@@ -315,6 +321,7 @@ def fit_machine(texts: list[str], labels: np.ndarray, threshold: float = THRESHO
     rows = len(negative)
     model = None
     hard: list[str] = []
+    nearness: dict[str, float] = {}  # largest kernel with a witness
     for turn in range(3 + SENTENCE_TURNS):
         if turn >= 3:
             scorer = Scorer(model)
@@ -332,7 +339,9 @@ def fit_machine(texts: list[str], labels: np.ndarray, threshold: float = THRESHO
             negative = list(dict.fromkeys(negative + inside))
             bad = Counter({w: n for w, n in bad.items() if w not in worst})
         # The clean windows taken for toxic so far are landmarks and weigh more; the others most like the witnesses fill up.
-        near = kernel(negative, positive).max(axis=1)
+        added = [w for w in negative if w not in nearness]
+        nearness.update(zip(added, kernel(added, positive).max(axis=1).tolist()) if added else ())
+        near = np.array([nearness[w] for w in negative])
         like = hard[: landmarks // 4] + [negative[i] for i in np.argsort(-near, kind="stable")[: landmarks // 2]]
         marks = positive[: landmarks // 2] + list(dict.fromkeys(like))[: landmarks // 2]
         values, vectors = np.linalg.eigh(kernel(marks, marks))
@@ -372,82 +381,125 @@ def fit_machine(texts: list[str], labels: np.ndarray, threshold: float = THRESHO
     return Machine(model.features, model.weights, model.bias, float(middle[best[int(np.argmax(gap))]]), threshold)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD) -> Machine:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    learn: Column | None = None,
+    sample: int = SAMPLE,
+    threshold: float = THRESHOLD,
+    longest: int = LONGEST_TRAINED,
+) -> Machine:
     """Fit on at most ``sample`` documents of each class for which ``learn`` (a condition on ``doc_id``) holds."""
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     rows = None
     for value in (0, 1):
         part = labelled_sample(docs, labels, "toxic", learn & (F.col("toxic") == value), sample)
         rows = part if rows is None else rows.union(part)
-    found = rows.toPandas()
+    found = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).toPandas()
     found["text"] = found["text"].fillna("")
     found = found.sort_values(["label", "text"])
     return fit_machine(found["text"].tolist(), found["label"].to_numpy(), threshold)
 
 
 class Scorer:
-    """A machine with the values of the words it has seen."""
+    """A machine with the values of the words it has seen, and the weights of triples of the commonest characters in a cube."""
 
     def __init__(self, model: Machine):
-        self.model, self.table, self.memo = model, model.dense(), {}
-
-    def _values(self, windows: list[str], values) -> list[float]:
-        """Values of words or of short runs, each computed once."""
-        if len(self.memo) > worker.MEMO_ENTRIES:
-            self.memo.clear()
-        new = list({w for w in windows if w not in self.memo})
-        self.memo.update(zip(new, values(new, self.table).tolist()))
-        return [self.memo[w] for w in windows]
+        self.model, self.table = model, model.dense()
+        self.cube = self.common = None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.bare: list[str] = []
+        self.value, self.letters, self.bytes = np.zeros(0), np.zeros(0, np.int64), 0
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """A number for each word; the value of a new one is computed once."""
+        number = self.number
+        new = [w for w in set(words) if w not in number]
+        if new:
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            bare = [w.strip(EDGES) or w for w in new]
+            self.bare += bare
+            self.value = np.r_[self.value, self.model.values(new, self.table)]
+            self.letters = np.r_[self.letters, [len(w) for w in bare]]
+            self.bytes += sum(map(len, new)) + sum(map(len, bare))
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
     def worst(self, texts: list[str], windows: list[str] | None = None) -> np.ndarray:
         """The highest value of any window of each text; that window is appended to ``windows``."""
-        cut = [words_of(t) for t in texts]
-        values = iter(self._values([w for words in cut for w in words], self.model.values))
-        singles = [[next(values) for _ in words] for words in cut]
-        out = np.array([max(v, default=LOWEST) for v in singles])
-        if windows is not None:
-            windows.extend(words[int(np.argmax(v))] if words else "" for words, v in zip(cut, singles))
-        words, sentence, owner, size, number = [], [], [], 0, 0
-        for i, text in enumerate(texts):
-            for part in _SENTENCE.split(text.lower()):
+        if len(self.number) > MEMO_WORDS or self.bytes > MEMO_BYTES:
+            self._forget()
+        lower = [t.lower() for t in texts]
+        words: list[str] = []
+        sizes, owners = [], []  # of sentences
+        for i, text in enumerate(lower):
+            for part in _SENTENCE.split(text):
                 found = part.split()
-                if len(found) < 2:
-                    continue
-                number += 1
-                words.extend([w.strip(EDGES) or w for w in found])
-                sentence.extend([number] * len(found))
-                owner.extend([i] * len(found))
-                size += len(part)
-                if size >= CHUNK:
-                    self._runs(words, np.array(sentence), np.array(owner), out, windows)
-                    words, sentence, owner, size = [], [], [], 0
-        if words:
-            self._runs(words, np.array(sentence), np.array(owner), out, windows)
+                if found:
+                    words += found
+                    sizes.append(len(found))
+                    owners.append(i)
+        out = np.full(len(texts), LOWEST)
+        sizes, owners = np.array(sizes, np.int64), np.array(owners, np.int64)
+        owner = np.repeat(owners, sizes)
+        numbers = self._numbers(words)
+        if len(words):
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[owner[starts]] = np.maximum.reduceat(self.value[numbers], starts)
+        if windows is not None:
+            chosen = [""] * len(texts)
+            for at in np.flatnonzero(self.value[numbers] == out[owner])[::-1].tolist():
+                chosen[owner[at]] = words[at]
+        # Runs of single letters are words too; only texts with three of them in a row are searched.
+        single = np.fromiter(map(len, words), np.int64, len(words)) == 1
+        near = np.flatnonzero(single[2:] & single[1:-1] & single[:-2])
+        joined = [(i, "".join(run.split())) for i in np.unique(owner[near]).tolist() for run in _LETTERS.findall(lower[i])]
+        numbers_of_runs = self._numbers([run for _, run in joined])
+        for (i, run), value in zip(joined, self.value[numbers_of_runs].tolist()):
+            if value > out[i]:
+                out[i] = value
+                if windows is not None:
+                    chosen[i] = run
+        # Sentences of two words or more, some at a time.
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        several = np.flatnonzero(sizes[sentence] > 1)
+        upto, ends = np.cumsum(self.letters[numbers[several]]), sentence[several]
+        first = 0
+        while first < len(several):
+            before = upto[first - 1] if first else 0
+            last = min(int(np.searchsorted(upto, before + CHUNK)), len(several) - 1)
+            last = int(np.searchsorted(ends, ends[last], side="right"))
+            at = several[first:last]
+            bare = list(map(self.bare.__getitem__, numbers[at].tolist()))
+            self._runs(bare, self.letters[numbers[at]], sentence[at], owner[at], out, None if windows is None else chosen)
+            first = last
+        if windows is not None:
+            windows.extend(chosen)
         return out
 
-    def _runs(self, words: list[str], sentence: np.ndarray, owner: np.ndarray, out: np.ndarray, windows: list[str] | None) -> None:
+    def _runs(
+        self, words: list[str], sizes: np.ndarray, sentence: np.ndarray, owner: np.ndarray, out: np.ndarray, windows: list[str] | None
+    ) -> None:
         """Raise ``out`` to the values of runs of words. A run is looked at when its bound is above the worst of its text."""
-        sizes = np.array([len(w) for w in words])
         end = np.cumsum(sizes + 1) - 1
         start = end - sizes
-        inner, left, right = self._sums(words, start, end)
+        opening, closing = self._sums(words, start, end)
+        # The norm of a text without repeated subsequences is linear in its length.
+        slope = sum((gap + 1) * DECAY ** (2 * gap) for gap in range(SPAN - 2))
+        fixed = sum(gap * (gap + 1) * DECAY ** (2 * gap) for gap in range(SPAN - 2))
         first, last, bound = [], [], []
         for more in range(1, min(WINDOW, len(words))):
-            at = np.flatnonzero(sentence[more:] == sentence[:-more])
-            s, e = start[at], end[at + more]
-            total = left[at] + right[at + more]
-            length = (e - s).astype(float)
-            norm = np.zeros(len(at))
-            for gap, sums in enumerate(inner):
-                total += sums[np.maximum(e - gap - 2, 0)] - sums[s]
-                norm += np.maximum(length - gap, 0) * (gap + 1) * DECAY ** (2 * gap)
+            length = end[more:] - start[:-more]
+            total = np.maximum(opening[:-more] + closing[more:], 0)
             # Repeated subsequences only lengthen the vector. Ends of short runs meet, so their sums do not hold.
-            value = self.model.bias + np.maximum(total, 0) / np.sqrt(norm) + 1e-9
+            value = self.model.bias + total / np.sqrt(np.maximum(slope * length - fixed, 1)) + 1e-9
             value[length < SPAN] = np.inf
-            keep = value > out[owner[at]]
-            first.append(at[keep])
-            last.append(at[keep] + more)
-            bound.append(value[keep])
+            at = np.flatnonzero((value > out[owner[:-more]]) & (sentence[more:] == sentence[:-more]))
+            first.append(at)
+            last.append(at + more)
+            bound.append(value[at])
         if not first:
             return
         first, last, bound = map(np.concatenate, (first, last, bound))
@@ -457,35 +509,90 @@ class Scorer:
         for chosen in (np.flatnonzero(short), best, None):
             if chosen is None:
                 chosen = np.flatnonzero(~short & (bound > out[owner[first]]))
+            if not len(chosen):
+                continue
             texts = [" ".join(words[i : k + 1]) for i, k in zip(first[chosen].tolist(), last[chosen].tolist())]
-            few = len(chosen) > 0 and short[chosen[0]]
-            values = self._values(texts, self.model._plain_values) if few else self.model._plain_values(texts, self.table)
-            for i, value, text in zip(owner[first[chosen]].tolist(), values, texts):
-                if value > out[i]:
-                    out[i] = value
+            distinct = list(dict.fromkeys(texts))
+            of = dict(zip(distinct, self.model._plain_values(distinct, self.table).tolist()))
+            for i, text in zip(owner[first[chosen]].tolist(), texts):
+                if of[text] > out[i]:
+                    out[i] = of[text]
                     if windows is not None:
                         windows[i] = text
 
-    def _sums(self, words: list[str], start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Running sums of weights by spread over the words with blanks between, and the weights with the mark before and after each word."""
-        codes = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        a, b, c = (codes * m for m in MIXERS)
+    def _classes(self, codes: np.ndarray) -> np.ndarray:
+        """Class of each character: its place among the commonest of the first chunk, or the last class."""
+        if self.common is None:
+            found, times = np.unique(codes, return_counts=True)
+            found = found[np.argsort(-times, kind="stable")][: CLASSES - 3]
+            self.common = np.r_[found[found > 3], 2, 3].astype(np.int64)
+            self.class_of = np.full(MOST_CODE + 1, CLASSES - 1, np.int64)
+            self.class_of[self.common[self.common < MOST_CODE]] = np.flatnonzero(self.common < MOST_CODE)
+            self.class_of[MOST_CODE] = CLASSES - 1
+            a, b, c = (np.zeros(CLASSES, np.uint64) for _ in range(3))
+            for array, mixer in zip((a, b, c), MIXERS):
+                array[: len(self.common)] = self.common.astype(np.uint64) * mixer
+            cube = self.table[_feature(a[:, None, None] + b[None, :, None] + c[None, None, :])]
+            known = np.arange(CLASSES) < len(self.common)
+            cube *= known[:, None, None] & known[None, :, None] & known[None, None, :]
+            self.cube = cube.ravel()
+        return self.class_of[np.minimum(codes, MOST_CODE)]
+
+    def _sums(self, words: list[str], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per word what it adds to a run that it begins and to one that it ends: the sum over a run is that of its first and its last word.
+
+        Running sums of the weights of subsequences by their first place, less those that reach behind the run, and
+        the weights with the mark before and after the word.
+        """
+        codes = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        classes = self._classes(codes)
+        begin, finish = self._classes(np.array([2, 3]))
+        rare = np.flatnonzero(classes == CLASSES - 1)
         n = len(codes)
-        begin, finish = np.array([2], np.uint64) * MIXERS[0], np.array([3], np.uint64) * MIXERS[2]
-        left, right, inner = np.zeros(len(words)), np.zeros(len(words)), []
+        a, b = classes * (CLASSES * CLASSES), classes * CLASSES
+        pairs = {middle: a[: n - middle] + b[middle:n] for middle in range(1, SPAN - 1) if n > middle}
+        mixed = [codes.astype(np.uint64) * m for m in MIXERS] if len(rare) else None
+        marks = [np.array([mark], np.uint64) * m for mark, m in ((2, MIXERS[0]), (3, MIXERS[2]))]
+        after = [np.minimum(start + i, n - 1) for i in range(SPAN - 1)]
+        before = [np.clip(end - i, 0, n - 1) for i in range(SPAN)]
+        class_after, class_before = [classes[at] for at in after], [classes[at] for at in before]
+        opening, closing = np.zeros(len(words)), np.zeros(len(words))
+
+        def hashed(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+            return self.table[_feature(x + y + z)]
+
+        total, room, at_end = np.zeros(n + 1), np.zeros(n, np.int64), np.zeros(n)
         for last in range(2, SPAN):
             found = np.zeros(n + 1)
-            opened = begin + c[np.minimum(start + last - 1, n - 1)]
-            closed = a[np.maximum(end - last, 0)] + finish
-            ends = a[: max(0, n - last)] + c[last:]
             weight = DECAY ** (last - 2)
+            many = max(0, n - last)
             for middle in range(1, last):
-                if len(ends):
-                    found[1 : n - last + 1] += self.table[_feature(ends + b[middle : n - last + middle])]
-                left += weight * self.table[_feature(opened + b[np.minimum(start + middle - 1, n - 1)])]
-                right += weight * self.table[_feature(closed + b[np.maximum(end - last + middle, 0)])]
-            inner.append(np.cumsum(found) * weight)
-        return inner, left, right
+                if many:
+                    np.add(pairs[middle][:many], classes[last:n], out=room[:many])
+                    found[:many] += np.take(self.cube, room[:many], out=at_end[:many], mode="clip")
+                y, z = class_after[middle - 1], class_after[last - 1]
+                left = self.cube[begin * (CLASSES * CLASSES) + y * CLASSES + z]
+                x, w = class_before[last], class_before[last - middle]
+                right = self.cube[x * (CLASSES * CLASSES) + w * CLASSES + finish]
+                if len(rare):
+                    at = np.flatnonzero((y == CLASSES - 1) | (z == CLASSES - 1))
+                    left[at] = hashed(marks[0], mixed[1][after[middle - 1][at]], mixed[2][after[last - 1][at]])
+                    at = np.flatnonzero((x == CLASSES - 1) | (w == CLASSES - 1))
+                    right[at] = hashed(mixed[0][before[last][at]], mixed[1][before[last - middle][at]], marks[1])
+                    at = np.unique(np.concatenate([rare, rare - middle, rare - last]))
+                    at = at[(at >= 0) & (at < many)]
+                    found[at] += hashed(mixed[0][at], mixed[1][at + middle], mixed[2][at + last])
+                opening += weight * left
+                closing += weight * right
+            found *= weight
+            total += found
+            for back in range(3, last + 1):
+                closing -= found[before[back]]
+        # What begins at the last two places of a run or at the blank behind it is not in the run, whatever its spread.
+        for back in range(3):
+            closing -= total[np.maximum(end - back, 0)]
+        upto = np.cumsum(np.add.reduceat(total[:n], start))
+        return opening - np.r_[0.0, upto[:-1]], closing + upto
 
 
 def _worst_windows(scorer: Scorer, sentences: list[str]) -> list[tuple[str, float]]:
@@ -502,7 +609,7 @@ def score_documents(docs: DataFrame, model: Machine, name: str = "score") -> Dat
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for block in worker.blocks(batches):
+        for block in worker.blocks(batches, limit=BLOCK_BYTES):
             texts = [t or "" for t in block.column(block.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(model.score(scorer.worst(texts)))], [*block.schema.names, name])
 
