@@ -207,9 +207,31 @@ def test_op2_rules(spark):
 def test_join_stage_keeps_one_of_each_group(spark, odd_docs):
     kept = corpus_pipeline.one_of_each_group(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns
-    ids = sorted(r.doc_id for r in kept.where("doc_id is not null").select("doc_id").collect())
-    assert ids == [-5, 1, 5, 6, 7, 8, 10, 11, 12, 2**40]
-    assert kept.where("doc_id is null").count() == 3
+    rows = kept.select("doc_id", "text").collect()
+    base = [r for r in rows if (r.text or "").lower().startswith("w0 w1")]
+    assert len(base) == 1 and base[0].doc_id in (1, 2, 3, 4, None)
+    # All other texts stay, those that repeat an id and those without an id too.
+    others = Counter((r.doc_id, r.text) for r in rows if r not in base and r.doc_id not in (8, 9))
+    want = {r[:2] for r in map(tuple, odd_docs.select("doc_id", "text").collect()) if not (r[1] or "").lower().startswith("w0 w1")}
+    assert others == Counter(w for w in want if w[0] not in (8, 9))
+    assert sum(r.doc_id in (8, 9) for r in rows) == 1  # the same words
+
+
+def test_rows_of_one_id_with_other_texts_all_stay(spark):
+    rows = [(1, "one two three four five six seven"), (1, "eight nine ten eleven twelve"), (1, "one two three four five six seven")]
+    rows += [(2, "one two three four five six seven"), (2, "a b c d e f"), (3, None), (3, "")]
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(r.text for r in kept) == Counter({r[1]: 1 for r in rows})
+
+
+def test_stages_on_odd_and_no_rows(spark, odd_docs, no_docs):
+    for docs in (odd_docs, no_docs):
+        before = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and out.count() <= before, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert packed.select("doc_id").count() >= before
 
 
 def test_pipeline(spark):
