@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vecmeadow.llm import jaccard_join, packing, quality, queries, toxicity
 from vecmeadow.session import scratch_table
 
-SCORE = "__score"
+SCORE, KEY = "__score", "__key"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,16 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that repeat an id, the one with the least text.
+    """One document of each near-duplicate group: that with the least hash of id and text, its row key.
 
-    Documents without words or without an id are in no group and stay.
+    Rows that repeat an id with another text, and rows without an id, are documents of their own. Of rows
+    that repeat id and text one stays. Documents without words are linked with nothing; each of their keys stays.
     """
-    found = jaccard_join.near_duplicates(docs)
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    found = jaccard_join.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text"))
     kept = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
-    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__kept"))
-    result = rows.where("__rows = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = keyed.join(kept.hint("shuffle_hash"), F.col(KEY) == F.col("__kept"))
+    result = rows.where("__rows = 1").select(*docs.columns)
     if kept.where("__rows > 1").isEmpty():
         return result
     least = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row")
