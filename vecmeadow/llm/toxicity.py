@@ -32,6 +32,7 @@ words and the lowest score. Null and repeated ids are scored like any others.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -401,6 +402,18 @@ def train(
     return fit_machine(found["text"].tolist(), found["label"].to_numpy(), threshold)
 
 
+class _Numbers(dict):
+    """A number for each word, given when it is first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        found = self[word] = len(self)
+        return found
+
+
 class Scorer:
     """A machine with the values of the words it has seen, and the weights of triples of the commonest characters in a cube."""
 
@@ -410,22 +423,21 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.bare: list[str] = []
         self.value, self.letters, self.bytes = np.zeros(0), np.zeros(0, np.int64), 0
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """A number for each word; the value of a new one is computed once."""
-        number = self.number
-        new = [w for w in set(words) if w not in number]
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new, self.number.new = self.number.new, []
         if new:
-            number.update(zip(new, range(len(number), len(number) + len(new))))
             bare = [w.strip(EDGES) or w for w in new]
             self.bare += bare
             self.value = np.r_[self.value, self.model.values(new, self.table)]
             self.letters = np.r_[self.letters, [len(w) for w in bare]]
             self.bytes += sum(map(len, new)) + sum(map(len, bare))
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        return numbers
 
     def worst(self, texts: list[str], windows: list[str] | None = None) -> np.ndarray:
         """The highest value of any window of each text; that window is appended to ``windows``."""
@@ -606,9 +618,11 @@ def score_documents(docs: DataFrame, model: Machine, name: str = "score") -> Dat
     """All columns of ``docs`` and ``name``, which replaces a column of that name, in one pass without a shuffle."""
     docs = docs.drop(name)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
+    run = f"scorer {uuid.uuid4()}"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        # One scorer for all tasks of a worker: words recur.
+        scorer = worker.kept(run, lambda: Scorer(model))
         for block in worker.blocks(batches, limit=BLOCK_BYTES):
             texts = [t or "" for t in block.column(block.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(model.score(scorer.worst(texts)))], [*block.schema.names, name])
