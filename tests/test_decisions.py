@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["w5_smoothed_decisions", "t4_decision_stream"])
+@pytest.mark.parametrize("name", ["w5_streaks", "t4_smooth_stream"])
 def test_smoothed_decisions(spark, name):
     assert compare(spark, SF, name, entry.queries(), entry.oracle_sql()) == ""
 
@@ -24,7 +24,7 @@ def test_decided_on_the_smoothed_score(spark):
 
 
 def test_held_floor(spark):
-    assert compare(spark, SF, "t5_held_floor_stream", entry.queries(), entry.oracle_sql()) == ""
+    assert compare(spark, SF, "t5_floor_stream", entry.queries(), entry.oracle_sql()) == ""
 
 
 @pytest.mark.parametrize("sizes", [[1, 1, 37, 60], [45, 54]])
@@ -51,10 +51,30 @@ def test_floor_does_not_depend_on_batches(spark, sizes):
     for rows in batches:
         frame = spark.createDataFrame(rows, "s string, us long, id long, x double").withColumn("ts", F.timestamp_seconds("us")).select("s", "ts", "id", "x")
         frame.coalesce(1).write.mode("append").parquet(path)
-        out = state.held_floor_stream(W.event_time(W.file_stream(spark, path, frame.schema), "ts", "10 seconds"), "s", "ts", "id", "x", idle=600_000)
+        out = state.floor_stream(W.event_time(W.file_stream(spark, path, frame.schema), "ts", "10 seconds"), "s", "ts", "id", "x", idle=600_000)
         W.run_available(out.writeStream.format("parquet").option("path", f"{root}/table"), f"{root}/checkpoint")
     found = spark.read.schema(out.schema).parquet(f"{root}/table").orderBy("s", "id").collect()
     for name, expected in (("long", levels), ("short", levels[:7])):
         floors, flags = track([expected])
         mine = [r for r in found if r.s == name]
         assert [r.noise_floor for r in mine] == pytest.approx(floors[0].tolist()) and [r.triggered for r in mine] == flags[0].tolist()
+
+
+def test_null_labels_are_equal_in_batch_and_stream(spark):
+    from pyspark.sql import functions as F
+
+    from vecmeadow.operators import sequences as Q
+    from vecmeadow.session import scratch_table
+    from vecmeadow.streaming import state, windows as W
+
+    rows = [("s", None, 0, 0, 3.0), ("s", "a", 1, 1, 5.0), ("s", None, 2, 2, 9.0), ("s", "a", 3, 3, 5.0), ("s", "b", 4, 4, 5.0)]
+    df = spark.createDataFrame(rows, "s string, l string, t long, id long, x double")
+    names = ["id", "best_label", "smoothed", "streak", "is_known"]
+    batch = [tuple(r) for r in Q.decisions(df, "s", "l", "t", "id", "x", gap=10, theta=1.0, sure=99.0).orderBy("id").select(*names).collect()]
+    path, root = scratch_table(spark, "rows"), scratch_table(spark, "decisions")
+    df.coalesce(1).write.parquet(path)
+    out = state.decision_stream(W.file_stream(spark, path, df.schema), "s", "l", "t", "id", "x", gap=10, theta=1.0, sure=99.0)
+    W.run_available(out.writeStream.format("parquet").option("path", f"{root}/table"), f"{root}/checkpoint")
+    found = spark.read.schema(out.schema).parquet(f"{root}/table").orderBy("id").select(*names).collect()
+    assert [tuple(r) for r in found] == [(i, b, s, k, bool(known)) for i, b, s, k, known in batch]
+    assert [r.best_label for r in found] == [None, "a", "a", "a", "a"]

@@ -83,13 +83,24 @@ def test_floor_follows_noise_steps():
     assert not up[1][0].any() and up[0][0][-1] > 0.015
 
 
+def first_numbers(dim: int):
+    """A model of the test: the first numbers at unit length, silence as the first unit vector."""
+
+    def model(clips: np.ndarray) -> np.ndarray:
+        x = clips[:, :dim]
+        lengths = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.where(lengths > 0, x / np.where(lengths > 0, lengths, 1.0), np.eye(1, dim))
+
+    return lambda: model
+
+
 def test_embedding_contract(spark):
     df = spark.createDataFrame([(i, [float(np.sin(i + k)) for k in range(64)]) for i in range(5)] + [(9, [0.0] * 64)], "id int, samples array<double>")
-    rows = {r.id: np.array(r.embedding) for r in M.embed(df, M.band_energy(dim=16), 16).collect()}
+    rows = {r.id: np.array(r.embedding) for r in M.embed(df, first_numbers(16), 16).collect()}
     assert all(abs(np.linalg.norm(v) - 1) < 1e-9 for v in rows.values())
     assert rows[9].tolist() == [1.0] + [0.0] * 15
     with pytest.raises(Exception, match="expected"):
-        M.embed(df, M.band_energy(dim=16), 8).collect()
+        M.embed(df, first_numbers(16), 8).collect()
     with pytest.raises(Exception, match="length 1"):
         M.embed(df, lambda: (lambda m: np.ones((len(m), 4))), 4).collect()
 
@@ -167,12 +178,43 @@ def test_names_and_taxa(spark):
     assert summary["bird"] == summary["Aves"] == 15 and summary["amphibian"] == 5
 
 
-def test_vocabulary_blocks_agree(spark):
+def test_vocabulary_match_equals_contains(spark):
+    import random
+
+    from vecmeadow.operators.report import vocabulary_matches
+
+    rnd = random.Random(4)
+    words = ["Koel", "crow", "a", "Ärger", "x1", "日本", "owl", "house-crow", "ii"]
+    lines = [(j, rnd.choice([" ", ", ", "  "]).join(rnd.choices(words, k=rnd.randint(0, 12)))) for j in range(200)] + [(7, None), (None, "crow owl"), (3, "crow owl a")]
+    names = [(i, n) for i, n in enumerate([
+        "", None, "o", "OW", "owl", "crow owl", "w, o", "row ow", "KOEL crow a owl", "oel Crow ärger o", "nothing here", "house-crow", "日本", "ii ii",
+        "crow owl", " ", ", ", "ouse-crow, house-cro", "x1 x1 x1 x", "日本 日本 a crow", "(crow", "l  crow  ",
+    ])] + [(100 + k, lines[k * 9][1][2:30]) for k in range(20)]
+    got = vocabulary_matches(
+        spark.createDataFrame(names, "i long, n string"), spark.createDataFrame(lines, "j long, t string").repartition(3), "i", "n", "j", "t"
+    ).collect()
+    want = {}
+    for i, n in names:
+        held = [j for j, t in lines if n and t is not None and j is not None and n.lower() in t.lower()]
+        want[i] = min(held, default=None)
+    assert {r.i: r.first_line for r in got} == want and len(got) == len(names)
+    assert all(r.in_vocabulary == (r.first_line is not None) for r in got)
+    # One row for each of the many names of common words and none for those that no line has.
+    assert sum(v is not None for v in want.values()) > 15 and None in want.values()
+
+
+def test_vocabulary_match_stays_in_the_jvm(spark):
+    from vecmeadow.operators.report import vocabulary_matches
+
+    one = spark.createDataFrame([(1, "house crow owl")], "i long, n string")
+    plan = vocabulary_matches(one, one, "i", "n", "i", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_vocabulary_match_of_nothing(spark):
     from vecmeadow.operators.report import vocabulary_matches
 
-    names = spark.createDataFrame([(i, f"name {i} x") for i in range(30)], "i long, n string")
-    lines = spark.createDataFrame([(j, f"see NAME {j % 20} X and name {j % 7} x.") for j in range(60)], "j long, t string")
-    key = lambda df: sorted((r.i, -1 if r.first_line is None else r.first_line) for r in df.collect())
-    one = key(vocabulary_matches(names, lines, "i", "n", "j", "t"))
-    assert one == key(vocabulary_matches(names, lines, "i", "n", "j", "t", block_chars=60))
-    assert one == [(i, i % 20 if i < 20 else -1) for i in range(30)]
+    none = spark.createDataFrame([], "i long, n string")
+    one = spark.createDataFrame([(1, "house crow owl")], "i long, n string")
+    assert vocabulary_matches(none, one, "i", "n", "i", "n").count() == 0
+    assert [tuple(r) for r in vocabulary_matches(one, none, "i", "n", "i", "n").select("i", "first_line").collect()] == [(1, None)]

@@ -1,4 +1,4 @@
-"""User-supplied embedding models over sample arrays, and a deterministic one for tests."""
+"""User-supplied embedding models over sample arrays."""
 
 from collections.abc import Callable, Iterator
 
@@ -46,41 +46,3 @@ def embed(
                 yield pa.RecordBatch.from_arrays([*columns, list_column(found)], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
-
-
-def band_energy(
-    dim: int = 256, rate: int = 48_000, bands: int = 64, low: float = 80.0, high: float = 14_000.0,
-    floor: float = 0.01, seed: int = 42,
-) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """Model factory: spectral power in geometric bands, projected by a fixed orthonormal matrix.
-
-    Bands under ``floor`` of the strongest are dropped; silence maps to the first
-    unit vector. The spectrum is that of the whole clip.
-    """
-
-    def factory():
-        edges = np.geomspace(low, high, bands + 1)
-        tall, wide = max(dim, bands), min(dim, bands)
-        basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((tall, wide)))
-        projection = basis.T if dim >= bands else basis
-
-        def model(clips: np.ndarray) -> np.ndarray:
-            x = np.nan_to_num(clips, nan=0.0, posinf=1.0, neginf=-1.0)
-            power = np.abs(np.fft.rfft(x, axis=1)) ** 2
-            band = np.searchsorted(edges, np.fft.rfftfreq(x.shape[1], 1.0 / rate), side="right") - 1
-            member = (band[:, None] == np.arange(bands)[None, :]).astype(np.float64)
-            energy = power @ member
-            strongest = energy.max(axis=1, keepdims=True)
-            energy = np.where(energy > floor * strongest, energy, 0.0)
-            vectors = energy @ projection
-            lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-            usable = (lengths > 1e-12) & (strongest > 1e-12) & (np.abs(x).max(axis=1, keepdims=True) >= 1e-6)
-            first = np.eye(1, dim)
-            return np.where(usable, vectors / np.where(usable, lengths, 1.0), first)
-
-        return model
-
-    return factory
-
-
-register_model("band_energy", band_energy())

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecmeadow.functions.text import taxon_label, title_from_slug
+from vecmeadow.session import scratch_table, small_side
 
 
 def is_known(label: Column) -> Column:
@@ -91,50 +89,60 @@ def duplicate_content(df: DataFrame, id_col: str, digest: Column) -> DataFrame:
     )
 
 
-def vocabulary_matches(
-    names: DataFrame, lines: DataFrame, name_id: str, name: str, line_id: str, line: str, block_chars: int = 20_000_000
-) -> DataFrame:
+# Two neighbouring words of a text and what lies between them; the second word is the first of the next pair.
+_WORD = r"[\p{L}\p{N}]"
+_PAIR = rf"(?<!{_WORD})(?=({_WORD}+[^\p{{L}}\p{{N}}]+{_WORD}+))"
+LETTERS = 6  # characters of the grams of names without two inner words
+
+
+def _grams(text: Column, letters: int) -> Column:
+    """Distinct overlapping grams: pairs of words for 0, else so many characters."""
+    pattern = _PAIR if letters == 0 else f"(?s)(?=(.{{{letters}}}))"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+
+def vocabulary_matches(names: DataFrame, lines: DataFrame, name_id: str, name: str, line_id: str, line: str) -> DataFrame:
     """For each name, the smallest line id whose text contains it (case ignored), or null.
 
-    Every line is read once per block of names by an automaton that finds all
-    names of the block together. A block holds a bounded number of characters;
-    more names make more blocks. Tasks return one candidate per name and batch.
+    A join on an inverted index. A name is keyed by the rarest of its grams: pairs of words that do not touch its ends, which
+    every line with the name has as pairs of its own; or, in names without such a pair, runs of ``LETTERS`` characters, and all
+    characters of shorter names. Lines give their grams of the kinds that occur; those of no name drop out before the first shuffle that
+    counts them. Lines with a name's rarest gram are candidates, and the texts of candidates are compared. Empty and null names match nothing.
     """
-    low = names.select(F.col(name_id), F.lower(name).alias("__t")).filter("__t <> ''")
-    chars = low.agg(F.sum(F.length("__t"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    schema = lines.select(F.col(line_id).alias("line")).schema.add("term", "string")
-    hits = None
-    for b in range(blocks):
-        part = low if blocks == 1 else low.filter(F.pmod(F.xxhash64(name_id), F.lit(blocks)) == b)
-        terms = [r["__t"] for r in part.select("__t").distinct().collect()]
-        shipped = lines.sparkSession.sparkContext.broadcast(terms)
-
-        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for term in shipped.value:
-                automaton.add_word(term, term)
-            if not shipped.value:
-                return
-            automaton.make_automaton()
-            for batch in batches:
-                best: dict = {}
-                for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if text is None:
-                        continue
-                    for _, term in automaton.iter(text):
-                        if term not in best or at < best[term]:
-                            best[term] = at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(best.values(), type=batch.column(0).type), pa.array(best.keys(), type=pa.string())],
-                    names=["line", "term"],
-                )
-
-        found = lines.select(F.col(line_id).alias("line"), F.lower(line)).mapInArrow(scan, schema)
-        hits = found if hits is None else hits.unionByName(found)
-    first = hits.groupBy("term").agg(F.min("line").alias("first_line"))
+    spark = names.sparkSession
+    low = names.select(F.lower(name).alias("term")).filter("term <> ''").distinct()
+    # Words at the ends may go on in a line.
+    inner = F.regexp_replace("term", rf"^{_WORD}+|{_WORD}+$", "")
+    low = low.withColumn("__pairs", _grams(inner, 0))
+    low = low.withColumn("letters", F.when(F.size("__pairs") > 0, 0).otherwise(F.least(F.lit(LETTERS), F.char_length("term"))))
+    own = F.when(F.col("letters") == 0, F.col("__pairs"))
+    for n in range(1, LETTERS + 1):
+        own = own.when(F.col("letters") == n, _grams(F.col("term"), n))
+    path = scratch_table(spark, "name-grams")
+    low.select("term", "letters", F.explode(own).alias("gram")).write.parquet(path)
+    grams = spark.read.parquet(path)
+    wanted = grams.select("letters", "gram").distinct()
+    # At most LETTERS + 1 kinds.
+    kinds = sorted(r[0] for r in wanted.select("letters").distinct().collect())
+    path = scratch_table(spark, "name-hits")
+    texts = lines.select(F.col(line_id).alias("line"), F.lower(line).alias("text")).filter("line IS NOT NULL AND text IS NOT NULL")
+    empty = lines.select(F.col(line_id).alias("line")).limit(0).withColumns({"letters": F.lit(0), "gram": F.lit("")})
+    empty.write.parquet(path)
+    for n in kinds:
+        found = texts.select("line", F.explode(_grams(F.col("text"), n)).alias("gram"))
+        hit = found.join(small_side(wanted.filter(F.col("letters") == n).select("gram")), "gram", "left_semi")
+        hit.select("line", F.lit(n).alias("letters"), "gram").write.mode("append").parquet(path)
+    hits = spark.read.parquet(path)
+    counted = hits.groupBy("letters", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # A name with a gram of no line is in no line.
+    rated = grams.join(counted, ["letters", "gram"], "left")
+    keys = rated.groupBy("term", "letters").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    keys = keys.filter("best.n > 0").select("term", "letters", F.col("best.gram").alias("gram"))
+    path = scratch_table(spark, "name-candidates")
+    hits.join(keys, ["letters", "gram"]).select("line", "term").write.parquet(path)
+    # The texts stay where they are if the candidates are few.
+    held = texts.join(small_side(spark.read.parquet(path)), "line").filter(F.contains("text", "term"))
+    first = held.groupBy("term").agg(F.min("line").alias("first_line"))
     return (
         names.withColumn("__t", F.lower(name)).join(first, F.col("__t") == F.col("term"), "left").drop("__t", "term")
         .withColumn("in_vocabulary", F.col("first_line").isNotNull())

@@ -8,14 +8,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecmeadow.functions.floor import INIT_FRAMES, INIT_QUANTILE, noise_floor
+from vecmeadow.functions.floor import FLOOR_MIN, INIT_FRAMES, INIT_QUANTILE, FloorMap, chunk_map, composed, noise_floor
 from vecmeadow.operators.ordered import ROWS_PER_TASK, arrange, before, first_rows, highest, numbered, position, total
 from vecmeadow.session import checkpointed, small_side
 
+CHUNK_FRAMES = 2048  # frames of a stream that one array holds
+FRAMES_PER_TASK = 50_000  # frames whose maps one task composes
+FAN_IN = 256  # chunk maps that one task holds
+
 
 def sessions(df: DataFrame, keys: list[str], time: str, tie: str, gap: int, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``session``: it grows by one after each pause longer than ``gap`` (``time`` is numeric)."""
@@ -124,16 +130,68 @@ def start_levels(framed: DataFrame, keys: list[str], value: str) -> DataFrame:
     return head.groupBy(*keys).agg(F.percentile(F.col(value), F.lit(INIT_QUANTILE)).alias("start_level"))
 
 
-def track_floor(framed: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per frame: ``noise_floor`` and ``triggered``. A clip has a fixed number of frames, so its array is bounded."""
-    ordered = F.array_sort(F.collect_list(F.struct("frame", F.col(value).cast("double").alias("x"))))
-    clips = framed.groupBy(*keys).agg(ordered.alias("a"))
-    tracked = clips.select(*keys, F.transform("a", lambda s: s["frame"]).alias("f"), F.transform("a", lambda s: s["x"]).alias("x"))
-    tracked = tracked.withColumn("t", noise_floor("x"))
-    each = F.explode(F.arrays_zip("f", "x", F.col("t.floor").alias("floor"), F.col("t.triggered").alias("triggered")))
-    rows = tracked.select(*keys, each.alias("z"))
-    return rows.select(
-        *keys, F.col("z.f").alias("frame"), F.col("z.x").alias(value),
+def chunk_entries(maps: DataFrame, starts: DataFrame, stream: str, fan_in: int = FAN_IN) -> DataFrame:
+    """(stream, chunk, entry): the floor before each chunk. ``maps`` has the map ``m`` of every chunk from 0 on, ``starts`` the first ``entry``.
+
+    A group of ``fan_in`` maps is composed to one map of a higher level, until a stream is one group; then floors come down
+    level by level. So no task holds more than ``fan_in`` maps, however long the stream.
+    """
+    types = {f.name: f.dataType.simpleString() for f in maps.schema.fields}
+    kept = f"{stream} {types[stream]}, chunk long, m struct<starts: array<double>, slopes: array<double>, fixed: array<double>>"
+    maps = maps.withColumn("__group", F.floor(F.col("chunk") / fan_in).cast("long"))
+
+    def pieces(m) -> FloorMap:
+        return FloorMap(*(np.asarray(m[name], dtype=np.float64) for name in ("starts", "slopes", "fixed")))
+
+    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = composed(list(map(pieces, rows.sort_values("chunk")["m"])))
+        return pd.DataFrame({stream: [key[0]], "chunk": [key[1]], "m": [{n: getattr(found, n).tolist() for n in ("starts", "slopes", "fixed")}]})
+
+    def carry(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        floor, before = float(rows["entry"].iloc[0]), []
+        for m in rows["m"]:
+            before.append(floor)
+            floor = pieces(m)(floor)
+        return pd.DataFrame({stream: rows[stream], "chunk": rows["chunk"], "entry": before})
+
+    if maps.filter("__group > 0").isEmpty():
+        first = starts.select(stream, F.lit(0).cast("long").alias("__group"), "entry")
+    else:
+        above = maps.groupBy(stream, "__group").applyInPandas(compose, kept)
+        first = chunk_entries(checkpointed(above), starts, stream, fan_in).withColumnRenamed("chunk", "__group")
+    return maps.join(first, [stream, "__group"]).groupBy(stream, "__group").applyInPandas(carry, f"{stream} {types[stream]}, chunk long, entry double")
+
+
+def track_floor(
+    df: DataFrame, stream: str, time: str, tie: str, value: str, per_chunk: int = CHUNK_FRAMES, limit: int = ROWS_PER_TASK, fan_in: int = FAN_IN
+) -> DataFrame:
+    """Per row of a stream of any length: ``frame`` (its place from 0), ``noise_floor`` and ``triggered``. Rows without a value are left out.
+
+    The first frames give the start level. A longer stream is cut into chunks: each chunk's map from the floor before it to the floor after it is
+    composed by itself, the maps hand the floor on, and then all chunks are tracked at once.
+    """
+    rows = numbered(df.filter(F.col(value).isNotNull()).select(stream, time, tie, value), [stream], time, tie, "__n", limit)
+    rows = rows.withColumn("frame", F.col("__n") - 1).withColumn("chunk", F.floor(F.col("frame") / per_chunk).cast("long"))
+    ordered = F.array_sort(F.collect_list(F.struct("frame", F.col(tie).alias("id"), F.col(value).cast("double").alias("x"))))
+    chunks = rows.groupBy(stream, "chunk").agg(ordered.alias("a"))
+    x = F.transform("a", lambda s: s["x"])
+    chunks = checkpointed(chunks.select(stream, "chunk", F.transform("a", lambda s: s["frame"]).alias("f"), F.transform("a", lambda s: s["id"]).alias("id"), x.alias("x")))
+    few = chunks.filter(F.col("chunk") * per_chunk < INIT_FRAMES)
+    heads = few.select(stream, F.explode(F.arrays_zip("f", "x")).alias("z")).filter(F.col("z.f") < INIT_FRAMES)
+    starts = heads.groupBy(stream).agg(F.greatest(F.lit(FLOOR_MIN), F.percentile(F.col("z.x"), F.lit(INIT_QUANTILE))).alias("entry"))
+    cut, most = chunks.agg(F.max("chunk"), F.max(F.array_max("x"))).first()
+    if not cut:
+        entries = starts.withColumn("chunk", F.lit(0).cast("long"))
+    else:
+        # Composing takes time, not bytes: a task gets a bounded number of frames. A floor never lies over the highest level.
+        tasks = max(1, chunks.count() * min(per_chunk, FRAMES_PER_TASK) // FRAMES_PER_TASK)
+        maps = chunks.select(stream, "chunk", "x").repartition(tasks).select(stream, "chunk", chunk_map("x", max(most, FLOOR_MIN)).alias("m"))
+        entries = chunk_entries(checkpointed(maps), starts, stream, fan_in)
+    tracked = chunks.join(entries, [stream, "chunk"]).select(stream, "f", "id", "x", noise_floor("x", "entry").alias("t"))
+    each = F.explode(F.arrays_zip("f", "id", "x", F.col("t.floor").alias("floor"), F.col("t.triggered").alias("triggered")))
+    return tracked.select(stream, each.alias("z")).select(
+        stream, F.col("z.f").alias("frame"), F.col("z.id").alias(tie), F.col("z.x").alias(value),
         F.col("z.floor").alias("noise_floor"), F.col("z.triggered").alias("triggered"),
     )
 

@@ -120,15 +120,6 @@ def _(t):
     return entries(df, "vec_id", "embedding")
 
 
-@query("x2_band_energy")
-def _(t):
-    """Band energies of the vectors read as signals."""
-    df = M.embed(
-        t.embeddings.select("vec_id", F.col("embedding").alias("samples")), M.band_energy(dim=32, rate=48_000), 32
-    )
-    return entries(df, "vec_id", "embedding")
-
-
 @query(
     "x3_segment_udtf",
     f"SELECT vec_id, i AS seg_idx, i * 7 AS start, round(list_sum(v[i * 7 + 1:least(64, i * 7 + 20)]), 6) AS total FROM ({D}), range(8) r(i)",

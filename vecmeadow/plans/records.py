@@ -89,26 +89,6 @@ BANK_STORE = f"WITH {FIVE_SHOT}, r1 AS (SELECT label, rn, v FROM ranked WHERE la
 
 @query(
     "s10_prototype_store",
-    "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, CASE WHEN label >= 4 THEN least(n, 8) ELSE least(n, 5) END AS n_support, "
-    "CASE WHEN label < 6 THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN label >= 4 THEN '2024-02-01' ELSE '2024-01-01' END AS updated "
-    "FROM c WHERE label < 9 AND label <> 2",
-)
-def _(t):
-    """Save labels 0-5, upsert 4-8 with more support, delete 2; creation times survive."""
-    from vecmeadow.operators.bank import fit_bank
-    from vecmeadow.operators.ordered import first_rows
-
-    store = ST.BankStore(t.spark, scratch_table(t.spark, "bank"))
-    first = lambda n: first_rows(t.embeddings, ["label"], [F.col("vec_id")], n)
-    store.save(fit_bank(first(5).filter("label < 6")), F.lit("2024-01-01").cast("timestamp"))
-    store.save(fit_bank(first(8).filter("label >= 4 AND label < 9")), F.lit("2024-02-01").cast("timestamp"))
-    store.delete([2])
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return store.load().select("label", "n_support", day("created_at").alias("created"), day("updated_at").alias("updated"))
-
-
-@query(
-    "s10_whole_store",
     f"WITH {UNITS}, " + centroids("bank", "units") + """, b AS (SELECT label, count(*) AS rows, sum((vec_id % 2 = 0 AND label % 3 <> 1)::INT) AS early FROM embeddings GROUP BY label)
     SELECT label, n AS n_support, i, round(x, 6) AS x, CASE WHEN early > 0 THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN rows > early THEN '2024-02-01' ELSE '2024-01-01' END AS updated
     FROM (SELECT label, n, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM bank) JOIN b USING (label) WHERE label <> 2""",

@@ -37,21 +37,6 @@ def _(t):
     return df.select("event_id", "session", F.round(F.col("smoothed") + 1e-9, 6).alias("smoothed"))
 
 
-STREAK = STREAM + """,
-o AS (SELECT *, value >= 10 AS gate, value >= 10 AND value >= 60 AS sure, row_number() OVER w AS n, lag(event_type) OVER w AS pl,
-  lag(value >= 10) OVER w AS pg FROM stream WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
-b AS (SELECT *, CASE WHEN gate AND coalesce(pg AND pl = event_type, false) THEN NULL ELSE n END AS begins FROM o),
-c AS (SELECT *, max(begins) OVER w AS run_start, max(CASE WHEN sure THEN n END) OVER w AS set_at FROM b
-  WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
-streaks AS (SELECT event_id, user_id, gate, CASE WHEN NOT gate THEN 0 WHEN set_at >= run_start THEN n - set_at + 2 ELSE n - run_start + 1 END::BIGINT AS streak FROM c)"""
-
-
-@query("w5_streaks", f"WITH {STREAK} SELECT event_id, streak, gate AND streak >= 2 AS is_known FROM streaks")
-def _(t):
-    df = Q.streaks(stream(t), "user_id", "event_type", "us", "event_id", F.col("value") >= 10, F.col("value") >= 60)
-    return df.select("event_id", "streak", "is_known")
-
-
 DECISIONS = SMOOTHED + """,
 spread AS (SELECT e.event_id, e.user_id, e.us, l.event_type AS label,
   last_value(CASE WHEN e.event_type = l.event_type THEN e.smoothed END IGNORE NULLS) OVER (PARTITION BY e.user_id, e.session, l.event_type ORDER BY e.us, e.event_id ROWS UNBOUNDED PRECEDING) AS s
@@ -70,7 +55,7 @@ def six_places(df: DataFrame) -> DataFrame:
     return df.select(*[rounded.get(c, c) for c in ("event_id", "user_id", "best_label", "smoothed", "second", "streak", "is_known")])
 
 
-@query("w5_smoothed_decisions", f"WITH {DECISIONS}")
+@query("w5_streaks", f"WITH {DECISIONS}")
 def _(t):
     """The best smoothed label, its margin to the second and its streak."""
     return six_places(Q.decisions(stream(t), "user_id", "event_type", "us", "event_id", "value", 0.55, GAP, theta=10.0, sure=60.0, margin=2.0))
@@ -79,15 +64,21 @@ def _(t):
 FRAMED = STREAM + """,
 nr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS n FROM stream),
 framed AS (SELECT *, (n // 120)::BIGINT AS clip, (n % 120)::BIGINT AS frame FROM nr)"""
-FLOOR = FRAMED + """,
-first_level AS (SELECT user_id, clip, greatest(1e-4::DOUBLE, quantile_cont(value, 0.15)) AS f0 FROM framed WHERE frame < 40 GROUP BY ALL),
+FLOOR = STREAM + """,
+framed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS frame FROM stream),
+first_level AS (SELECT user_id, greatest(1e-4::DOUBLE, quantile_cont(value, 0.15)) AS f0 FROM framed WHERE frame < 40 GROUP BY ALL),
 walk AS (
-  SELECT user_id, clip, -1::BIGINT AS frame, f0 AS floor, false AS triggered FROM first_level
+  SELECT user_id, NULL::BIGINT AS event_id, -1::BIGINT AS frame, f0 AS floor, false AS triggered FROM first_level
   UNION ALL
-  SELECT w.user_id, w.clip, f.frame, greatest(1e-4::DOUBLE, CASE WHEN f.value > 3 * w.floor THEN w.floor
+  SELECT w.user_id, f.event_id, f.frame, greatest(1e-4::DOUBLE, CASE WHEN f.value > 3 * w.floor THEN w.floor
     WHEN f.value < w.floor THEN 0.95::DOUBLE * w.floor + 0.05::DOUBLE * f.value ELSE 0.99::DOUBLE * w.floor + 0.01::DOUBLE * f.value END), f.value > 3 * w.floor
-  FROM walk w JOIN framed f ON f.user_id = w.user_id AND f.clip = w.clip AND f.frame = w.frame + 1),
+  FROM walk w JOIN framed f ON f.user_id = w.user_id AND f.frame = w.frame + 1),
 tracked AS (SELECT * FROM walk WHERE frame >= 0)"""
+CHUNK = 50  # frames: the streams of the tables are short, and this cuts them all the same
+
+
+def floors(t: Tables, per_chunk: int = Q.CHUNK_FRAMES) -> DataFrame:
+    return Q.track_floor(stream(t), "user_id", "us", "event_id", "value", per_chunk)
 
 
 def framed(t: Tables) -> DataFrame:
@@ -99,23 +90,22 @@ def _(t):
     return Q.start_levels(framed(t), ["user_id", "clip"], "value").withColumn("start_level", F.round("start_level", 6))
 
 
-@query("w6_noise_floor", f"WITH RECURSIVE {FLOOR} SELECT user_id, clip, frame, round(floor + 1e-9, 6) AS noise_floor, triggered FROM tracked")
+@query("w6_noise_floor", f"WITH RECURSIVE {FLOOR} SELECT user_id, event_id, frame, round(floor + 1e-9, 6) AS noise_floor, triggered FROM tracked")
 def _(t):
-    df = Q.track_floor(framed(t), ["user_id", "clip"], "value")
-    return df.select("user_id", "clip", "frame", F.round(F.col("noise_floor") + 1e-9, 6).alias("noise_floor"), "triggered")
+    """The floor of every user's whole stream."""
+    return floors(t, CHUNK).select("user_id", "event_id", "frame", F.round(F.col("noise_floor") + 1e-9, 6).alias("noise_floor"), "triggered")
 
 
 @query(
     "w7_triggered_runs",
-    f"WITH RECURSIVE {FLOOR}, isl AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id, clip ORDER BY frame) AS i FROM tracked WHERE triggered), "
-    "r AS (SELECT user_id, clip, min(frame) AS a, max(frame) AS b, count(*) AS frames FROM isl GROUP BY user_id, clip, i), "
-    "e AS (SELECT user_id, clip, max(frame) AS last FROM tracked GROUP BY user_id, clip) "
-    'SELECT user_id, clip, a * 0.025::DOUBLE AS start, CASE WHEN b = last THEN last * 0.025::DOUBLE + 0.05::DOUBLE ELSE least(last * 0.025::DOUBLE + 0.05::DOUBLE, (b + 1) * 0.025::DOUBLE + 0.05::DOUBLE) END AS "end", frames '
-    "FROM r JOIN e USING (user_id, clip) WHERE frames >= 2",
+    f"WITH RECURSIVE {FLOOR}, isl AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS i FROM tracked WHERE triggered), "
+    "r AS (SELECT user_id, min(frame) AS a, max(frame) AS b, count(*) AS frames FROM isl GROUP BY user_id, i), "
+    "e AS (SELECT user_id, max(frame) AS last FROM tracked GROUP BY user_id) "
+    'SELECT user_id, a * 0.025::DOUBLE AS start, CASE WHEN b = last THEN last * 0.025::DOUBLE + 0.05::DOUBLE ELSE least(last * 0.025::DOUBLE + 0.05::DOUBLE, (b + 1) * 0.025::DOUBLE + 0.05::DOUBLE) END AS "end", frames '
+    "FROM r JOIN e USING (user_id) WHERE frames >= 2",
 )
 def _(t):
-    tracked = Q.track_floor(framed(t), ["user_id", "clip"], "value")
-    return Q.runs(tracked, ["user_id", "clip"], "triggered", 2, 0.025, 0.05)
+    return Q.runs(floors(t), ["user_id"], "triggered", 2, 0.025, 0.05)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vecmeadow.operators import bank as B
 from vecmeadow.plans.registry import Tables, query
-from vecmeadow.plans.series import CONTENT, DECISIONS, GAP, SMOOTHED, STREAK, STREAM, six_places
+from vecmeadow.plans.series import CONTENT, DECISIONS, FLOOR, GAP, STREAM, six_places
 from vecmeadow.plans.sql import RANKED, UNITS, centroids
 from vecmeadow.plans.vectors import MARGIN, THETA, components, five_shot
 from vecmeadow.session import scratch_table
@@ -118,19 +118,7 @@ def timed(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "t4_smooth_stream",
-    f"WITH {SMOOTHED}, {STREAK.removeprefix(STREAM + ',')} "
-    "SELECT e.event_id, e.user_id, round(e.smoothed + 1e-9, 6) AS smoothed, s.streak, s.gate AND s.streak >= 2 AS is_known FROM ema e JOIN streaks s USING (event_id)",
-)
-def _(t):
-    """State carried over three micro-batches equals the batch operators over everything."""
-    p = Parts(t, timed(t), "us")
-    out = state.smooth_stream(p.stream, "user_id", "event_type", "us", "event_id", "value", 0.55, GAP, theta=10.0, sure=60.0)
-    return collected(t, out, parts=p).withColumn("smoothed", F.round(F.col("smoothed") + 1e-9, 6))
-
-
-@query("t4_decision_stream", f"WITH {DECISIONS}")
+@query("t4_smooth_stream", f"WITH {DECISIONS}")
 def _(t):
     """The decision on smoothed scores over three micro-batches equals the batch form over everything."""
     p = Parts(t, timed(t), "us")
@@ -138,39 +126,13 @@ def _(t):
     return six_places(collected(t, out, parts=p))
 
 
-WHOLE_FLOOR = STREAM + """,
-parted AS (SELECT *, us > (SELECT (min(us) + max(us)) // 2 FROM stream) AS late FROM stream),
-framed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS frame, min(late) OVER (PARTITION BY user_id) AS begins FROM parted),
-first_level AS (SELECT user_id, greatest(1e-4::DOUBLE, quantile_cont(value, 0.15)) AS f0 FROM framed WHERE frame < 40 AND late = begins GROUP BY ALL),
-walk AS (SELECT user_id, NULL::BIGINT AS event_id, -1::BIGINT AS frame, f0 AS floor, false AS triggered FROM first_level
-  UNION ALL SELECT w.user_id, f.event_id, f.frame, greatest(1e-4::DOUBLE, CASE WHEN f.value > 3 * w.floor THEN w.floor
-    WHEN f.value < w.floor THEN 0.95::DOUBLE * w.floor + 0.05::DOUBLE * f.value ELSE 0.99::DOUBLE * w.floor + 0.01::DOUBLE * f.value END), f.value > 3 * w.floor
-  FROM walk w JOIN framed f ON f.user_id = w.user_id AND f.frame = w.frame + 1)"""
-
-
-@query("t5_floor_stream", f"WITH RECURSIVE {WHOLE_FLOOR} SELECT user_id, event_id, round(floor + 1e-9, 6) AS noise_floor, triggered FROM walk WHERE frame >= 0")
-def _(t):
-    """Two micro-batches, before and after the middle of the time: a user's first one gives the start level."""
-    df = timed(t)
-    low, high = df.agg(F.min("us"), F.max("us")).first()
-    p = Parts(t, df, "us", cuts=[(low + high) // 2])
-    out = state.floor_stream(p.stream, "user_id", "us", "event_id", "value")
-    return collected(t, out, parts=p).withColumn("noise_floor", F.round(F.col("noise_floor") + 1e-9, 6))
-
-
-FIRST_FORTY = STREAM + """,
-framed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS frame FROM stream),
-first_level AS (SELECT user_id, greatest(1e-4::DOUBLE, quantile_cont(value, 0.15)) AS f0 FROM framed WHERE frame < 40 GROUP BY ALL),
-walk AS (""" + WHOLE_FLOOR.split("walk AS (")[1]
-
-
-@query("t5_held_floor_stream", f"WITH RECURSIVE {FIRST_FORTY} SELECT user_id, event_id, round(floor + 1e-9, 6) AS noise_floor, triggered FROM walk WHERE frame >= 0")
+@query("t5_floor_stream", f"WITH RECURSIVE {FLOOR} SELECT user_id, event_id, round(floor + 1e-9, 6) AS noise_floor, triggered FROM tracked")
 def _(t):
     """Six micro-batches; a user's frames wait until there are forty (all users of the table have more)."""
     p = Parts(t, timed(t), "us", parts=6)
     s = W.event_time(p.stream.withColumn("ts", F.timestamp_micros("us")), "ts", "1 hour")
     # A stream counts as ended only after more time than the table spans.
-    out = state.held_floor_stream(s, "user_id", "ts", "event_id", "value", idle=90 * 24 * 3_600_000)
+    out = state.floor_stream(s, "user_id", "ts", "event_id", "value", idle=90 * 24 * 3_600_000)
     return collected(t, out, parts=p).withColumn("noise_floor", F.round(F.col("noise_floor") + 1e-9, 6))
 
 

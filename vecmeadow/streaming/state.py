@@ -21,51 +21,6 @@ def _in_order(parts: Iterator[pd.DataFrame], time: str, tie: str) -> pd.DataFram
     return pd.concat(list(parts)).sort_values([time, tie], kind="stable")
 
 
-def smooth_stream(
-    stream: DataFrame, key: str, label: str, time: str, tie: str, value: str, alpha: float = 0.55,
-    gap: int = 3_500_000, theta: float = 0.0, sure: float = 0.45, needed: int = 2,
-) -> DataFrame:
-    """Gap-reset smoothing per (stream, label) and the streak decision, row by row in event order.
-
-    ``time`` is numeric. Emits ``key, tie, smoothed, streak, is_known``. A pause longer than
-    ``gap`` clears the smoothed scores but not the streak.
-    """
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out = f"{key} {types[key]}, {tie} {types[tie]}, smoothed double, streak long, is_known boolean"
-    held = "last long, labels array<string>, scores array<double>, streak_label string, streak long"
-
-    def fold(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(parts, time, tie)
-        if state.exists:
-            last, labels, scores, streak_label, streak = state.get
-            smoothed = dict(zip(labels, scores))
-        else:
-            last, smoothed, streak_label, streak = None, {}, None, 0
-        results = []
-        for at, name, x in zip(rows[time].tolist(), rows[label].tolist(), rows[value].tolist()):
-            if last is not None and at - last > gap:
-                smoothed.clear()
-            last = at
-            before = smoothed.get(name)
-            smoothed[name] = x if before is None else alpha * x + (1.0 - alpha) * before
-            if x < theta:
-                streak_label, streak = None, 0
-            elif x >= sure:
-                streak_label, streak = name, needed
-            elif streak_label == name:
-                streak += 1
-            else:
-                streak_label, streak = name, 1
-            results.append((smoothed[name], streak, streak >= needed))
-        state.update((last, list(smoothed), list(smoothed.values()), streak_label, streak))
-        done = pd.DataFrame(results, columns=["smoothed", "streak", "is_known"])
-        yield pd.concat([rows[[key, tie]].reset_index(drop=True), done], axis=1)
-
-    return stream.select(key, label, time, tie, value).groupBy(key).applyInPandasWithState(
-        fold, out, held, "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def decision_stream(
     stream: DataFrame, key: str, label: str, time: str, tie: str, value: str, alpha: float = 0.55,
     gap: int = 3_500_000, theta: float = 0.0, sure: float = 0.45, needed: int = 2, margin: float = 0.0,
@@ -74,7 +29,7 @@ def decision_stream(
 
     A row updates its label's smoothed score. Then the best smoothed label of the stream is gated by ``theta`` and by
     ``margin`` to the second (0 if there is none), and the streak is the best label's. A pause longer than ``gap`` clears
-    the scores but not the streak. Equal scores go to the smaller label. Emits ``key, tie, best_label, smoothed, second, streak, is_known``.
+    the scores but not the streak. Equal scores go to the smaller label; a null label updates none. Emits ``key, tie, best_label, smoothed, second, streak, is_known``.
     """
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     out = f"{key} {types[key]}, {tie} {types[tie]}, best_label {types[label]}, smoothed double, second double, streak long, is_known boolean"
@@ -89,8 +44,13 @@ def decision_stream(
             if last is not None and at - last > gap:
                 smoothed.clear()
             last = at
-            before = smoothed.get(name)
-            smoothed[name] = x if before is None else alpha * x + (1.0 - alpha) * before
+            if name is not None:
+                before = smoothed.get(name)
+                smoothed[name] = x if before is None else alpha * x + (1.0 - alpha) * before
+            if not smoothed:
+                streak_label, streak = None, 0
+                results.append((None, None, 0.0, 0, False))
+                continue
             best = min(smoothed, key=lambda n: (-smoothed[n], n))
             score, second = smoothed[best], max((v for n, v in smoothed.items() if n != best), default=0.0)
             if score < theta or score - second < margin:
@@ -111,33 +71,8 @@ def decision_stream(
     )
 
 
-def floor_stream(stream: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
-    """Adaptive noise floor carried across micro-batches: ``key, tie, noise_floor, triggered``, one row per frame.
-
-    The start level comes from the frames (at most 40) of a stream's first micro-batch, however few they are.
-    """
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out = f"{key} {types[key]}, {tie} {types[tie]}, noise_floor double, triggered boolean"
-
-    def fold(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(parts, time, tie)
-        levels = rows[value].to_numpy(dtype=np.float64)
-        floor = state.get[0] if state.exists else float(initial_floor(levels[None, :], np.array([len(levels)]))[0])
-        floors, flags = [], []
-        for level in levels.tolist():
-            floor, triggered = step_one(floor, level)
-            floors.append(floor)
-            flags.append(triggered)
-        state.update((floor,))
-        yield pd.DataFrame({key: group[0], tie: rows[tie].to_numpy(), "noise_floor": floors, "triggered": flags})
-
-    return stream.select(key, time, tie, value).groupBy(key).applyInPandasWithState(
-        fold, out, "floor double", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def held_floor_stream(stream: DataFrame, key: str, event_time: str, tie: str, value: str, idle: int = 3_600_000) -> DataFrame:
-    """``floor_stream`` with the start level of the batch operators, whatever the micro-batches: ``key, tie, noise_floor, triggered``.
+def floor_stream(stream: DataFrame, key: str, event_time: str, tie: str, value: str, idle: int = 3_600_000) -> DataFrame:
+    """Adaptive noise floor with the start level of the batch operators, whatever the micro-batches: ``key, tie, noise_floor, triggered``.
 
     ``event_time`` is a timestamp with a watermark. A stream's frames are held until there are ``INIT_FRAMES``, or until the watermark
     is ``idle`` milliseconds past its last one, which ends a shorter stream; then all held rows are emitted. Later frames go on from there.
