@@ -14,6 +14,7 @@ import pyarrow as pa
 
 BLOCK_BYTES = 8 * 1024 * 1024
 MEMO_BYTES = 64 * 1024 * 1024
+MEMO_ENTRIES = 600_000  # of memos of short entries
 ENTRY_BYTES = 200  # of an entry besides its text and ids
 KEPT = 2  # objects of a worker process; the one used last but that many goes
 JOINED = 400
