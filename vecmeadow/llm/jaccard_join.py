@@ -14,14 +14,14 @@ k = 2U(1-s)/(1+s) elements. The elements are dealt by hash into partitions:
 
 The last bits of a signature hold its m (1 for pairs of partitions).
 
-Sets with equal digests are one node, found by map-side partial minima. Nodes
-that share a signature are weighed by how many they share. A signature's center
+Sets with equal digests are one node, found by map-side partial minima; the node
+is the smallest id, and rows of the others' signatures are moved to it. Nodes that share a signature are weighed by how many they share. A signature's center
 is its weightiest node, a node's home the weightiest center it meets, and each
 node is first compared with its home. Where that leaves a signature with nodes in
 different components, its nodes are compared with each other in clusters: nodes
 of one home are a cluster, and so are those of one center's signatures that span
 homes. A cluster
-is compared in tiles of ``2 * TILE`` texts: a matrix product counts the common
+is compared in tiles of two blocks of about ``TILE`` texts and ``TILE_BYTES`` each, which travel compressed: a matrix product counts the common
 shingles of all pairs of a tile at once, and the tile returns a spanning forest
 of its links, not pairs. Comparisons are of whole texts.
 
@@ -32,7 +32,8 @@ with several texts; it links when any of them does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from vecmeadow.llm import worker
 from vecmeadow.llm.components import connected_components, forest
 from vecmeadow.llm.shingles import Sets, common, digests, in_blocks, mix, shingle_sets
-from vecmeadow.session import scratch_table
+from vecmeadow.session import scratch_table, small_side
 
 WORDS = 5
 PERCENT = 80
@@ -53,8 +54,8 @@ WEAK = 2
 STEP = 1.3
 BLOCK = 1024 * 1024
 NEED_MASK = 15
-ROUNDS = 3
-TILE = 256
+TILE = 512
+TILE_BYTES = 4 * 1024 * 1024
 COLUMNS = 8_192
 
 
@@ -133,6 +134,21 @@ def _texts(column) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+class Unpacked(Sequence):
+    """Texts that are unpacked when they are asked for."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return [zlib.decompress(b).decode("utf-8", "surrogatepass") for b in self.packed[at]]
+        return zlib.decompress(self.packed[at]).decode("utf-8", "surrogatepass")
+
+
 def shingle_classes(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2) per row."""
 
@@ -182,7 +198,21 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def tile_links(texts: list[str], words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """Rows (node, text) with the text's ``size`` in bytes and its compressed form ``packed``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in worker.blocks(batches, limit=BLOCK):
+            raw = [t.encode("utf-8", "surrogatepass") for t in _texts(block.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [*block.columns, pa.array([len(b) for b in raw], pa.int64()), pa.array([zlib.compress(b, 1) for b in raw], pa.binary())],
+                ["node", "text", "size", "packed"],
+            )
+
+    return texts.select("node", "text").mapInArrow(pack, "node long, text string, size long, packed binary")
+
+
+def tile_links(texts: Sequence[str], words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of positions whose texts reach the similarity."""
     sets = in_blocks(texts, words, BLOCK)
     _, column, count = np.unique(sets.hashes, return_inverse=True, return_counts=True)
@@ -201,7 +231,11 @@ def tile_links(texts: list[str], words: int, percent: int) -> tuple[np.ndarray,
 
 def links_in_clusters(clusters: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) that join the similar nodes of each cluster, from rows (node, cluster)."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    held = clusters.join(texts.groupBy("node").agg(F.sum("size").alias("size")), "node").groupBy("cluster").agg(
+        F.count("*").alias("n"), F.sum("size").alias("size")
+    )
+    blocks = F.ceil(F.greatest(F.col("n") / TILE, F.col("size") / TILE_BYTES)).cast("int")
+    sizes = held.where("n > 1").select("cluster", F.greatest(blocks, F.lit(1)).alias("blocks"))
     placed = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A node's block meets every block of its cluster once.
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -210,13 +244,13 @@ def links_in_clusters(clusters: DataFrame, texts: DataFrame, words: int, percent
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
-        a, b = tile_links(rows["text"].fillna("").tolist(), words, percent)
+        a, b = tile_links(Unpacked(rows["packed"].tolist()), words, percent)
         root = forest(a, b, len(rows))
         ids = rows["node"].to_numpy()
         moved = root != np.arange(len(rows))
         return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
-    return met.join(texts, "node").groupBy("cluster", "low", "high").applyInPandas(tile, "a long, b long")
+    return met.join(texts.select("node", "packed"), "node").groupBy("cluster", "low", "high").applyInPandas(tile, "a long, b long")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -235,51 +269,51 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
     members = _stored(rows.join(classes, ["h1", "h2"]).select("doc_id", "class").where("doc_id is not null").distinct(), "set-classes")
 
-    by_signature = Window.partitionBy("signature")
+    by_signature, by_node = Window.partitionBy("signature"), Window.partitionBy("node")
+    low, high = F.min("node").over(by_signature), F.max("node").over(by_signature)
     shared = _stored(
-        signature_rows(docs, words, percent)
-        .select("signature", "node", F.min("node").over(by_signature).alias("low"), F.max("node").over(by_signature).alias("high"))
+        signature_rows(docs, words, percent).select("signature", "node", low.alias("low"), high.alias("high"))
         .where("low < high").select("signature", "node"),
         "signatures",
     )
-    # Nodes with too few shared signatures go, and then signatures with one node left. More rounds only save work.
-    need = F.col("signature").bitwiseAND(NEED_MASK)
-    for _ in range(ROUNDS):
-        enough = F.count("*").over(Window.partitionBy("node", "need"))
-        shared = shared.withColumn("need", need).withColumn("n", enough).where("n >= need").select("signature", "node")
-        shared = shared.select(
-            "signature", "node", F.min("node").over(by_signature).alias("low"), F.max("node").over(by_signature).alias("high")
-        ).where("low < high").select("signature", "node")
-    shared = _stored(shared, "shared-signatures")
-    weights = shared.groupBy("node").agg(F.count("*").alias("weight"))
-    texts = _stored(
-        docs.join(weights.select("node").hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
-        .select(F.col("doc_id").alias("node"), "text"),
-        "candidate-texts",
+    # A copy stands for its class, so that signatures which only copies share go. An id with several sets stands for itself.
+    standing = small_side(
+        members.groupBy("doc_id").agg(F.min("class").alias("class"), F.count("*").alias("sets")).where("sets = 1 and class <> doc_id")
+        .select(F.col("doc_id").alias("node"), "class")
+    )
+    shared = (
+        shared.join(standing, "node", "left").select("signature", F.coalesce("class", "node").alias("node"))
+        .repartition("signature").dropDuplicates(["signature", "node"])
+        .select("signature", "node", low.alias("low"), high.alias("high")).where("low < high").drop("low", "high")
+    )
+    # Nodes with too few shared signatures go, and then signatures with one node left.
+    enough = F.count("*").over(Window.partitionBy("node", "need"))
+    shared = (
+        shared.withColumn("weight", F.count("*").over(by_node)).withColumn("need", F.col("signature").bitwiseAND(NEED_MASK))
+        .withColumn("n", enough).where("n >= need").select("signature", "node", "weight")
     )
     best = F.max(F.struct("weight", (-F.col("node")).alias("back"))).over(by_signature)
     centered = _stored(
-        shared.join(weights, "node").select("signature", "node", (-best["back"]).alias("center"), best["weight"].alias("heft")), "centers"
+        shared.select("signature", "node", low.alias("low"), high.alias("high"), best.alias("best")).where("low < high")
+        .select("signature", "node", (-F.col("best.back")).alias("center"), F.col("best.weight").alias("heft")),
+        "centers",
     )
+    candidates = docs.join(small_side(centered.select("node").distinct()), F.col("doc_id") == F.col("node"), "left_semi")
+    texts = _stored(packed_texts(candidates.select(F.col("doc_id").alias("node"), "text")), "candidate-texts")
     homes = _stored(
         centered.groupBy("node").agg((-F.max(F.struct("heft", (-F.col("center")).alias("back")))["back"]).alias("home")), "homes"
     )
-    of = lambda side: members.select(F.col("doc_id").alias(side), F.col("class").alias(f"class_{side}"))
-    pairs = (
-        homes.where("node <> home").select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct()
-        .join(of("a"), "a").join(of("b"), "b").where("class_a <> class_b")
-        .groupBy("class_a", "class_b").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")
-    )
+    pairs = homes.where("node <> home").select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct()
     copies = members.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     links = _stored(similar(pairs, texts, words, percent).unionByName(copies), "similar")
     found = _stored(connected_components(links), "components")
     # Signatures whose nodes are in more than one component.
-    low, high = F.min("component").over(by_signature), F.max("component").over(by_signature)
+    least, most = F.min("component").over(by_signature), F.max("component").over(by_signature)
     mixed = _stored(
         centered.join(found, "node", "left")
         .select("signature", "node", "center", F.coalesce("component", "node").alias("component"))
-        .select("signature", "node", "center", low.alias("low"), high.alias("high"))
-        .where("low < high").drop("low", "high").join(homes, "node"),
+        .select("signature", "node", "center", least.alias("least"), most.alias("most"))
+        .where("least < most").drop("least", "most").join(homes, "node"),
         "mixed-signatures",
     )
     if not mixed.isEmpty():

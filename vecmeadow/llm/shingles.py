@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,13 +88,13 @@ def shingle_sets(texts: list[str], words: int) -> Sets:
     return Sets(owner, h, np.bincount(owner, minlength=len(texts)))
 
 
-def in_blocks(texts: list[str], words: int, limit: int) -> Sets:
+def in_blocks(texts: Sequence[str], words: int, limit: int) -> Sets:
     """``shingle_sets`` of many texts, made in blocks of about ``limit`` characters so that working memory stays small."""
     parts, start, held = [], 0, 0
     for i, text in enumerate(texts):
         held += len(text)
         if held >= limit or i == len(texts) - 1:
-            found = shingle_sets(texts[start : i + 1], words)
+            found = shingle_sets(texts[start : i + 1], words)  # a slice is a list, also of texts that are unpacked on demand
             parts.append(Sets(found.doc + start, found.hashes, found.sizes))
             start, held = i + 1, 0
     if not parts:
