@@ -150,6 +150,18 @@ def test_models_on_odd_rows(spark, module, odd_docs, odd_rows, no_docs):
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def test_templates_of_any_depth(spark):
+    """Variable segments merge at every depth, a lone deep url ends early, and other columns do not matter."""
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    urls = [f"http://h.com/a/b/c/d/e/f/g/h/i/{word(i)}" for i in range(300)] + ["http://k.com/" + "z/" * 3000]
+    df = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(urls)], "page_id long, url string, host string, template string, shape string")
+    rows = url_filter.judge_urls(df, RULES).collect()
+    assert len(rows) == len(urls)
+    of = {r.page_id: r.template for r in rows}
+    assert {of[i] for i in range(300)} == {"/a/b/c/d/e/f/g/h/i/*"}
+    assert of[300] == "/*" * 3000
+
+
 def plain_rule(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([i for c in "/?#" if (i := rest.find(c)) >= 0], default=len(rest))

@@ -151,3 +151,13 @@ def test_odd_vectors(spark):
     assert (of[None].n_links, of[None].component_id, of[None].kept) == (0, None, False)
     for nothing in (df.where("false"), df.where("vec_id in (3, 4)")):
         assert pq_dedup.linked_vectors(nothing).count() == nothing.count()
+
+
+def test_each_length_has_an_index(spark):
+    rows = [(i, [float(i % 5 + 1), 1.0, 0.5, float(i % 7)]) for i in range(30)] + [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 3.1]), (102, [2.0]), (103, [7.0])]
+    found = {r.vec_id: r for r in pq_dedup.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(found) == len(rows)
+    for low, high in ((100, 101), (102, 103)):
+        assert (found[low].n_links, found[low].component_id, found[low].kept) == (1, low, True)
+        assert (found[high].n_links, found[high].component_id, found[high].kept) == (1, low, False)
+    assert all(found[i].component_id < 30 for i in range(30))

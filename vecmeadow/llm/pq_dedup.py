@@ -17,9 +17,9 @@ block returns counts and a spanning forest of its links, not pairs. Equal
 vectors are one node with a multiplicity.
 
 The index is fitted on at most ``SAMPLE`` vectors, the first by a hash of their
-ids; all rows are indexed and all are queries. Vectors that are null, zero, or
-hold null or non-finite components, or whose length is not the most common one,
-link with nothing; so do rows with a null id, whose component is null. Rows that
+ids; all rows are indexed and all are queries. Vectors of different lengths have
+no cosine, so each length that occurs has an index of its own. Vectors that are null, zero, or
+hold null or non-finite components link with nothing; so do rows with a null id, whose component is null. Rows that
 repeat an id are one node with several vectors.
 """
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -178,23 +179,17 @@ def _links(index: Index, cell: int, listed: pd.DataFrame, asking: pd.DataFrame,
         yield a[linked] + start, b[linked]
 
 
-def linked_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
-    """Rows (id, n_links, component_id, kept), one per row of ``vectors``."""
-    spark = vectors.sparkSession
-    stored = lambda df, name: (df.write.parquet(path := scratch_table(spark, name)), spark.read.parquet(path))[1]
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    fits = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fits)
-    size = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if size is None:
-        return rows.select(
-            F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")
-        )
-    dim, total = size
-    good = good.where(F.size("v") == dim)
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _linked_nodes(good: DataFrame, dim: int, total: int, similarity: float, sample: int) -> DataFrame:
+    """Rows (v, node, n_links, component) of the distinct vectors among ``good`` (id, v), all of one length."""
     drawn = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column(0).combine_chunks()
     index = fit_index(drawn.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64), total, similarity)
-    nodes = stored(good.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "vector-nodes")
+    nodes = _stored(good.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "vector-nodes")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +198,7 @@ def linked_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: s
                 x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
                 yield _entries(index, part.column(1).to_numpy(), part.column(2).to_numpy(), x)
 
-    entries = stored(nodes.select("v", "node", "n").mapInArrow(enter, ENTRIES), "vector-entries")
+    entries = _stored(nodes.select("v", "node", "n").mapInArrow(enter, ENTRIES), "vector-entries")
     sizes = entries.groupBy("cell").agg(
         F.ceil(F.count_if(~F.col("query")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("turns")
     ).where("blocks > 0")
@@ -235,14 +230,31 @@ def linked_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: s
         return pd.DataFrame({"node": ids[hit], "links": links[hit].astype(np.int64), "peer": peers[hit]})
 
     columns = ["cell", "block", "turn", "asks", "query", "node", "n", "vec", "codes", "missed"]
-    found = stored(met.select(*columns).groupBy("cell", "block", "turn").applyInPandas(meet, "node long, links long, peer long"), "vector-links")
+    found = _stored(met.select(*columns).groupBy("cell", "block", "turn").applyInPandas(meet, "node long, links long, peer long"), "vector-links")
     components = connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_node = nodes.join(counts, "node", "left").join(components, "node", "left").select(
         "v", "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
     )
-    linked = stored(per_node, "vector-results")
-    usable = F.when(F.col("id").isNotNull() & fits & (F.size("v") == dim), F.col("v"))
+    return _stored(per_node, "vector-results")
+
+
+def linked_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+    """Rows (id, n_links, component_id, kept), one per row of ``vectors``."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    fits = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
+    good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fits)
+    # One row per length, not per vector.
+    lengths = good.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()
+    if not lengths:
+        return rows.select(
+            F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")
+        )
+    linked = reduce(
+        DataFrame.unionByName,
+        [_linked_nodes(good.where(F.size("v") == dim), dim, total, similarity, sample) for dim, total in lengths],
+    )
+    usable = F.when(F.col("id").isNotNull() & fits, F.col("v"))
     result = rows.select("id", usable.alias("v")).join(linked, "v", "left")
     component = F.coalesce("component", "id")
     return result.select(

@@ -5,7 +5,8 @@ After that the tree is built level by level. Below each node, a branch with few
 urls is variable; a branch whose tails (the shapes of the rest of the path) and
 whose labels do not differ from the whole node's by a chi-square and a
 two-proportion test is merged into the wildcard branch; the others, and the only
-branch of a node, stay literal.
+branch of a node, stay literal. There are as many levels as nodes of enough urls
+are deep; below a node of too few, every segment is variable.
 The finished template of a url is rejected when its labelled purity, smoothed
 towards its host's and that towards the whole table's, reaches a threshold.
 Urls that a rule judges are the labelled ones.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from vecmeadow.session import scratch_table, small_side
 
-LEVELS = 8  # deeper segments are generalised by their look alone
 MIN_SUPPORT = 10
 SMOOTHING = 5.0
 REJECT_AT = 0.8
@@ -93,7 +93,6 @@ def judge_urls(
     rules: Sequence[tuple[str, str]],
     id_col: str = "page_id",
     url_col: str = "url",
-    levels: int = LEVELS,
     smoothing: float = SMOOTHING,
     reject_at: float = REJECT_AT,
 ) -> DataFrame:
@@ -114,26 +113,35 @@ def judge_urls(
         F.count("*").alias("n"), F.count_if(labelled).alias("nl"), F.count_if(F.col("hit.verdict") == "block").alias("nb")
     ).write.parquet(groups_path)
     groups = spark.read.parquet(groups_path)
-    deepest, n_all, l_all, b_all = groups.agg(
-        F.max(F.when(F.col("shape") == "", 0).otherwise(F.size(F.split("shape", SEP)))), F.sum("n"), F.sum("nl"), F.sum("nb")
-    ).first()
+    l_all, b_all = groups.agg(F.sum("nl"), F.sum("nb")).first()
     tree = groups.select(
         "host", "shape", "n", "nl", "nb", F.lit("").alias("prefix"),
         F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", SEP)).alias("rest"),
     )
-    for _ in range(min(levels, deepest or 0)):
-        here = tree.withColumn("seg", F.get("rest", F.lit(0))).withColumn("tail", F.array_join(F.slice("rest", 2, 1 << 20), SEP))
-        literal = _branches(here.where(F.col("seg").isNotNull())).withColumn("literal", F.lit(True))
-        step = here.join(literal, ["host", "prefix", "seg"], "left").select(
+    # A row is finished at its last segment, or in a node too small to have a literal branch: then all that follows is variable.
+    templates_path = path_of("templates")
+    going_on = (F.size("rest") > 0) & (F.col("node_n") >= MIN_SUPPORT)
+    while True:
+        sums = tree.groupBy("host", "prefix").agg(F.sum("n").alias("node_n"))
+        node_path = path_of("nodes")
+        tree.join(sums, ["host", "prefix"]).withColumn("open", going_on).write.parquet(node_path)
+        split = spark.read.parquet(node_path)
+        split.where("not open").select(
+            "host", "shape", "n", "nl", "nb", F.concat("prefix", F.repeat(F.lit("/*"), F.size("rest"))).alias("template")
+        ).write.mode("append").parquet(templates_path)
+        here = split.where("open").withColumn("seg", F.get("rest", F.lit(0))).withColumn("tail", F.array_join(F.slice("rest", 2, 1 << 20), SEP))
+        if here.isEmpty():
+            break
+        literal = _branches(here).withColumn("literal", F.lit(True))
+        tree = here.join(literal, ["host", "prefix", "seg"], "left").select(
             "host", "shape", "n", "nl", "nb",
-            F.when(F.col("seg").isNull(), F.col("prefix"))
-            .otherwise(F.concat("prefix", F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise("*"))).alias("prefix"),
+            F.concat("prefix", F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise("*")).alias("prefix"),
             F.slice("rest", 2, 1 << 20).alias("rest"),
         )
         level_path = path_of("level")
-        step.write.parquet(level_path)
+        tree.write.parquet(level_path)
         tree = spark.read.parquet(level_path)
-    templates = tree.withColumn("template", F.concat("prefix", F.array_join(F.transform("rest", lambda s: F.concat(F.lit("/"), s)), "")))
+    templates = spark.read.parquet(templates_path)
     overall = (b_all or 0) / l_all if l_all else 0.0
     smooth = lambda nb, nl, prior: (nb + smoothing * prior) / (nl + smoothing)
     hosts = templates.groupBy("host").agg(smooth(F.sum("nb"), F.sum("nl"), F.lit(overall)).alias("prior"))
