@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecmeadow.functions import vectors as V
-from vecmeadow.functions.arrow import matrix_of, unit_rows
+from vecmeadow.functions.arrow import list_column, matrix_of
+from vecmeadow.operators.balls import Cover
 from vecmeadow.operators.bank import fit_bank
 from vecmeadow.operators.ordered import ROWS_PER_TASK, arrange, numbered, ranked_globally, total
 from vecmeadow.operators.scoring import decide, score
-from vecmeadow.operators.tiles import ROWS_PER_BLOCK, self_tiles
+from vecmeadow.operators.tiles import ROWS_PER_BLOCK
+from vecmeadow.session import checkpointed
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -194,35 +196,78 @@ def separability(df: DataFrame, label: str = "label", vector: str = "embedding")
     )
 
 
+def _gram_square(nodes: DataFrame, width: int) -> float:
+    """Squares of all entries of the weighted matrix of inner products of columns, summed: row ``i`` of it is one group."""
+
+    def part(batches):
+        gram = np.zeros((width, width))
+        for batch in batches:
+            v = matrix_of(batch.column(0), width)
+            gram += (v * batch.column(1).to_numpy()[:, None]).T @ v
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), list_column(gram)], names=["i", "entries"])
+
+    rows = nodes.select("v", "weight").mapInArrow(part, "i int, entries array<double>")
+    rows = rows.groupBy("i").agg(V.vector_sum(F.col("entries")).alias("entries"))
+    return rows.agg(F.sum(V.dot(F.col("entries"), F.col("entries")))).first()[0]
+
+
+def _extreme_cosines(nodes: DataFrame, rows_per_block: int) -> tuple[float | None, float | None]:
+    """Least and greatest cosine between different nodes: the pivots' own bound both, then only balls that can do better are met."""
+    cover = Cover(nodes.select("node", "v"), "node", rows_per_block)
+    if cover.count < 2:
+        return None, None
+    pivots, ids = cover.pivots, cover.pivot_ids
+
+    def probe(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                found = matrix_of(some.column(1)) @ pivots.T
+                found = found[some.column(0).to_numpy()[:, None] != ids[None, :]]
+                if found.size:
+                    yield pa.RecordBatch.from_pydict({"lo": [found.min()], "hi": [found.max()]})
+
+    def greatest(sign: float):
+        def best(one, two, same):
+            left, right = matrix_of(one.column("v")), matrix_of(two.column("v"))
+            for at in range(0, len(left), 1024):
+                found = sign * (left[at : at + 1024] @ right.T)
+                if same:
+                    found = found[np.arange(at, at + len(found))[:, None] < np.arange(len(right))[None, :]]
+                if found.size:
+                    yield pa.table({"best": [found.max()]})
+
+        return best
+
+    schema = T.StructType([T.StructField("best", T.DoubleType())])
+    low, high = cover.rows.select("node", "v").mapInArrow(probe, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first()
+    near, far = cover.reach(high), cover.reach(-low, opposite=True)
+    higher = cover.tiles(cover.rows, near, cover.parts(near), greatest(1.0), schema).agg(F.max("best")).first()[0]
+    lower = cover.tiles(cover.rows, far, cover.parts(far), greatest(-1.0), schema).agg(F.max("best")).first()[0]
+    return min(low, low if lower is None else -lower), max(high, high if higher is None else higher)
+
+
 def pair_statistics(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Minimum, maximum, mean and population deviation of the cosine over all unordered pairs.
 
-    Every tile of two blocks returns one row of partial statistics.
+    Mean and deviation come from the sum of the unit vectors and their D x D matrix of inner products, with no
+    pair formed; only the extremes are searched. Fewer than two rows give 0 pairs and nulls.
     """
-    schema = T.StructType(
-        [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("s", "ss", "lo", "hi")]
-    )
-
-    def measure(a, b, same):
-        width = len(a.column(vector)[0])
-        left, right = (unit_rows(matrix_of(t.column(vector), width)) for t in (a, b))
-        for at in range(0, len(left), 1024):
-            found = left[at : at + 1024] @ right.T
-            if same:
-                found = found[np.arange(at, at + len(found))[:, None] < np.arange(len(right))[None, :]]
-            if found.size:
-                row = (found.size, found.sum(), (found * found).sum(), found.min(), found.max())
-                yield pa.table({name: [value] for name, value in zip(("n", "s", "ss", "lo", "hi"), row)})
-
-    parts = self_tiles(df.select(id_col, vector), id_col, measure, schema, rows_per_block)
-    mean = F.sum("s") / F.sum("n")
-    return parts.agg(
-        F.sum("n").alias("pairs"),
-        F.round(F.min("lo"), 6).alias("min_cosine"),
-        F.round(F.max("hi"), 6).alias("max_cosine"),
-        F.round(mean, 6).alias("mean_cosine"),
-        F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum("ss") / F.sum("n") - mean * mean)), 6).alias("std_cosine"),
-    )
+    grouped = df.groupBy(vector).agg(F.min(id_col).alias("node"), F.count(F.lit(1)).alias("weight"))
+    nodes = checkpointed(grouped.select("node", "weight", V.l2(F.col(vector)).alias("v")))
+    weighted = F.transform("v", lambda x: x * F.col("weight"))
+    rows, most, width = nodes.agg(F.sum("weight"), F.max("weight"), F.max(F.size("v"))).first()
+    values = [None] * 4
+    pairs = (rows or 0) * ((rows or 0) - 1) // 2
+    if pairs:
+        low, high = _extreme_cosines(nodes, rows_per_block)
+        whole = nodes.agg(V.norm(V.vector_sum(weighted))).first()[0]
+        mean = (whole * whole - rows) / (2 * pairs)
+        square = (_gram_square(nodes, width) - rows) / (2 * pairs)
+        values = [1.0 if low is None else low, 1.0 if most > 1 else high, mean, max(0.0, square - mean * mean) ** 0.5]
+    names = ("min_cosine", "max_cosine", "mean_cosine", "std_cosine")
+    shown = [F.round(F.lit(x).cast("double"), 6).alias(name) for x, name in zip(values, names)]
+    return df.sparkSession.range(1).select(F.lit(pairs).cast("long").alias("pairs"), *shown)
 
 
 def shuffled_number(salt: Column, id_col: str) -> Column:

@@ -1,7 +1,7 @@
 """Novel groups among rejected vectors: similar pairs, exact leader clustering, promotion.
 
 Equal vectors are merged into one weighted node first, so a vector copied a
-million times costs as much as one. Similarity work runs in bounded tiles.
+million times costs as much as one. Similarity work runs between balls that the threshold lets meet.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import types as T
 from vecmeadow.functions import vectors as V
 from vecmeadow.functions.arrow import matrix_of
 from vecmeadow.operators import bank as B
+from vecmeadow.operators.balls import Cover
 from vecmeadow.operators.ordered import first_rows, ranked_globally
 from vecmeadow.operators.tiles import ROWS_PER_BLOCK, self_tiles
 from vecmeadow.session import checkpointed
 
 # Above this many similar pairs the links are not stored; every round then
-# recomputes them tile by tile and keeps only one number per node.
+# compares them again and keeps only one number per node.
 STORED_PAIRS = 2_000_000_000
 
 
@@ -60,7 +61,28 @@ def _slabs(a, b):
         yield at, left[at : at + rows] @ right.T
 
 
-def similar_nodes(nodes: DataFrame, threshold: float, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+class Pairing:
+    """Runs a function over all pairs of nodes that can reach ``threshold``: by balls, or by all tiles where zero vectors count too."""
+
+    def __init__(self, nodes: DataFrame, threshold: float, rows_per_block: int = ROWS_PER_BLOCK):
+        self.nodes, self.rows_per_block, self.cover = nodes, rows_per_block, None
+        if threshold > 0:
+            self.cover = Cover(nodes.select("node", "v"), "node", rows_per_block)
+            if self.cover.count:
+                self.reach = self.cover.reach(threshold)
+                self.parts = self.cover.parts(self.reach)
+
+    def run(self, fn, schema: T.StructType, values: DataFrame | None = None) -> DataFrame:
+        """``values`` (node, value) restricts the nodes and adds its column."""
+        if self.cover is None or not self.cover.count:
+            base = self.nodes.select("node", "v")
+            base = base if self.cover is None else base.limit(0)
+            return self_tiles(base if values is None else base.join(values, "node"), "node", fn, schema, self.rows_per_block)
+        base = self.cover.rows if values is None else self.cover.rows.join(values, "node")
+        return self.cover.tiles(base, self.reach, self.parts, fn, schema)
+
+
+def similar_nodes(pairing: Pairing, threshold: float) -> DataFrame:
     """``a < b, cosine`` for all pairs of nodes that reach ``threshold``."""
     schema = T.StructType(
         [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("cosine", T.DoubleType())]
@@ -76,7 +98,7 @@ def similar_nodes(nodes: DataFrame, threshold: float, rows_per_block: int = ROWS
             if len(x):
                 yield pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": c})
 
-    return self_tiles(nodes.select("node", "v"), "node", pairs, schema, rows_per_block)
+    return pairing.run(pairs, schema)
 
 
 def similar_pairs(
@@ -89,12 +111,12 @@ def similar_pairs(
     many rows each side stands for (``distinct_vectors`` maps rows to nodes).
     """
     nodes = checkpointed(unit_nodes(df, id_col, vector, centring))
-    pairs = similar_nodes(nodes, threshold, rows_per_block)
+    pairs = similar_nodes(Pairing(nodes, threshold, rows_per_block), threshold)
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("weight").alias(f"copies_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "cosine", "copies_a", "copies_b")
 
 
-def _tile_fold(values: DataFrame, threshold: float, how: str, rows_per_block: int) -> DataFrame:
+def _pair_fold(pairing: Pairing, values: DataFrame, threshold: float, how: str) -> DataFrame:
     """Per node, fold ``value`` (null = absent) over its closed neighbourhood without storing a link."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("folded", T.LongType())])
     smallest = how == "min"
@@ -121,7 +143,7 @@ def _tile_fold(values: DataFrame, threshold: float, how: str, rows_per_block: in
             if not same:
                 yield side(near.T, right, x.slice(at, upto - at))
 
-    folded = self_tiles(values.select("node", "v", "value"), "node", fold, schema, rows_per_block)
+    folded = pairing.run(fold, schema, values.select("node", "value"))
     agg = F.min("folded") if smallest else F.sum("folded")
     return folded.groupBy("node").agg(agg.alias("folded"))
 
@@ -133,13 +155,13 @@ def _link_fold(values: DataFrame, links: DataFrame, how: str) -> DataFrame:
     return links.join(other, "other").groupBy("node").agg(agg.alias("folded"))
 
 
-def _pair_count(nodes: DataFrame, threshold: float, rows_per_block: int, enough: int) -> int:
-    """Number of similar ordered pairs; the tiles are only read if all pairs together could pass ``enough``."""
-    rows = nodes.count()
+def _pair_count(pairing: Pairing, threshold: float, enough: int) -> int:
+    """Number of similar ordered pairs; pairs are only compared if all together could pass ``enough``."""
+    rows = pairing.nodes.count()
     if rows * rows <= enough:
         return rows * rows
-    degree = _tile_fold(nodes.withColumn("value", F.lit(1).cast("long")), threshold, "sum", rows_per_block)
-    return degree.agg(F.sum("folded")).first()[0] or 0
+    ones = pairing.nodes.select("node", F.lit(1).cast("long").alias("value"))
+    return _pair_fold(pairing, ones, threshold, "sum").agg(F.sum("folded")).first()[0] or 0
 
 
 def leader_clusters(
@@ -157,8 +179,9 @@ def leader_clusters(
     """
     nodes = checkpointed(unit_nodes(df, id_col, vector, centring))
     links = None
-    if _pair_count(nodes, threshold, rows_per_block, stored_pairs) <= stored_pairs:
-        one_way = checkpointed(similar_nodes(nodes, threshold, rows_per_block).select("a", "b"))
+    pairing = Pairing(nodes, threshold, rows_per_block)
+    if _pair_count(pairing, threshold, stored_pairs) <= stored_pairs:
+        one_way = checkpointed(similar_nodes(pairing, threshold).select("a", "b"))
         zero = V.dot(F.col("v"), F.col("v")) >= threshold
         links = checkpointed(
             one_way.select(F.col("a").alias("node"), F.col("b").alias("other"))
@@ -169,7 +192,7 @@ def leader_clusters(
     def fold(values: DataFrame, how: str) -> DataFrame:
         if links is not None:
             return _link_fold(values, links, how)
-        return _tile_fold(values.join(nodes.select("node", "v"), "node"), threshold, how, rows_per_block)
+        return _pair_fold(pairing, values, threshold, how)
 
     # free: node, weight, undecided
     free = nodes.select("node", "weight", F.lit(True).alias("undecided"))
