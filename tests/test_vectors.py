@@ -1,5 +1,7 @@
 """Banks, scoring, clustering and sub-prototypes."""
 
+import weakref
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,30 @@ def test_slices_agree_in_every_form(clustered, options):
     assert len(one) == df.count() and sorted(map(str, map(rounded, one))) == sorted(map(str, map(rounded, many)))
 
 
+def test_driver_holds_one_slice_at_a_time(spark, monkeypatch):
+    """Forty slices: the driver never holds more than two packed ones, and the winners are those of one product."""
+    live, peak = set(), [0, 0]
+    pack = S.pack
+
+    def counted(*args):
+        made = pack(*args)
+        live.add(id(made[0]))
+        weakref.finalize(made[0], live.discard, id(made[0]))
+        peak[0], peak[1] = max(peak[0], len(live)), peak[1] + 1
+        return made
+
+    monkeypatch.setattr(S, "pack", counted)
+    rng = np.random.default_rng(5)
+    m, p = unit(rng.standard_normal((60, 8))), unit(rng.standard_normal((400, 8)))
+    rows = S.score(frame(spark, m), frame(spark, p).select(F.col("vec_id").alias("label"), F.col("embedding").alias("centroid")), k=3, truth="vec_id", max_bytes=640).collect()
+    assert peak[1] > 3 * S.CHAINED and peak[0] <= 2
+    c = m @ p.T
+    for r in rows:
+        own = c[r.vec_id]
+        assert [x.label for x in r.candidates] == np.argsort(-own, kind="stable")[:3].tolist()
+        assert np.allclose([r.true_score, r.rival_score], [own[r.vec_id], max(0, np.delete(own, r.vec_id).max())])
+
+
 def test_repeated_ids_keep_their_rows(clustered):
     _, _, df = clustered
     bank = B.fit_bank(df.filter("vec_id < 60"))

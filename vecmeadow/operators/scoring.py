@@ -21,8 +21,11 @@ from vecmeadow.functions import vectors as V
 from vecmeadow.functions.arrow import matrix_of, unit_rows
 from vecmeadow.operators import bank as B
 from vecmeadow.operators.bank import UNKNOWN
+from vecmeadow.session import checkpointed
 
 SLICE_BYTES = 16 * 1024 * 1024
+# So many slices are passes of one stage, each with its own Python worker.
+CHAINED = 8
 SLAB_BYTES = 64 * 1024 * 1024
 _SQL_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
@@ -86,41 +89,49 @@ def _means(bank: DataFrame, keys: list[str], label: str, prototype: str) -> Data
     return found.filter("n > 1").select(*keys, "mean")
 
 
-def _slices(bank: DataFrame, label: str, prototype: str, group: str | None, centring: bool, max_bytes: int) -> tuple[list[dict], int]:
-    """The bank as ``{group: packed prototypes}`` of about ``max_bytes`` each, and its dimension."""
+def _slices(bank: DataFrame, label: str, prototype: str, group: str | None, centring: bool, max_bytes: int) -> Iterator:
+    """First the number of slices and the dimension, then the slices as ``{group: packed prototypes}`` of about ``max_bytes``.
+
+    A slice is read when it is asked for and not kept here.
+    """
     keys = [group] if group else []
     held = bank.select(label, prototype, *keys).persist()
+    means = None
     try:
         shape = held.agg(
             F.count(F.lit(1)).alias("rows"), F.max(F.size(prototype)).alias("dim"), F.min(F.size(prototype)).alias("narrowest")
         ).first()
         if not shape["rows"]:
-            return [{}], 0
+            yield 1, 0
+            yield {}
+            return
         if shape["dim"] != shape["narrowest"]:
             raise ValueError("prototypes differ in dimension")
         n = -(-shape["rows"] * shape["dim"] * 8 // max_bytes)
+        yield n, shape["dim"]
         means = _means(held, keys, label, prototype).persist() if centring else None
         cut = held.withColumn("__slice", F.pmod(F.xxhash64(*keys, label), F.lit(n)))
-        slices = []
         for number in range(n):
-            part = cut.filter(F.col("__slice") == number)
-            packed: dict = {}
-            for row in part.collect():  # bounded by max_bytes
-                names, rows = packed.setdefault(row[group] if group else None, ([], []))
-                names.append(row[label])
-                rows.append(row[prototype])
-            centre = {}
-            if means is not None:
-                wanted = means.join(part.select(group).distinct(), group, "left_semi") if group else means
-                centre = {row[group] if group else None: np.array(row["mean"]) for row in wanted.collect()}
-            slices.append({key: pack(names, rows, centre.get(key)) for key, (names, rows) in packed.items()})
+            yield _read_slice(cut.filter(F.col("__slice") == number), means, label, prototype, group)
+    finally:
         if means is not None:
             means.unpersist()
-        return slices, shape["dim"]
-    finally:
         held.unpersist()
 
 
+def _read_slice(part: DataFrame, means: DataFrame | None, label: str, prototype: str, group: str | None) -> dict:
+    packed: dict = {}
+    for row in part.collect():  # bounded by max_bytes
+        names, rows = packed.setdefault(row[group] if group else None, ([], []))
+        names.append(row[label])
+        rows.append(row[prototype])
+    centre = {}
+    if means is not None:
+        wanted = means.join(part.select(group).distinct(), group, "left_semi") if group else means
+        centre = {row[group] if group else None: np.array(row["mean"]) for row in wanted.collect()}
+    return {key: pack(names, rows, centre.get(key)) for key, (names, rows) in packed.items()}
+
+
 def score(
     queries: DataFrame,
     bank: DataFrame,
@@ -143,33 +154,50 @@ def score(
     candidates are an empty list. ``truth`` adds ``true_score`` and ``rival_score``
     (best other label). ``centring`` moves queries and prototypes by the mean of
     the (group's) bank. The vector column is dropped from the result unless
-    ``keep_vector``.
+    ``keep_vector``. Slices of the bank are read, sent and dropped one at a time; after every
+    ``CHAINED`` slices the rows and their winners are written to the checkpoint folder and the slices are destroyed
+    (in a stream all slices are passes of one stage).
     """
     label_type = bank.schema[label].dataType.simpleString()
     if label_type not in _SQL_TYPES:
         raise TypeError(f"labels must be int, bigint or string, not {label_type}")
-    slices, dim = _slices(bank, label, prototype, group, centring, max_bytes)
+    slices = _slices(bank, label, prototype, group, centring, max_bytes)
+    count, dim = next(slices)
     candidate = T.ArrayType(
         T.StructType([T.StructField("label", bank.schema[label].dataType), T.StructField("score", T.DoubleType())])
     )
-    scored = queries
-    for number, banks in enumerate(slices):
+    most = None if all_scores else k
+
+    def merged(scored: DataFrame, parts: list[str]) -> DataFrame:
+        """The rows with the winners of ``parts`` (suffixes of the columns of single slices) in ``__c``, ``__t`` and ``__r``."""
+        col = lambda kind: [F.col(f"__{kind}{p}") for p in parts]
+        columns = [F.col("__c" + parts[0]) if len(parts) == 1 else _best_first(F.flatten(F.array(*col("c"))), most)]
+        if truth:
+            columns += [F.coalesce(*col("t")), col("r")[0] if len(parts) == 1 else F.greatest(*col("r"))]
+        return scored.select(*queries.columns, *[c.alias(f"__{kind}") for c, kind in zip(columns, "ctr")])
+
+    scored, parts, live = queries, [], []
+    for number in range(count):
         added = [T.StructField(f"__c{number}", candidate)]
         if truth:
             added += [T.StructField(f"__t{number}", T.DoubleType()), T.StructField(f"__r{number}", T.DoubleType())]
         schema = T.StructType([*scored.schema.fields, *added])
-        shipped = queries.sparkSession.sparkContext.broadcast(banks)
+        shipped = queries.sparkSession.sparkContext.broadcast(next(slices))
         scored = scored.mapInArrow(
-            _pass(shipped, dim, None if all_scores else k, vector, group, truth, _SQL_TYPES[label_type], [f.name for f in added]), schema
+            _pass(shipped, dim, most, vector, group, truth, _SQL_TYPES[label_type], [f.name for f in added]), schema
         )
-    numbers = range(len(slices))
-    found = F.col("__c0") if len(slices) == 1 else _best_first(F.flatten(F.array(*[F.col(f"__c{i}") for i in numbers])), None if all_scores else k)
-    columns = [F.col(c) for c in queries.columns if keep_vector or c != vector] + [found.alias("candidates")]
+        parts.append(str(number))
+        live.append(shipped)
+        if len(live) == CHAINED and number + 1 < count and not queries.isStreaming:
+            scored = checkpointed(merged(scored, parts))
+            for done in live:
+                done.destroy()
+            parts, live = [""], []
+    slices.close()
+    scored = merged(scored, parts)
+    columns = [F.col(c) for c in queries.columns if keep_vector or c != vector] + [F.col("__c").alias("candidates")]
     if truth:
-        own = F.coalesce(*[F.col(f"__t{i}") for i in numbers])
-        rivals = [F.col(f"__r{i}") for i in numbers]
-        rival = rivals[0] if len(rivals) == 1 else F.greatest(*rivals)
-        columns += [own.alias("true_score"), F.coalesce(rival, F.lit(0.0)).alias("rival_score")]
+        columns += [F.col("__t").alias("true_score"), F.coalesce("__r", F.lit(0.0)).alias("rival_score")]
     return scored.select(*columns)
 
 

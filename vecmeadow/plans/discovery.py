@@ -84,9 +84,9 @@ def _(t):
     return N.assign_clusters(old, members(t)).select("vec_id", "cluster_id")
 
 
-def lloyd(steps: int, k: int) -> str:
-    """Unrolled k-means: ``k0`` holds the starts, ``k{steps}`` the result."""
-    parts = [RANKED, f"k0 AS (SELECT label, rn AS sub, v AS c FROM ranked WHERE rn <= {k})"]
+def lloyd(steps: int, k: int, labels: str = "true") -> str:
+    """Unrolled k-means over the labels for which ``labels`` holds: ``k0`` holds the starts, ``k{steps}`` the result."""
+    parts = [RANKED, f"k0 AS (SELECT label, rn AS sub, v AS c FROM ranked WHERE rn <= {k} AND {labels})"]
     for i in range(steps):
         parts.append(
             f"a{i} AS (SELECT q.label, q.v, b.sub FROM ranked q JOIN k{i} b USING (label) "
@@ -106,12 +106,45 @@ def _(t):
     return components(P.sub_prototypes(t.embeddings, 3, 3), ["label", "sub"], "centroid")
 
 
-@query("m4_sub_prototypes_converged")
+def converged(k: int, labels: str = "true") -> str:
+    """K-means up to the round in which no row changes its centre, as recursion over all rows' centres; at most 50 rounds.
+
+    ``done`` (label, sub, c) holds the centres. One list per round and label has its rows in id order, so a centre is the unit
+    sum of the rows that were nearest to it.
+    """
+    scores = "list_transform(cs, lambda c: list_dot_product(r.v, c))"
+    return f"""{RANKED},
+packed AS (SELECT label, list({{'v': v}} ORDER BY rn) AS rows, list(v ORDER BY rn)[:{k}] AS start FROM ranked WHERE {labels} GROUP BY label HAVING count(*) >= {k}),
+walk AS (SELECT 0 AS step, label, rows, start AS cs, NULL::BIGINT[] AS near FROM packed UNION ALL
+  SELECT step + 1, label, rows, list_transform(range(1, {k} + 1), lambda j: CASE WHEN list_contains(now, j) THEN
+      list_transform(list_reduce(list_transform(list_filter(list_zip(rows, now), lambda z: z[2] = j), lambda z: z[1].v),
+        lambda x, y: list_transform(list_zip(x, y), lambda q: q[1] + q[2])), lambda e: e) ELSE cs[j] END)
+      .list_transform(lambda s: list_transform(s, lambda e: e / sqrt(list_dot_product(s, s)))), now
+  FROM (SELECT *, list_transform(rows, lambda r: list_position({scores}, list_max({scores}))::BIGINT) AS now FROM walk) w
+  WHERE step < 50 AND (near IS NULL OR near <> now)),
+done AS (SELECT label, unnest(cs) AS c, generate_subscripts(cs, 1) AS sub FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY label ORDER BY step DESC) = 1))"""
+
+
+@query(
+    "m4_sub_prototypes_converged",
+    f"WITH RECURSIVE {converged(3)} SELECT label, sub::INTEGER AS sub, i, round(x, 6) AS x FROM (SELECT label, sub, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM done)",
+)
 def _(t):
     return components(P.sub_prototypes(t.embeddings, 3, 50), ["label", "sub"], "centroid")
 
 
-@query("m5_adaptive_sub_prototypes")
+WIDE = (
+    "label IN (SELECT u.label FROM units u JOIN mean USING (label) GROUP BY u.label "
+    "HAVING var_pop(list_dot_product(u.v, mean.c)) >= 0.0155 AND count(*) >= 2)"
+)
+
+
+@query(
+    "m5_adaptive_sub_prototypes",
+    "WITH RECURSIVE " + converged(2, WIDE).replace("packed AS", centroids("mean", "units") + ",\npacked AS", 1)
+    + ", found AS (SELECT label, sub, c FROM done UNION ALL SELECT label, 1 AS sub, c FROM mean WHERE label NOT IN (SELECT label FROM done)) "
+    "SELECT label, sub::INTEGER AS sub, i, round(x, 6) AS x FROM (SELECT label, sub, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM found)",
+)
 def _(t):
     """A variance bound inside the range of the data, so that some labels split and others do not."""
     return components(P.adaptive_sub_prototypes(t.embeddings, 0.0155, 2), ["label", "sub"], "centroid")
