@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,28 @@ def test_closing_and_blobs(spark):
                     todo.append(c)
         want.append((min(f for _, f in seen), max(f for _, f in seen)))
     assert sorted((r["first"], r["last"]) for r in Q.blobs(got, ["k"]).collect()) == sorted(want)
+
+
+def test_closing_moves_the_ends_of_runs(spark):
+    """Random grids of several keys with cut hot bands; repeated cells; a run of 100,000 frames stays one row."""
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for key in range(4):
+        on = rng.random((7, 60)) < (0.1, 0.3, 0.5, 0.0)[key]
+        rows += [(key, int(b), int(f), 7, 60) for b, f in np.argwhere(on) for _ in range(2)]
+        wide = np.zeros((9, 64), dtype=bool)
+        for i in range(3):
+            for j in range(5):
+                wide[i : i + 7, j : j + 60] |= on
+        wide[0] = wide[-1] = False
+        wide[:, :2] = wide[:, -2:] = False
+        closed = np.all([wide[i : i + 7, j : j + 60] for i in range(3) for j in range(5)], axis=0)
+        want |= {(key, int(b), int(f)) for b, f in np.argwhere(closed)}
+    schema = "k int, band long, frame long, n_bands long, n_frames long"
+    df = spark.createDataFrame(rows, schema)
+    assert {(r.k, r.band, r.frame) for r in Q.closed_mask(df, ["k"]).collect()} == want
+    cut = Q.closed_runs(df, ["k"], limit=10).collect()
+    assert {(r.k, r.band, f) for r in cut for f in range(r.a, r.b + 1)} == want
+    long = spark.range(100_000).filter("id not between 500 and 502").selectExpr("1 k", "3L band", "id frame", "7L n_bands", "100000L n_frames")
+    assert [tuple(r)[3:] for r in Q.closed_runs(long, ["k"]).collect()] == [(3, 2, 99_997)]
+    assert Q.closed_runs(df.limit(0), ["k"]).isEmpty()

@@ -240,42 +240,65 @@ def scaled_mask(df: DataFrame, keys: list[str], value: str, threshold: float = 0
     return df.join(extremes, keys).withColumn("scaled", scaled).filter(F.col("scaled") > threshold).drop("__lo", "__hi")
 
 
-def _neighbours(cells: DataFrame, keys: list[str], bands: int, frames_: int) -> DataFrame:
-    reach = lambda n: F.sequence(F.lit(-(n // 2)), F.lit(n // 2))
-    moved = cells.withColumn("__db", F.explode(reach(bands))).withColumn("__df", F.explode(reach(frames_)))
-    return moved.select(
-        *keys, (F.col("band") + F.col("__db")).alias("band"), (F.col("frame") + F.col("__df")).alias("frame"),
-        *[c for c in ("n_bands", "n_frames") if c in cells.columns],
-    )
+def mask_runs(cells: DataFrame, keys: list[str], limit: int = ROWS_PER_TASK) -> DataFrame:
+    """Runs ``(keys, band, a, b)`` of neighbouring frames of each band; repeated cells count once."""
+    rows = numbered(cells.select(*keys, "band", "frame").distinct(), [*keys, "band"], "frame", "frame", "__n", limit)
+    islands = rows.groupBy(*keys, "band", (F.col("frame") - F.col("__n")).alias("__i"))
+    return islands.agg(F.min("frame").alias("a"), F.max("frame").alias("b")).drop("__i")
+
+
+def _sweep(runs_: DataFrame, keys: list[str], least: int, limit: int) -> DataFrame:
+    """Longest runs of frames that at least ``least`` of a band's runs cover: two events per run, added up in frame order."""
+    by = [*keys, "band"]
+    step = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    events = runs_.select(*by, F.explode(F.array(step(F.col("a"), 1), step(F.col("b") + 1, -1))).alias("e"))
+    events = events.groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).filter("d <> 0")
+    levels = arrange(events, by, "at", "at", limit).columns(level=total(F.col("d"))).result()
+    on = F.col("level") >= least
+    turns = checkpointed(levels.filter(on != (F.col("level") - F.col("d") >= least)).select(*by, "at", on.alias("on")))
+    ends = arrange(turns, by, "at", "at", limit).columns(a=before(F.col("at"))).result().filter("NOT on")
+    return ends.select(*by, "a", (F.col("at") - 1).alias("b"))
+
+
+def closed_runs(active: DataFrame, keys: list[str], bands: int = 3, frames_: int = 5, limit: int = ROWS_PER_TASK) -> DataFrame:
+    """Binary closing of active cells ``(keys, band, frame, n_bands, n_frames)`` as runs ``(keys, n_bands, n_frames, band, a, b)``.
+
+    Along frames, dilation and erosion move the ends of a run. Across bands, dilation is the union of the runs of the
+    bands around and erosion is their intersection, so with three bands a run becomes at most six rows, however long it is. Cells
+    outside the grid count as off. ``bands`` and ``frames_`` are odd.
+    """
+    by = [*keys, "n_bands", "n_frames"]
+    wide = frames_ // 2
+    around = F.explode(F.sequence(F.lit(-(bands // 2)), F.lit(bands // 2)))
 
+    def moved(found: DataFrame, grow: int) -> DataFrame:
+        a, b = F.col("a") - grow, F.col("b") + grow
+        if grow > 0:
+            a, b = F.greatest(F.lit(0), a), F.least(F.col("n_frames") - 1, b)
+        ends = found.select(*by, "band", a.cast("long").alias("a"), b.cast("long").alias("b"), around.alias("__by"))
+        shifted = ends.select(*by, (F.col("band") + F.col("__by")).alias("band"), "a", "b")
+        return shifted.filter("a <= b AND band >= 0 AND band < n_bands")
 
-def closed_mask(active: DataFrame, keys: list[str], bands: int = 3, frames_: int = 5) -> DataFrame:
-    """Binary closing of sparse active cells ``(keys, band, frame, n_bands, n_frames)``.
+    dilated = _sweep(moved(checkpointed(mask_runs(active, by, limit)), wide), by, 1, limit)
+    return _sweep(moved(dilated, -wide), by, bands, limit)
 
-    Dilation sends a cell to its neighbours inside the grid; erosion keeps the
-    cells all of whose neighbours were sent. Cells outside the grid count as off.
-    """
-    cells = active.select(*keys, "band", "frame", "n_bands", "n_frames")
-    inside = (
-        (F.col("band") >= 0) & (F.col("band") < F.col("n_bands")) & (F.col("frame") >= 0) & (F.col("frame") < F.col("n_frames"))
-    )
-    dilated = _neighbours(cells, keys, bands, frames_).filter(inside).distinct()
-    votes = _neighbours(dilated, keys, bands, frames_).groupBy(*keys, "band", "frame", "n_bands", "n_frames").agg(
-        F.count(F.lit(1)).alias("__votes")
-    )
-    return votes.filter(F.col("__votes") == bands * frames_).drop("__votes")
+
+def closed_mask(active: DataFrame, keys: list[str], bands: int = 3, frames_: int = 5) -> DataFrame:
+    """The cells of ``closed_runs``."""
+    found = closed_runs(active, keys, bands, frames_)
+    return found.select(*keys, "band", F.explode(F.sequence("a", "b")).alias("frame"), "n_bands", "n_frames")
 
 
 def blobs(cells: DataFrame, keys: list[str], limit: int = ROWS_PER_TASK) -> DataFrame:
-    """Time extent ``first, last`` (frames) of each edge-connected group of cells.
+    """Time extent ``first, last`` (frames) of each edge-connected group of cells."""
+    return run_blobs(mask_runs(cells, keys, limit), keys)
+
 
-    Cells collapse to runs per band first; labels then spread over overlapping
-    runs of neighbouring bands, with pointer jumping, until nothing changes.
+def run_blobs(run: DataFrame, keys: list[str]) -> DataFrame:
+    """Time extent ``first, last`` of each edge-connected group of runs ``(keys, band, a, b)``.
+
+    Labels spread over overlapping runs of neighbouring bands, with pointer jumping, until nothing changes.
     """
-    rows = numbered(cells.select(*keys, "band", "frame"), [*keys, "band"], "frame", "frame", "__n", limit)
-    run = rows.groupBy(*keys, "band", (F.col("frame") - F.col("__n")).alias("__i")).agg(
-        F.min("frame").alias("a"), F.max("frame").alias("b")
-    )
     # A run is named by its place, so no two runs share a name.
     named = F.struct(*keys, "band", "a")
     run = checkpointed(run.select(*keys, "band", "a", "b", named.alias("node")))

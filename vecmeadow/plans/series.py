@@ -165,7 +165,7 @@ def _(t):
     "SELECT user_id, min(frame) AS first, max(frame) AS last FROM comp GROUP BY user_id, root",
 )
 def _(t):
-    return Q.blobs(Q.closed_mask(activity_mask(t), ["user_id"]), ["user_id"]).select("user_id", "first", "last")
+    return Q.run_blobs(Q.closed_runs(activity_mask(t), ["user_id"]), ["user_id"]).select("user_id", "first", "last")
 
 
 @query(
