@@ -173,6 +173,16 @@ def test_leader_clusters_with_copies(spark, stored, t):
     assert {(r.vec_id - large, r.leader - large) for r in got.collect()} == leaders(m, t, 3)
 
 
+@pytest.mark.parametrize("stored", [10**9, 0])
+def test_leader_clusters_take_few_rounds(spark, monkeypatch, stored):
+    m = np.random.default_rng(7).standard_normal((1500, 8))
+    written = []
+    monkeypatch.setattr(N, "checkpointed", lambda df, real=N.checkpointed: written.append(1) or real(df))
+    got = N.leader_clusters(frame(spark, m), 0.7, 3, rows_per_block=400, stored_pairs=stored)
+    assert {(r.vec_id, r.leader) for r in got.collect()} == leaders(m, 0.7, 3)
+    assert len(written) <= 30
+
+
 def test_mean_centring_separates_two_groups(spark):
     m = unit(np.array([[10, 1, 0], [10, 1.1, 0], [10, -1, 0], [10, -1.1, 0]], dtype=float))
     df = frame(spark, m)

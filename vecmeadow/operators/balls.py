@@ -28,6 +28,7 @@ PIVOT_BYTES = 32 * 1024 * 1024
 CANDIDATES = 8
 SLAB = 1024
 SLACK = 1e-6
+MANY = 0.25  # share of visitors and balls from which a tile is compared as a whole
 
 
 class Reach:
@@ -217,6 +218,13 @@ class Cover:
             for at in range(0, len(v), SLAB):
                 some = v[at : at + SLAB]
                 near[at : at + SLAB] = reach.balls(-some if reach.opposite else some, balls)
+            if not reach.opposite and near[visitor].size and near[visitor].mean() > MANY:
+                # The bounds leave most pairs, so the balls are not looked at one by one.
+                members = table.filter(pa.array(~visitor))
+                if key[1].as_py() == 0:
+                    yield from batches_of(fn(members, members, True))
+                yield from batches_of(fn(table.filter(pa.array(visitor)), members, False))
+                return
             for number, ball in enumerate(balls):
                 inside = ~visitor & (home == ball)
                 members = table.take(pa.array(np.flatnonzero(inside)))
