@@ -16,8 +16,11 @@ from vecmeadow.streaming import routes, state, windows as W
 
 
 def whole(t: Tables, table: str) -> DataFrame:
-    """The given Parquet file as a stream."""
+    """The given Parquet file, or folder of files, as a stream."""
     schema = getattr(t, table).schema
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(t.path(table))
+    if path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return W.file_stream(t.spark, t.path(table), schema)
     return W.file_stream(t.spark, t.sf_dir, schema, glob=f"{table}.parquet")
 
 
