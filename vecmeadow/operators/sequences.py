@@ -18,6 +18,7 @@ from vecmeadow.functions.floor import FLOOR_MIN, INIT_FRAMES, INIT_QUANTILE, Flo
 from vecmeadow.operators.ordered import ROWS_PER_TASK, arrange, before, first_rows, highest, numbered, position, total
 from vecmeadow.session import checkpointed, small_side
 
+SCORE_PLACES = 12  # places of smoothed scores, so that sums in another order decide the same
 CHUNK_FRAMES = 2048  # frames of a stream that one array holds
 FRAMES_PER_TASK = 50_000  # frames whose maps one task composes
 FAN_IN = 256  # chunk maps that one task holds
@@ -103,7 +104,7 @@ def decisions(
     labels = sorted(r[0] for r in df.select(label).distinct().collect() if r[0] is not None)
     rows = smooth(df, stream, label, time, tie, value, alpha, gap, limit, out="__own")
     rows = arrange(rows, [stream, "session"], time, tie, limit).columns(__n=position())
-    own = F.struct(F.col("__n").alias("n"), F.col("__own").alias("s"))
+    own = F.struct(F.col("__n").alias("n"), F.round("__own", SCORE_PLACES).alias("s"))
     rows = rows.columns(**{f"__l{i}": highest(F.when(F.col(label) == F.lit(name), own)) for i, name in enumerate(labels)}).result()
     # Sorted by falling score, then by label.
     scores = F.array_sort(F.filter(

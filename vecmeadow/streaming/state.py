@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vecmeadow.functions.floor import INIT_FRAMES, initial_floor, step_one
+from vecmeadow.operators.sequences import SCORE_PLACES
 
 
 def _in_order(parts: Iterator[pd.DataFrame], time: str, tie: str) -> pd.DataFrame:
@@ -51,8 +52,9 @@ def decision_stream(
                 streak_label, streak = None, 0
                 results.append((None, None, 0.0, 0, False))
                 continue
-            best = min(smoothed, key=lambda n: (-smoothed[n], n))
-            score, second = smoothed[best], max((v for n, v in smoothed.items() if n != best), default=0.0)
+            shown = {n: round(v, SCORE_PLACES) for n, v in smoothed.items()}
+            best = min(shown, key=lambda n: (-shown[n], n))
+            score, second = shown[best], max((v for n, v in shown.items() if n != best), default=0.0)
             if score < theta or score - second < margin:
                 streak_label, streak = None, 0
             elif score >= sure:
