@@ -81,6 +81,20 @@ def test_jaccard_join(spark, monkeypatch, tile):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.jaccard_components(docs, 4, 85)
 
 
+def test_texts_with_passages_in_common_do_not_travel(spark, monkeypatch):
+    """Texts of two of twelve passages and of words of their own are not similar; few are sent to be compared."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{i}x{j}" for j in range(40)) for i in range(12)]
+    texts = [" ".join(rng.sample(passages, 2) + [f"w{rng.random()}" for _ in range(170)]) for _ in range(300)]
+    docs = dict(enumerate(texts + edited_copies(rng, texts[0].split(), 10, 10)))
+    sent = []
+    packed_texts = jaccard_join.packed_texts
+    monkeypatch.setattr(jaccard_join, "packed_texts", lambda rows: sent.append(rows.count()) or packed_texts(rows))
+    rows = jaccard_join.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.jaccard_components(docs, 5, 80)
+    assert sent[0] <= 100
+
+
 def test_op6_at_small_scale(spark):
     small = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}

@@ -1,16 +1,18 @@
 """Near-duplicate join of word-shingle sets by PartEnum signatures. Exact: no pair at or over the similarity is lost.
 
 Sizes are cut into bands; sets of which one may be similar to the other always
-share a band. In a band with largest size U, similar sets differ in at most
-k = 2U(1-s)/(1+s) elements. The elements are dealt by hash into partitions:
+share the one in which the smaller set begins. In a band where sets of up to U begin, a smaller
+set and one similar to it differ in at most k = U(1-s)/s elements. The elements are dealt by hash into partitions:
 
 * up to ``SMALL_K`` differences: k + 2 partitions, and every pair of partitions is
   a signature; k differences leave two partitions untouched;
 * beyond: k + m + 2w partitions, each a signature of its own; at least m + 2w
   stay untouched, so each set may leave out its w weakest ones (at most
   ``WEAK`` elements), which common phrases would fill, and m are still shared.
-  A node that shares fewer than m of such signatures with any others is left
-  out, which is most of those that have only a common phrase in common.
+  Of the signatures that a node shares with others its m - 1 commonest are left
+  out, all ordered by how many nodes have them. The rarest of m common ones has at
+  least m - 1 others before it in both nodes' orders, so it stays in both. A node with
+  fewer than m goes, which is most of those that have only a common phrase in common.
 
 The last bits of a signature hold its m (1 for pairs of partitions).
 
@@ -51,16 +53,17 @@ WORDS = 5
 PERCENT = 80
 SMALL_K = 8
 WEAK = 2
+NEED = 8  # one signature more is needed for each so many differences
 STEP = 1.3
 BLOCK = 1024 * 1024
-NEED_MASK = 15
+NEED_MASK = 63
 TILE = 512
 TILE_BYTES = 4 * 1024 * 1024
 COLUMNS = 8_192
 
 
 class Bands:
-    """Overlapping size bands: (smallest, largest, differences) such that any two similar sizes share one."""
+    """Overlapping size bands: (smallest, largest, differences) such that any two similar sizes share the smaller one's last."""
 
     def __init__(self, percent: int, reach: int):
         self.rows = []
@@ -68,7 +71,8 @@ class Bands:
         while low <= reach:
             following = max(low + 1, int(low * STEP))
             high = (following - 1) * 100 // percent
-            self.rows.append((low, high, 2 * high * (100 - percent) // (100 + percent)))
+            # Sets of a <= b elements differ in (a + b)(1 - s)/(1 + s) at most, and b is a/s at most.
+            self.rows.append((low, high, (following - 1) * (100 - percent) // percent))
             low = following
 
     def of(self, size: int) -> list[int]:
@@ -94,7 +98,7 @@ def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
         band, k = band[members], ks[band[members]]
         small = k <= SMALL_K
         slack = np.where(small, 0, 1 + k // 20)
-        need = np.where(small, 1, np.minimum(1 + k // 16, NEED_MASK))
+        need = np.where(small, 1, np.minimum(1 + k // NEED, NEED_MASK))
         cells = np.where(small, k + 2, k + need + 2 * slack)
         base = np.cumsum(cells) - cells
         sizes = sets.sizes[members]
@@ -185,31 +189,32 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) reach the similarity."""
+    """The pairs (a, b) of nodes whose ``packed_texts`` reach the similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in worker.blocks(worker.blocks(batches, "text_a", BLOCK), "text_b", BLOCK):
-            left, right = (shingle_sets(_texts(block.column(c)), words) for c in ("text_a", "text_b"))
+        for block in worker.blocks(batches, "size", BLOCK):
+            left, right = (shingle_sets(Unpacked(block.column(c).to_pylist())[:], words) for c in ("packed_a", "packed_b"))
             both = common(left, right)
             linked = (both > 0) & (100 * both >= percent * (left.sizes + right.sizes - both))
             yield block.select(["a", "b"]).filter(pa.array(linked))
 
-    of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    of = lambda side: texts.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("size", "packed")))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("size", F.col("size_a") + F.col("size_b"))
+    return both.select("a", "b", "size", "packed_a", "packed_b").mapInArrow(compare, "a long, b long")
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
-    """Rows (node, text) with the text's ``size`` in bytes and its compressed form ``packed``."""
+    """(node, size, packed) of rows (node, text): the text's bytes and its compressed form."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in worker.blocks(batches, limit=BLOCK):
             raw = [t.encode("utf-8", "surrogatepass") for t in _texts(block.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [*block.columns, pa.array([len(b) for b in raw], pa.int64()), pa.array([zlib.compress(b, 1) for b in raw], pa.binary())],
-                ["node", "text", "size", "packed"],
+                [block.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array([zlib.compress(b, 1) for b in raw], pa.binary())],
+                ["node", "size", "packed"],
             )
 
-    return texts.select("node", "text").mapInArrow(pack, "node long, text string, size long, packed binary")
+    return texts.select("node", "text").mapInArrow(pack, "node long, size long, packed binary")
 
 
 def tile_links(texts: Sequence[str], words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,13 +289,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shared = (
         shared.join(standing, "node", "left").select("signature", F.coalesce("class", "node").alias("node"))
         .repartition("signature").dropDuplicates(["signature", "node"])
-        .select("signature", "node", low.alias("low"), high.alias("high")).where("low < high").drop("low", "high")
+        .select("signature", "node", low.alias("low"), high.alias("high"), F.count("*").over(by_signature).alias("n"))
+        .where("low < high").drop("low", "high")
     )
-    # Nodes with too few shared signatures go, and then signatures with one node left.
-    enough = F.count("*").over(Window.partitionBy("node", "need"))
+    # Nodes with too few shared signatures go, as do the commonest of the others, and then signatures with one node left.
+    place = F.row_number().over(Window.partitionBy("node", "need").orderBy(F.desc("n"), "signature"))
     shared = (
-        shared.withColumn("weight", F.count("*").over(by_node)).withColumn("need", F.col("signature").bitwiseAND(NEED_MASK))
-        .withColumn("n", enough).where("n >= need").select("signature", "node", "weight")
+        shared.withColumn("need", F.col("signature").bitwiseAND(NEED_MASK)).withColumn("place", place).where("place >= need")
+        .withColumn("weight", F.count("*").over(by_node)).select("signature", "node", "weight")
     )
     best = F.max(F.struct("weight", (-F.col("node")).alias("back"))).over(by_signature)
     centered = _stored(

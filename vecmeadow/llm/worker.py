@@ -49,12 +49,13 @@ def give_back() -> None:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``limit`` bytes of text; a longer text is a slice of its own."""
+    """The same rows in slices of about ``limit`` bytes of text, or of a column of sizes; a longer text is a slice of its own."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         if not len(batch):
             continue
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        sizes = column if pa.types.is_integer(column.type) else pa.compute.binary_length(column)
+        ends = np.cumsum(pa.compute.fill_null(sizes, 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(batch):
             before = ends[at - 1] if at else 0
