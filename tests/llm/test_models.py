@@ -258,3 +258,30 @@ def test_pipeline(spark):
     assert rows.select("doc_id").distinct().count() == docs.count()
     covered = rows.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"))
     assert covered.where("n <> all").isEmpty()
+
+
+def test_subsequences_are_sorted_by_value(monkeypatch):
+    """The same vectors as by a stable sort of places, to the last bit, without that sort."""
+
+    def by_places(words):
+        keys, weights = [], []
+        for number, word in enumerate(words):
+            marked = [np.array([ord(c)], np.uint64) for c in "\x02" + (word.strip(toxicity.EDGES) or word) + "\x03"]
+            for last in range(2, toxicity.SPAN):
+                for middle in range(1, last):
+                    for at in range(len(marked) - last):
+                        mixed = sum(c * m for c, m in zip((marked[at], marked[at + middle], marked[at + last]), toxicity.MIXERS))
+                        keys.append((number << toxicity.FEATURE_BITS) | int(toxicity._feature(mixed)[0]))
+                        weights.append(toxicity.DECAY ** (last - 2))
+        order = np.argsort(np.array(keys), kind="stable")
+        return np.array(keys)[order], np.array(weights)[order]
+
+    words = ["banana", "aaaaaaaa", "a", "(x-y)", "naïve 😀 text", "..."]
+    keys, weights = by_places(words)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    word, weights = keys[first] >> toxicity.FEATURE_BITS, np.add.reduceat(weights, first)
+    norm = np.sqrt(np.bincount(word, weights * weights, minlength=len(words)))
+    monkeypatch.setattr(np, "argsort", None)
+    found = toxicity.subsequences(words)
+    assert found[0].tolist() == word.tolist() and found[1].tolist() == (keys[first] & ((1 << toxicity.FEATURE_BITS) - 1)).tolist()
+    assert found[2].tolist() == (weights / norm[word]).tolist()

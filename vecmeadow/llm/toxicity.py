@@ -53,6 +53,7 @@ SLOPE = 6.0
 DECAY = 0.6
 SPAN = 6
 FEATURE_BITS = 20
+SPREAD_BITS = 2  # hold SPAN - 2 spreads
 LANDMARKS = 256
 NEGATIVES = 8000
 COST = 50.0
@@ -96,20 +97,21 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the end of the word, itself included
-    keys, weights = [], []
+    keys = []
     for last in range(2, SPAN):
         at = np.flatnonzero(left > last)
         if not len(at):
             break
         ends = codes[at] * MIXERS[0] + codes[at + last] * MIXERS[2]
+        word = owner[at] << FEATURE_BITS
         for middle in range(1, last):
-            keys.append((owner[at] << FEATURE_BITS) | _feature(ends + codes[at + middle] * MIXERS[1]))
-            weights.append(np.full(len(at), DECAY ** (last - 2)))
+            # The spread stands in the last bits: values sort faster than places, and equal keys are summed by spread.
+            keys.append(((word | _feature(ends + codes[at + middle] * MIXERS[1])) << SPREAD_BITS) | (last - 2))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    keys, weights = np.concatenate(keys), np.concatenate(weights)
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
+    keys = np.sort(np.concatenate(keys))
+    weights = np.array([DECAY**spread for spread in range(SPAN - 2)])[keys & ((1 << SPREAD_BITS) - 1)]
+    keys >>= SPREAD_BITS
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     keys, weights = keys[first], np.add.reduceat(weights, first)
     word, feature = keys >> FEATURE_BITS, keys & ((1 << FEATURE_BITS) - 1)
